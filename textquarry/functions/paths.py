@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Slug | content type | structured | suffixes.
@@ -59,12 +59,22 @@ def language_rows() -> list[tuple[str, str, bool, str]]:
     return rows + [(*by_slug[slug], name) for name, slug in NAMED_FILES.items()]
 
 
-def language_table(spark: SparkSession) -> DataFrame:
-    """The fixed lookup table, some forty rows: always safe to broadcast."""
-    return spark.createDataFrame(
-        language_rows(),
-        "language string, content_type string, parseable boolean, language_key string",
-    )
+def language_of(path: Column) -> Column:
+    """Struct (slug, content_type, parseable) of a path, null when unsupported.
+
+    The fixed table is a constant map in the expression, so no join is planned for it.
+    """
+    entries = []
+    for slug, content_type, parseable, key in language_rows():
+        entries += [
+            F.lit(key),
+            F.struct(
+                F.lit(slug).alias("slug"),
+                F.lit(content_type).alias("content_type"),
+                F.lit(parseable).alias("parseable"),
+            ),
+        ]
+    return F.try_element_at(F.create_map(*entries), language_key(path))
 
 
 def file_name(path: Column) -> Column:

@@ -14,9 +14,13 @@ BINARY_WINDOW_BYTES = 8_000
 
 def detect_language(df: DataFrame, path_col: str = "path") -> DataFrame:
     """Adds language, content_type and parseable; null language means unsupported."""
-    table = F.broadcast(paths.language_table(df.sparkSession))  # fixed rows, about forty
-    keyed = df.withColumn("language_key", paths.language_key(F.col(path_col)))
-    return keyed.join(table, "language_key", "left").drop("language_key")
+    return (
+        df.withColumn("_language", paths.language_of(F.col(path_col)))
+        .withColumn("language", F.col("_language.slug"))
+        .withColumn("content_type", F.col("_language.content_type"))
+        .withColumn("parseable", F.col("_language.parseable"))
+        .drop("_language")
+    )
 
 
 def metadata_reason(max_file_bytes: int) -> Column:
