@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.operators import chunking, filters
+from textquarry.operators import chunking, filters, lexical
+from textquarry.plans import index as plan
+from textquarry.session import checkpoint_dir
 from textquarry.settings import IndexLimits
 from textquarry.sources import files as source_files
 
@@ -49,6 +52,29 @@ def document_chunks(spark: SparkSession, sf_dir: str, one_corpus: bool = True) -
     return chunking.chunk_by_lines(document_files(spark, sf_dir, one_corpus), CHUNK_LIMITS)
 
 
+_PUBLISHED: dict[tuple[str, str], str] = {}
+
+
+def corpus_index(spark: SparkSession, sf_dir: str) -> plan.CorpusIndex:
+    """The documents as one published index, as searches would find it.
+
+    Built from the whole table into the shared checkpoint folder on first use in an application;
+    each table is derived from the one written before it.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PUBLISHED:
+        path = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+        document_files(spark, sf_dir, one_corpus=True).write.parquet(f"{path}/files")
+        files = spark.read.parquet(f"{path}/files")
+        chunking.chunk_by_lines(files, CHUNK_LIMITS).write.parquet(f"{path}/chunks")
+        chunks = spark.read.parquet(f"{path}/chunks")
+        lexical.build_postings(chunks).write.parquet(f"{path}/postings")
+        plan.chunk_vectors(spark.read.parquet(f"{path}/postings")).write.parquet(f"{path}/embeddings")
+        files.select("repository_id", "path", "size").write.parquet(f"{path}/decisions")
+        _PUBLISHED[key] = path
+    return plan.load_index(spark, _PUBLISHED[key])
+
+
 def with_ctes(*ctes: str, select: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + select
 

@@ -1 +1,172 @@
+"""Tokenisation, inverted index and full-text search."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textquarry.catalog import lexical_sql as sql
+from textquarry.catalog.base import (
+    CHUNKS_SQL,
+    CORPUS,
+    CORPUS_FILES_SQL,
+    corpus_index,
+    document_chunks,
+    query,
+    table,
+    with_ctes,
+)
+from textquarry.functions import terms
+from textquarry.operators import lexical
+
+# Every benchmark passage is a question; it also names one document, as a question about a
+# known file would.
+QUERIES_SQL = f"""queries AS (
+  SELECT item_id AS query_id, '{CORPUS}' AS repository_id, text || ' see en/' || item_id || '.txt' AS text FROM benchmark)"""
+
+
+def benchmark_queries(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"),
+        F.lit(CORPUS).alias("repository_id"),
+        F.concat(F.col("text"), F.lit(" see en/"), F.col("item_id").cast("string"), F.lit(".txt")).alias("text"),
+    )
+
+
+CORPUS_SQL = (CORPUS_FILES_SQL, CHUNKS_SQL, sql.POSTINGS_SQL)
+ASKED_SQL = (*CORPUS_SQL, QUERIES_SQL, sql.QUERY_TERMS_SQL, sql.STATS_SQL)
+SEARCHED_SQL = (*ASKED_SQL, sql.LEXICAL_SQL)
+
+# Identifier-like words: part names and document words joined in the usual program styles.
+STYLED_SQL = """styled AS (
+  SELECT doc_id, unnest([w1 || '_' || w2, w1 || upper(w2[1:1]) || w2[2:], upper(w1) || upper(w2[1:1]) || lower(w2[2:]),
+                         '$' || w1 || doc_id || w2, w1]) AS word, unnest([1, 2, 3, 4, 5]) AS form
+  FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+')[1] AS w1, coalesce(regexp_extract_all(text, '[A-Za-z]+')[2], '') AS w2 FROM documents))"""
+
+
+@query(
+    "identifier_terms",
+    with_ctes(STYLED_SQL, select=f"SELECT doc_id, form, array_to_string({sql.terms_of('word')}, ' ') AS terms FROM styled"),
+)
+def identifier_terms(spark, sf_dir):
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    w1 = F.try_element_at(words, F.lit(1))
+    w2 = F.coalesce(F.try_element_at(words, F.lit(2)), F.lit(""))
+    head, tail = F.upper(F.substring(w2, 1, 1)), F.substring(w2, 2, 10_000)
+    styles = F.array(
+        F.concat(w1, F.lit("_"), w2), F.concat(w1, head, tail), F.concat(F.upper(w1), head, F.lower(tail)),
+        F.concat(F.lit("$"), w1, F.col("doc_id").cast("string"), w2), w1,
+    )
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(styles).alias("_n", "word"))
+    return rows.select(
+        "doc_id", (F.col("_n") + 1).alias("form"), F.array_join(terms.identifier_terms(F.col("word")), " ").alias("terms")
+    )
+
+
+@query(
+    "text_terms",
+    with_ctes(
+        *CORPUS_SQL,
+        select="""SELECT chunk_id, count(*) AS terms, count(DISTINCT term) AS distinct_terms,
+                         md5(string_agg(term, ' ' ORDER BY term)) AS terms_md5
+                  FROM chunk_term_rows WHERE is_name = 0 GROUP BY chunk_id""",
+    ),
+)
+def text_terms(spark, sf_dir):
+    found = document_chunks(spark, sf_dir).select("chunk_id", terms.text_terms(F.col("content")).alias("t"))
+    return found.where(F.size("t") > 0).select(
+        "chunk_id", F.size("t").alias("terms"), F.size(F.array_distinct("t")).alias("distinct_terms"),
+        F.md5(F.array_join(F.array_sort("t"), " ")).alias("terms_md5"),
+    )
+
+
+@query(
+    "lexical_fields",
+    with_ctes(
+        *CORPUS_SQL,
+        select="""SELECT chunk_id, count(*) FILTER (WHERE is_name = 1) AS name_terms,
+                         count(*) FILTER (WHERE is_name = 0) AS body_terms FROM chunk_term_rows GROUP BY chunk_id""",
+    ),
+)
+def lexical_fields(spark, sf_dir):
+    chunks = document_chunks(spark, sf_dir)
+    return lexical.lexical_fields(chunks).select(
+        "chunk_id", F.size("names").alias("name_terms"), F.size("body").alias("body_terms")
+    )
+
+
+@query(
+    "query_terms",
+    with_ctes(QUERIES_SQL, sql.QUERY_TERMS_SQL, select="SELECT query_id, position, term FROM query_terms"),
+)
+def query_terms(spark, sf_dir):
+    return lexical.query_terms(benchmark_queries(spark, sf_dir)).select("query_id", "position", "term")
+
+
+@query(
+    "query_identifiers",
+    with_ctes(
+        QUERIES_SQL.replace("FROM benchmark", "FROM benchmark UNION ALL SELECT page_id + 1000000, 'corpus', url || ' ' || html FROM pages"),
+        sql.QUERY_TERMS_SQL,
+        select="SELECT q.query_id, coalesce(array_to_string(identifiers, ' '), '') AS identifiers FROM queries q LEFT JOIN identifiers USING (query_id)",
+    ),
+)
+def query_identifiers(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(
+        (F.col("page_id") + 1_000_000).alias("query_id"), F.lit(CORPUS).alias("repository_id"),
+        F.concat_ws(" ", "url", "html").alias("text"),
+    )
+    asked = benchmark_queries(spark, sf_dir).unionByName(pages)
+    return lexical.query_identifiers(asked).select("query_id", F.array_join("identifiers", " ").alias("identifiers"))
+
+
+@query(
+    "build_postings",
+    with_ctes(*CORPUS_SQL, select="SELECT term, chunk_id, tf_names, tf_body, chunk_terms FROM postings"),
+)
+def build_postings(spark, sf_dir):
+    postings = lexical.build_postings(document_chunks(spark, sf_dir))
+    return postings.select("term", "chunk_id", "tf_names", "tf_body", "chunk_terms")
+
+
+def asked(spark, sf_dir):
+    index = corpus_index(spark, sf_dir)
+    rows = lexical.query_terms(benchmark_queries(spark, sf_dir))
+    return index.postings, rows, lexical.term_statistics(index.postings, index.chunks, rows)
+
+
+@query(
+    "term_statistics",
+    with_ctes(*ASKED_SQL, select="SELECT term, total_chunks, df FROM stats"),
+)
+def term_statistics(spark, sf_dir):
+    return asked(spark, sf_dir)[2].select("term", "total_chunks", "df")
+
+
+@query("idf", with_ctes(*ASKED_SQL, select="SELECT term, round(idf, 6) AS idf, informative FROM stats"))
+def idf(spark, sf_dir):
+    return asked(spark, sf_dir)[2].select("term", F.round("idf", 6).alias("idf"), "informative")
+
+
+@query(
+    "lexical_search",
+    with_ctes(
+        *SEARCHED_SQL,
+        select="SELECT query_id, chunk_id, round(text_rank, 6) AS text_rank, text_position, matched_terms FROM lexical_hits",
+    ),
+)
+def lexical_search(spark, sf_dir):
+    postings, rows, stats = asked(spark, sf_dir)
+    return lexical.lexical_search(postings, stats, rows, sql.LEXICAL_LIMIT).select(
+        "query_id", "chunk_id", F.round("text_rank", 6).alias("text_rank"), "text_position",
+        F.array_join("matched_terms", " ").alias("matched_terms"),
+    )
+
+
+@query(
+    "coverage",
+    with_ctes(*SEARCHED_SQL, select="SELECT query_id, chunk_id, round(coverage, 6) AS coverage FROM covered"),
+)
+def coverage(spark, sf_dir):
+    postings, rows, stats = asked(spark, sf_dir)
+    hits = lexical.lexical_search(postings, stats, rows, sql.LEXICAL_LIMIT)
+    return lexical.coverage(hits, stats, rows).select("query_id", "chunk_id", F.round("coverage", 6).alias("coverage"))
