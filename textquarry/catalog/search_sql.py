@@ -133,7 +133,8 @@ folded AS (
   SELECT query_id, n, chunk_id, CASE WHEN stays THEN list_append(kept, toks) ELSE kept END, stays FROM (
     SELECT i.query_id, i.n, i.chunk_id, i.toks, f.kept,
       NOT (len(i.toks) >= {SEARCH.near_min_tokens} AND len(list_filter(f.kept, lambda o: len(o) >= {SEARCH.near_min_tokens}
-        AND len(list_intersect(o, i.toks)) >= {SEARCH.near_jaccard} * (len(o) + len(i.toks) - len(list_intersect(o, i.toks))))) > 0) AS stays
+        AND CASE WHEN least(len(o), len(i.toks)) < {SEARCH.near_jaccard} * greatest(len(o), len(i.toks)) THEN false
+            ELSE len(list_intersect(o, i.toks)) >= {SEARCH.near_jaccard} * (len(o) + len(i.toks) - len(list_intersect(o, i.toks))) END)) > 0) AS stays
     FROM folded f JOIN in_turn i ON i.query_id = f.query_id AND i.n = f.n + 1)),
 survivors AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY n) AS rank FROM folded WHERE n > 0 AND stays),
 candidates AS (
