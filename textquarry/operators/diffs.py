@@ -71,10 +71,10 @@ def diff_lines(diffs: DataFrame) -> DataFrame:
         "hunk",
         "kind",
         F.when(F.col("kind") == "hunk", F.col("raw")).otherwise(F.substring("raw", 2, 10_000_000)).alias("text"),
-        F.when(F.col("kind").isin("context", "remove"), old_start + olds).alias("left_line"),
-        F.when(F.col("kind").isin("context", "add"), new_start + news).alias("right_line"),
+        F.when(F.col("kind").isin("context", "remove"), (old_start + olds).cast("int")).alias("left_line"),
+        F.when(F.col("kind").isin("context", "add"), (new_start + news).cast("int")).alias("right_line"),
         # Old line the row stands before; an empty old range names the line after which it adds.
-        (old_start + olds + F.when(old_count == "0", 1).otherwise(0)).alias("old_cursor"),
+        (old_start + olds + F.when(old_count == "0", 1).otherwise(0)).cast("int").alias("old_cursor"),
     )
 
 

@@ -171,7 +171,7 @@ def register_evidence(spans: DataFrame) -> DataFrame:
         F.min_by("symbol", "seq").alias("symbol"),
         F.min_by("origin", "seq").alias("origin"),
     )
-    order = Window.partitionBy("investigation_id").orderBy("first_seq")
+    order = Window.partitionBy("investigation_id").orderBy("first_seq", "path", "start_line", "end_line")
     return first.withColumn("_n", F.row_number().over(order)).select(
         F.concat(F.lit("S"), F.col("_n").cast("string")).alias("label"), *keys, "symbol", "origin", "first_seq"
     )
