@@ -1 +1,169 @@
+"""Sinks and streams: files written or streamed from the tables, read back as results."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from textquarry.catalog.base import CHUNK_LIMITS, CHUNKS_SQL, FILES_SQL, document_files, query, table, with_ctes
+from textquarry.session import checkpoint_dir
+from textquarry.sources import files as source_files
+from textquarry.sources import sinks
+from textquarry.streaming import jobs
+
+
+def fresh(spark, name: str) -> str:
+    """A new folder in the shared checkpoint location."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "scan_files",
+    """SELECT lang, count(*) AS files, sum(strlen(text) + 1)::BIGINT AS bytes, count(DISTINCT text) AS blobs FROM documents GROUP BY lang""",
+)
+def scan_files(spark, sf_dir):
+    """The documents written out as line files per language and read back as raw bytes."""
+    path = fresh(spark, "corpus")
+    flat = document_files(spark, sf_dir).select(
+        F.split("path", "/")[0].alias("lang"), F.col("pos"), F.replace("content", F.lit("\n"), F.lit("\u2028")).alias("value")
+    )
+    flat.select("lang", "value").write.partitionBy("lang").text(path)
+    found = source_files.scan_files(spark, path, "corpus", "*.txt")
+    lang = F.regexp_extract("path", "^lang=([a-z]+)/", 1)
+    rows = found.select(lang.alias("lang"), F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line"))
+    text = F.replace("line", F.lit("\u2028"), F.lit("\n"))
+    return rows.where("line <> ''").groupBy("lang").agg(
+        F.count("*").alias("files"), F.sum(F.octet_length(text) + 1).alias("bytes"), F.count_distinct("line").alias("blobs")
+    )
+
+
+@query(
+    "replace_snapshot",
+    """SELECT source AS repository_id, CASE WHEN substr(source, 4)::INT % 2 = 0 THEN 'second' ELSE 'first' END AS run, count(*) AS files
+       FROM documents WHERE substr(source, 4)::INT % 2 = 1 OR lang = 'en' GROUP BY ALL""",
+)
+def replace_snapshot(spark, sf_dir):
+    """All repositories are written, then the even ones again with English files only."""
+    path = fresh(spark, "snapshot")
+    files = document_files(spark, sf_dir).select("repository_id", "path")
+    sinks.replace_snapshot(files.withColumn("run", F.lit("first")), path)
+    even = F.substring("repository_id", 4, 10).cast("int") % 2 == 0
+    again = files.where(even & F.col("path").startswith("en/")).withColumn("run", F.lit("second"))
+    sinks.replace_snapshot(again, path)
+    return spark.read.parquet(path).groupBy("repository_id", "run").agg(F.count("*").alias("files"))
+
+
+@query(
+    "append_events",
+    """SELECT event_type AS event, count(*) * 2 AS entries, count(DISTINCT event_id) AS events FROM events GROUP BY event_type""",
+)
+def append_events(spark, sf_dir):
+    path = fresh(spark, "events")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("event"), F.col("ts").alias("at"), "event_id")
+    sinks.append_events(rows, path)
+    sinks.append_events(rows, path)
+    return spark.read.parquet(path).groupBy("event").agg(
+        F.count("*").alias("entries"), F.count_distinct("event_id").alias("events")
+    )
+
+
+@query(
+    "index_stream",
+    with_ctes(
+        FILES_SQL, CHUNKS_SQL,
+        select="SELECT chunk_id, path, start_byte, end_byte, CASE WHEN repository_id = '' THEN 1 ELSE 64 END AS width FROM chunks",
+    ),
+)
+def index_stream(spark, sf_dir):
+    """Two deliveries of the documents: a shortened version first, then the current one."""
+    source, target = fresh(spark, "incoming"), fresh(spark, "live-index")
+    files = document_files(spark, sf_dir).select("repository_id", "path", "sha", "type", "size", "content")
+    older = files.where("path not like 'de/%'").withColumn("content", F.concat(F.lit("old "), F.left("content", F.lit(50))))
+    older = older.withColumn("size", F.octet_length("content").cast("bigint")).withColumn("sha", F.concat(F.lit("o"), "sha"))
+    # Copies share a blob; the sha of the path keeps them apart here.
+    mark = F.sha2(F.concat_ws("|", "path", "sha"), 256)
+    schema = None
+    for version, delivery in enumerate((older, files), start=1):
+        rows = delivery.withColumn("sha", mark).withColumn("version", F.lit(version))
+        rows.write.mode("append").parquet(source)
+        schema = rows.schema
+        stream = spark.readStream.schema(schema).parquet(source)
+        jobs.index_stream(stream, target, f"{target}-progress", CHUNK_LIMITS).awaitTermination()
+    chunks = spark.read.parquet(f"{target}/chunks")
+    vectors = spark.read.parquet(f"{target}/embeddings").select("chunk_id", F.size("embedding").alias("width"))
+    return chunks.join(vectors, "chunk_id").select("chunk_id", "path", "start_byte", "end_byte", "width")
+
+
+def answer_deltas(spark, sf_dir):
+    """Assistant turns cut into words; some never finish, some fail."""
+    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("conv_id") % 600)
+    base = rows.select(key.alias("message_id"), F.split("text", " ").alias("words"), at.alias("ts"), (F.length("text") % 5).alias("fate"))
+    said = base.select(
+        "message_id", F.posexplode("words").alias("seq", "word"), F.lit("text").alias("kind"), "ts"
+    ).select("message_id", "seq", "kind", F.concat("word", F.lit(" ")).alias("text"), "ts")
+    ends = base.where("fate <> 0").select(
+        "message_id", F.size("words").alias("seq"), F.when(F.col("fate") == 1, "error").otherwise("done").alias("kind"),
+        F.lit(None).cast("string").alias("text"), "ts",
+    )
+    return said.unionByName(ends)
+
+
+def run_stream(spark, rows, build, name: str):
+    """Write rows to a folder, stream them through ``build`` to a Parquet sink and read it."""
+    source, target = fresh(spark, f"{name}-in"), fresh(spark, name)
+    rows.write.parquet(source)
+    stream = build(spark.readStream.schema(rows.schema).parquet(source))
+    (
+        stream.writeStream.format("parquet")
+        .option("path", target)
+        .option("checkpointLocation", f"{target}-progress")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    return spark.read.schema(stream.schema).parquet(target)
+
+
+ANSWERS_SQL = """SELECT conv_id || '-' || turn AS message_id, len(string_split(text, ' ')) AS deltas, md5(text || ' ') AS answer_md5
+  FROM conversations WHERE role = 'assistant' AND length(text) % 5 > 1"""
+
+
+@query("assemble_answers", ANSWERS_SQL)
+def assemble_answers(spark, sf_dir):
+    out = run_stream(spark, answer_deltas(spark, sf_dir), jobs.assemble_answers, "answers")
+    return out.select("message_id", "deltas", F.md5("answer").alias("answer_md5"))
+
+
+@query("assemble_answers_batch", ANSWERS_SQL)
+def assemble_answers_batch(spark, sf_dir):
+    out = jobs.assemble_answers_batch(answer_deltas(spark, sf_dir))
+    return out.select("message_id", "deltas", F.md5("answer").alias("answer_md5"))
+
+
+RUNS_SQL = """WITH runs AS (
+  SELECT user_id, min(ts) AS started_at, bool_or(event_type = 'purchase' AND event_id % 40 = 0) AS finished FROM events GROUP BY user_id)
+SELECT user_id::VARCHAR AS run_id, epoch_us(started_at) AS started_us, 'stuck' AS status FROM runs WHERE NOT finished"""
+
+
+def run_events(spark, sf_dir):
+    """Users as runs: their events start a run, one purchase in forty finishes it."""
+    kind = F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 40 == 0), "finished").otherwise("started")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("run_id"), F.array(F.lit("started"), kind).alias("kinds"), F.col("ts").cast("timestamp").alias("ts")
+    ).select("run_id", F.explode(F.array_distinct("kinds")).alias("kind"), "ts")
+
+
+@query("stuck_runs", RUNS_SQL)
+def stuck_runs(spark, sf_dir):
+    out = run_stream(spark, run_events(spark, sf_dir), jobs.stuck_runs, "stuck")
+    return out.select("run_id", F.unix_micros("started_at").alias("started_us"), "status")
+
+
+@query("stuck_runs_batch", RUNS_SQL)
+def stuck_runs_batch(spark, sf_dir):
+    now = F.lit("2024-03-01 00:00:00").cast("timestamp")
+    out = jobs.stuck_runs_batch(run_events(spark, sf_dir), now)
+    return out.select("run_id", F.unix_micros("started_at").alias("started_us"), "status")

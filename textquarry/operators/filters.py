@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions import paths, text
+from textquarry.session import cut_lineage
 from textquarry.settings import INDEX, IndexLimits
 
 BINARY_WINDOW_BYTES = 8_000
@@ -78,7 +79,8 @@ def budget_candidates(accepted: DataFrame, limits: IndexLimits = INDEX) -> DataF
     """
     # The top bit of the size, from its binary text: exact where a logarithm would round.
     size_class = (F.length(F.bin("size")) - 1).alias("size_class")
-    sized = accepted.select("repository_id", "pos", "size", size_class)
+    # Three narrow columns, judged once and read several times below.
+    sized = cut_lineage(accepted.select("repository_id", "pos", "size", size_class))
     quota = (
         F.least(
             F.lit(limits.max_files),
