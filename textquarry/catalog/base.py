@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textquarry.operators import chunking, filters, lexical
 from textquarry.plans import index as plan
-from textquarry.session import checkpoint_dir
+from textquarry.session import checkpoint_dir, spread_scan
 from textquarry.settings import IndexLimits
 from textquarry.sources import files as source_files
 
@@ -41,7 +41,7 @@ CORPUS = "corpus"
 
 
 def document_files(spark: SparkSession, sf_dir: str, one_corpus: bool = False) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = spread_scan(table(spark, sf_dir, "documents"))
     repository = F.lit(CORPUS) if one_corpus else None
     return filters.detect_language(source_files.documents_as_files(documents, repository)).withColumn(
         "blob_sha", F.col("sha")

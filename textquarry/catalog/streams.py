@@ -89,7 +89,7 @@ def index_stream(spark, sf_dir):
         rows.write.mode("append").parquet(source)
         schema = rows.schema
         stream = spark.readStream.schema(schema).parquet(source)
-        jobs.index_stream(stream, target, f"{target}-progress", CHUNK_LIMITS).awaitTermination()
+        jobs.index_stream(stream, target, f"{target}-progress", CHUNK_LIMITS, file_buckets=4).awaitTermination()
     chunks = spark.read.parquet(f"{target}/chunks")
     vectors = spark.read.parquet(f"{target}/embeddings").select("chunk_id", F.size("embedding").alias("width"))
     return chunks.join(vectors, "chunk_id").select("chunk_id", "path", "start_byte", "end_byte", "width")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions import terms, text, vectors
+from textquarry.operators.chunking import let
 from textquarry.settings import SEARCH, SearchSettings
 
 SIGNAL_DIGITS = 6
@@ -186,10 +187,10 @@ def token_set(content: Column) -> Column:
 def _similar(a: Column, b: Column, threshold: float) -> Column:
     """Jaccard at or above the threshold; sizes too far apart are settled without a set operation."""
     small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
-    shared = F.size(F.array_intersect(a, b))
-    return F.when(
-        small >= threshold * large, shared / (F.size(a) + F.size(b) - shared) >= threshold
-    ).otherwise(False)
+    jaccard = let(
+        F.size(F.array_intersect(a, b)), lambda shared: shared / (F.size(a) + F.size(b) - shared)
+    )
+    return F.when(small >= threshold * large, jaccard >= threshold).otherwise(False)
 
 
 def dedupe_near(ranked: DataFrame, settings: SearchSettings = SEARCH) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions import terms
+from textquarry.operators.chunking import let
+from textquarry.session import cut_lineage
 
 NAME_WEIGHT = 1.0
 BODY_WEIGHT = 0.1
@@ -20,30 +22,50 @@ def lexical_fields(chunks: DataFrame) -> DataFrame:
     )
 
 
+def _run_lengths(ordered: Column) -> Column:
+    """(term, count) for each distinct value of a sorted array."""
+    n = F.size(ordered)
+    indexes = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(
+        indexes,
+        lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
+    )
+    return let(
+        starts,
+        lambda at: F.transform(
+            at,
+            lambda i, k: F.struct(
+                F.get(ordered, i).alias("term"), (F.coalesce(F.get(at, k + 1), n) - i).alias("tf")
+            ),
+        ),
+    )
+
+
 def build_postings(chunks: DataFrame) -> DataFrame:
-    """Inverted index: one row per repository, term and chunk with its field frequencies.
+    """Inverted index: one row per repository, chunk and term with its field frequencies.
 
-    The frequencies of one chunk are combined in the task that reads it, so the single shuffle
-    carries one row per distinct term of a chunk. The key includes the chunk, so a term found
-    everywhere does not become one hot group.
+    The terms of a chunk are counted inside its own row, so nothing is shuffled and the rows of
+    a chunk stay together. A search can then sum up a chunk in the task that reads it.
     """
     fields = lexical_fields(chunks).select(
-        "repository_id", "chunk_id", "names", "body",
+        "repository_id", "chunk_id", "names",
+        F.array_sort("body").alias("body"),
         (F.size("names") + F.size("body")).alias("chunk_terms"),
     )
-    tagged = F.concat(
-        F.transform("names", lambda t: F.struct(t.alias("term"), F.lit(1).alias("name"))),
-        F.transform("body", lambda t: F.struct(t.alias("term"), F.lit(0).alias("name"))),
-    )
-    rows = fields.select("repository_id", "chunk_id", "chunk_terms", F.explode(tagged).alias("t"))
-    return (
-        rows.groupBy("repository_id", F.col("t.term").alias("term"), "chunk_id")
-        .agg(
-            F.sum(F.col("t.name").cast("bigint")).alias("tf_names"),
-            F.sum((1 - F.col("t.name")).cast("bigint")).alias("tf_body"),
-            F.max("chunk_terms").alias("chunk_terms"),
+
+    def row(term: Column, tf_body: Column) -> Column:
+        named = F.size(F.filter("names", lambda name: name == term))
+        return F.struct(
+            term.alias("term"), named.cast("bigint").alias("tf_names"), tf_body.cast("bigint").alias("tf_body")
         )
+
+    in_body = let(
+        F.col("body"), lambda ordered: F.transform(_run_lengths(ordered), lambda r: row(r["term"], r["tf"]))
     )
+    only_named = F.transform(F.array_except("names", "body"), lambda term: row(term, F.lit(0)))
+    return fields.select(
+        "repository_id", "chunk_id", "chunk_terms", F.inline(F.concat(in_body, only_named))
+    ).select("repository_id", "term", "chunk_id", "tf_names", "tf_body", "chunk_terms")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -105,21 +127,10 @@ def is_informative(total: Column, df: Column) -> Column:
     return df * 2 <= F.greatest(total, F.lit(1))
 
 
-def matched_postings(
-    postings: DataFrame, stats: DataFrame, query_term_rows: DataFrame
-) -> DataFrame:
-    """Postings of searchable terms per query. Terms in no or in most chunks are left out first.
-
-    The asked side is joined without a hint: Spark broadcasts it only when it measures small,
-    and otherwise splits the skewed partitions of frequent terms.
-    """
-    searchable = query_term_rows.join(
-        stats.where("df > 0 and informative and lexical_available").select(
-            "repository_id", "term", "idf"
-        ),
-        ["repository_id", "term"],
-    )
-    return postings.join(searchable, ["repository_id", "term"])
+def searchable_terms(stats: DataFrame, query_term_rows: DataFrame) -> DataFrame:
+    """Asked terms worth looking up: those in no or in most chunks are left out."""
+    known = stats.where("df > 0 and informative and lexical_available")
+    return query_term_rows.join(known.select("repository_id", "term", "idf"), ["repository_id", "term"])
 
 
 def text_rank() -> Column:
@@ -131,23 +142,31 @@ def text_rank() -> Column:
 def lexical_search(
     postings: DataFrame, stats: DataFrame, query_term_rows: DataFrame, limit: int
 ) -> DataFrame:
-    """Top chunks per query by text rank, with the matched terms in question order."""
+    """Top chunks per query by text rank, with the matched terms in question order.
+
+    The first pass only sums numbers; rows of one chunk lie in one task, so they combine before
+    the shuffle. Terms are gathered in a second pass, for the top chunks alone. The looked-up
+    terms are written first: both passes read them, and the planner then knows their size, so it
+    broadcasts them when they are small and otherwise splits the partitions of frequent terms.
+    """
+    searchable = cut_lineage(searchable_terms(stats, query_term_rows))
+    # A chunk id names its repository too, so the keys stay short.
     hits = (
-        matched_postings(postings, stats, query_term_rows)
-        .groupBy("query_id", "repository_id", "chunk_id")
-        .agg(
-            text_rank().alias("text_rank"),
-            F.sum("idf").alias("matched_idf"),
-            F.array_sort(F.collect_list(F.struct("position", "term"))).alias("_terms"),
-        )
+        postings.join(searchable, ["repository_id", "term"])
+        .groupBy("query_id", "chunk_id")
+        .agg(text_rank().alias("text_rank"), F.sum("idf").alias("matched_idf"))
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("text_rank"), "chunk_id")
-    return (
-        hits.withColumn("text_position", F.row_number().over(best))
-        .where(F.col("text_position") <= limit)
-        .withColumn("matched_terms", F.transform("_terms", lambda t: t["term"]))
-        .drop("_terms")
+    top = hits.withColumn("text_position", F.row_number().over(best)).where(
+        F.col("text_position") <= limit
+    )
+    found = (
+        postings.select("chunk_id", "term")
+        .join(top.join(searchable.select("query_id", "term", "position"), "query_id"), ["chunk_id", "term"])
+        .groupBy("query_id", "chunk_id", "text_rank", "matched_idf", "text_position")
+        .agg(F.array_sort(F.collect_list(F.struct("position", "term"))).alias("_terms"))
     )
+    return found.withColumn("matched_terms", F.transform("_terms", lambda t: t["term"])).drop("_terms")
 
 
 def coverage(hits: DataFrame, stats: DataFrame, query_term_rows: DataFrame) -> DataFrame:

@@ -43,7 +43,8 @@ def retrieve_pool(
     only to pooled ids. Duplicate-free ids make both lookups plain joins with a small side.
     """
     asked = lexical.query_terms(queries)
-    stats = lexical.term_statistics(postings, chunks, asked)
+    # One row per asked term, read three times below.
+    stats = cut_lineage(lexical.term_statistics(postings, chunks, asked))
     lexical_hits = lexical.coverage(
         lexical.lexical_search(postings, stats, asked, settings.lexical_candidates), stats, asked
     ).select("query_id", "chunk_id", "text_rank", "coverage", "matched_terms")
@@ -75,7 +76,7 @@ def rank_candidates(pool: DataFrame, settings: SearchSettings = SEARCH) -> Searc
     kept = fusion.dedupe_near(fusion.dedupe_exact(fused), settings)
     order = Window.partitionBy("query_id").orderBy("fused_rank")
     final = kept.select("query_id", "chunk_id", F.row_number().over(order).alias("_rank"))
-    candidates = (
+    candidates = cut_lineage(
         fused.join(final, ["query_id", "chunk_id"], "left")
         .withColumn("rank", F.coalesce("_rank", F.lit(0)))
         .withColumn("kept", F.col("rank") > 0)

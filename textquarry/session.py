@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,9 +38,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder, so later stages survive a lost executor."""
+    """Write to a new table in the shared folder and read it back.
+
+    Later stages then survive a lost executor, and the planner knows the table's size, which a
+    checkpointed RDD would hide: it picks the small side of a join by it.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint()
+    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """Redistribute a plain scan that yields fewer tasks than there are cores.
+
+    A small table in one file would otherwise be processed by one task. A scan with enough
+    splits, as any large table has, is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -84,7 +84,9 @@ def index_stream(
                 rows = rows.unionByName(kept.select(*rows.columns))
             staging = f"{index_path}/_staging/{name}"
             partitions = ["repository_id", "file_bucket"]
-            rows.write.mode("overwrite").partitionBy(*partitions).parquet(staging)
+            # One task per bucket, so a bucket is a few files; a large repository has many buckets.
+            gathered = rows.repartition(*partitions)
+            gathered.write.mode("overwrite").partitionBy(*partitions).parquet(staging)
             (
                 spark.read.schema(rows.schema).parquet(staging)
                 .write.mode("overwrite")
