@@ -123,14 +123,14 @@ def overlapping_anchors(spark, sf_dir):
     "file_scope",
     with_ctes(
         FILES_SQL, EDITS_SQL,
-        select="""SELECT path, edit, CASE WHEN proposal_id % 3 = 0 THEN 'not_read' WHEN proposal_id % 5 = 0 THEN 'not_indexed' ELSE 'allowed' END AS scope FROM edits""",
+        select="""SELECT path, edit, CASE WHEN path LIKE 'es/%' THEN 'not_read' WHEN path LIKE 'fr/%' THEN 'not_indexed' ELSE 'allowed' END AS scope FROM edits""",
     ),
 )
 def file_scope(spark, sf_dir):
-    """Every third proposal read nothing; every fifth file has left the index."""
+    """Spanish files were never read; French ones have left the index."""
     rows, files = document_edits(spark, sf_dir)
-    reads = rows.where("proposal_id % 3 <> 0").select("proposal_id", "path")
-    return edits.file_scope(rows, files.where("pos % 5 <> 0"), reads).select("path", "edit", "scope")
+    reads = rows.where("path not like 'es/%'").select("proposal_id", "path")
+    return edits.file_scope(rows, files.where("path not like 'fr/%'"), reads).select("path", "edit", "scope")
 
 
 @query(
@@ -241,19 +241,19 @@ def stale_changes(spark, sf_dir):
     "live_branch_check",
     with_ctes(
         FILES_SQL,
-        select="""SELECT pos AS change_id, CASE WHEN pos % 3 = 0 OR (pos % 5 <> 0 AND pos % 11 <> 0) THEN 'current' ELSE 'stale' END AS live_status,
-                         CASE WHEN pos % 3 = 0 THEN 'c1' WHEN pos % 5 <> 0 AND pos % 11 <> 0 THEN 'c2' ELSE '' END AS build_on FROM files""",
+        select="""SELECT pos AS change_id, CASE WHEN pos % 3 = 0 OR (pos % 5 <> 0 AND path NOT LIKE 'de/%') THEN 'current' ELSE 'stale' END AS live_status,
+                         CASE WHEN pos % 3 = 0 THEN 'c1' WHEN pos % 5 <> 0 AND path NOT LIKE 'de/%' THEN 'c2' ELSE '' END AS build_on FROM files""",
     ),
 )
 def live_branch_check(spark, sf_dir):
-    """Heads moved for two changes in three; every fifth live file differs, every eleventh is gone."""
+    """Heads moved for two changes in three; every fifth live file differs, German ones are gone."""
     files = document_files(spark, sf_dir)
     key = F.col("pos")
     changes = files.select(
         key.alias("change_id"), "repository_id", F.lit("c1").alias("base_sha"), F.when(key % 3 == 0, "c1").otherwise("c2").alias("head_sha")
     )
     pinned = files.select(key.alias("change_id"), "path", "blob_sha")
-    live = files.where(key % 11 != 0).select(
+    live = files.where("path not like 'de/%'").select(
         "repository_id", "path", F.when(key % 5 == 0, "newer").otherwise(F.col("blob_sha")).alias("live_blob")
     )
     out = edits.live_branch_check(changes, pinned, live)

@@ -120,7 +120,7 @@ changes AS (
            WHEN 1 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'proposed' ELSE 'rejected' END WHEN 2 THEN 'pr_created' WHEN 3 THEN 'failed' END AS status,
          o_orderdate FROM orders),
 known_changes AS (SELECT * FROM changes WHERE status IS NOT NULL),
-conversations_of AS (SELECT c_custkey % (SELECT count(*) FROM supplier) AS repository_id, c_custkey FROM customer WHERE c_custkey % 3 = 0)"""
+conversations_of AS (SELECT c_custkey % (SELECT count(*) FROM supplier) AS repository_id, c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')"""
 
 
 def lifecycle_tables(spark, sf_dir):
@@ -142,7 +142,7 @@ def lifecycle_tables(spark, sf_dir):
         .where("status is not null")
     )
     conversations = (
-        customer.where("c_custkey % 3 = 0").withColumn("one", F.lit(1)).join(count, "one")
+        customer.where("c_mktsegment = 'MACHINERY'").withColumn("one", F.lit(1)).join(count, "one")
         .select("c_custkey", (F.col("c_custkey") % F.col("n")).alias("repository_id"))
     )
     return repositories, conversations, changes
