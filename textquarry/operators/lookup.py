@@ -159,21 +159,38 @@ def unread_ranges(reads: DataFrame, totals: DataFrame) -> DataFrame:
     return inner.unionByName(tail)
 
 
-def register_evidence(spans: DataFrame) -> DataFrame:
+def register_evidence(spans: DataFrame, block: int = 65_536) -> DataFrame:
     """Stable label per investigation and span by first appearance.
 
     ``spans`` has investigation_id, seq, path, start_line, end_line, symbol, origin. Repeats of a
-    span collapse map-side before labels are numbered.
+    span collapse map-side. Labels are numbered within blocks of ``seq`` and shifted by the size
+    of the earlier blocks, so a huge investigation is numbered by many tasks.
     """
     keys = ["investigation_id", "path", "start_line", "end_line"]
-    first = spans.groupBy(*keys).agg(
-        F.min("seq").alias("first_seq"),
-        F.min_by("symbol", "seq").alias("symbol"),
-        F.min_by("origin", "seq").alias("origin"),
+    first = (
+        spans.groupBy(*keys)
+        .agg(
+            F.min("seq").alias("first_seq"),
+            F.min_by("symbol", "seq").alias("symbol"),
+            F.min_by("origin", "seq").alias("origin"),
+        )
+        .withColumn("_block", F.floor(F.col("first_seq") / block))
+    )
+    in_block = Window.partitionBy("investigation_id", "_block").orderBy("first_seq", "path", "start_line", "end_line")
+    earlier = (
+        Window.partitionBy("investigation_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     )
-    order = Window.partitionBy("investigation_id").orderBy("first_seq", "path", "start_line", "end_line")
-    return first.withColumn("_n", F.row_number().over(order)).select(
-        F.concat(F.lit("S"), F.col("_n").cast("string")).alias("label"), *keys, "symbol", "origin", "first_seq"
+    shifts = (
+        first.groupBy("investigation_id", "_block")
+        .agg(F.count("*").alias("_size"))
+        .withColumn("_shift", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+        .drop("_size")
+    )
+    number = F.row_number().over(in_block) + F.col("_shift")
+    return (
+        first.join(shifts, ["investigation_id", "_block"])
+        .withColumn("label", F.concat(F.lit("S"), number.cast("string")))
+        .select("label", *keys, "symbol", "origin", "first_seq")
     )
 
 
