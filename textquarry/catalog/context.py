@@ -213,13 +213,13 @@ def question_answers(spark, sf_dir):
     with_ctes(
         *SELECTED,
         select="""SELECT 'm' || query_id AS message_id, chunk_id, label AS rank, 'S' || label AS label, path, start_line, end_line,
-                         language, round(score, 6) AS score FROM selected WHERE label IS NOT NULL""",
+                         language, score FROM selected WHERE label IS NOT NULL""",
     ),
 )
 def persist_citations(spark, sf_dir):
     _, selected = selection(spark, sf_dir)
     rows = citations.persist_citations(question_answers(spark, sf_dir), selected)
-    return rows.drop("symbol").withColumn("score", F.round("score", 6))
+    return rows.drop("symbol")
 
 
 @query(

@@ -49,14 +49,14 @@ def or_zero(column: str):
     "candidate_pool",
     with_ctes(
         *POOLED,
-        select="""SELECT query_id, chunk_id, round(score, 6) AS score, coalesce(semantic_rank, 0) AS semantic_rank,
-                         round(text_rank, 6) AS text_rank, round(coverage, 6) AS coverage, matched_terms FROM pool""",
+        select="""SELECT query_id, chunk_id, score, coalesce(semantic_rank, 0) AS semantic_rank,
+                         text_rank, coverage, matched_terms FROM pool""",
     ),
 )
 def candidate_pool(spark, sf_dir):
     return pooled(spark, sf_dir).select(
-        number("query_id"), "chunk_id", F.round("score", 6).alias("score"), or_zero("semantic_rank"),
-        F.round("text_rank", 6).alias("text_rank"), F.round("coverage", 6).alias("coverage"),
+        number("query_id"), "chunk_id", F.col("score"), or_zero("semantic_rank"),
+        F.col("text_rank"), F.col("coverage"),
         F.array_join("matched_terms", " ").alias("matched_terms"),
     )
 
@@ -91,20 +91,20 @@ def list_ranks(spark, sf_dir):
 
 @query(
     "rrf",
-    with_ctes(*FUSED, select="SELECT query_id, chunk_id, round(fused, 6) AS fused, fused_rank FROM fused_ranks"),
+    with_ctes(*FUSED, select="SELECT query_id, chunk_id, fused, fused_rank FROM fused_ranks"),
 )
 def rrf(spark, sf_dir):
-    return fused(spark, sf_dir).select(number("query_id"), "chunk_id", F.round("fused", 6).alias("fused"), "fused_rank")
+    return fused(spark, sf_dir).select(number("query_id"), "chunk_id", F.col("fused"), "fused_rank")
 
 
 @query(
     "semantic_separation",
-    with_ctes(*EXCESSED, select="SELECT query_id, pool_size, round(semantic_separation, 4) AS semantic_separation FROM separation"),
+    with_ctes(*EXCESSED, select="SELECT query_id, pool_size, semantic_separation FROM separation"),
 )
 def semantic_separation(spark, sf_dir):
     signalled = fusion.exact_signals(pooled(spark, sf_dir))
     return fusion.semantic_separation(signalled).select(
-        number("query_id"), "pool_size", F.round("semantic_separation", 4).alias("semantic_separation")
+        number("query_id"), "pool_size", F.col("semantic_separation")
     )
 
 
@@ -112,14 +112,14 @@ def semantic_separation(spark, sf_dir):
     "semantic_excess",
     with_ctes(
         *EXCESSED,
-        select="""SELECT query_id, chunk_id, semantic_position, round(semantic_excess, 4) AS semantic_excess FROM excess
+        select="""SELECT query_id, chunk_id, semantic_position, semantic_excess FROM excess
                   WHERE semantic_position IS NOT NULL""",
     ),
 )
 def semantic_excess(spark, sf_dir):
     excess = fusion.semantic_excess(fusion.exact_signals(pooled(spark, sf_dir)))
     return excess.where("semantic_position is not null").select(
-        number("query_id"), "chunk_id", "semantic_position", F.round("semantic_excess", 4).alias("semantic_excess")
+        number("query_id"), "chunk_id", "semantic_position", F.col("semantic_excess")
     )
 
 
@@ -160,13 +160,13 @@ COUNTS = (
     "evidence_signals",
     with_ctes(
         *JUDGED,
-        select=f"SELECT query_id, {', '.join(COUNTS)}, round(semantic_separation, 4) AS semantic_separation, round(best_excess, 4) AS semantic_excess FROM strengths",
+        select=f"SELECT query_id, {', '.join(COUNTS)}, semantic_separation, best_excess AS semantic_excess FROM strengths",
     ),
 )
 def evidence_signals(spark, sf_dir):
     return searched(spark, sf_dir).strengths.select(
-        number("query_id"), *COUNTS, F.round("semantic_separation", 4).alias("semantic_separation"),
-        F.round("semantic_excess", 4).alias("semantic_excess"),
+        number("query_id"), *COUNTS, F.col("semantic_separation"),
+        F.col("semantic_excess"),
     )
 
 
@@ -179,8 +179,8 @@ def evidence_strength(spark, sf_dir):
     "hybrid_search",
     with_ctes(
         *JUDGED,
-        select="""SELECT query_id, rank, chunk_id, path || ':' || start_line || '-' || end_line AS location, round(fused, 6) AS fused,
-                         round(score, 6) AS score, round(coverage, 6) AS coverage, coalesce(exact_match, '') AS exact_match, strength
+        select="""SELECT query_id, rank, chunk_id, path || ':' || start_line || '-' || end_line AS location, fused,
+                         score, coverage, coalesce(exact_match, '') AS exact_match, strength
                   FROM candidates JOIN strengths USING (query_id) WHERE rank BETWEEN 1 AND 10""",
     ),
 )
@@ -193,7 +193,7 @@ def hybrid_search(spark, sf_dir):
         .select(
             number("query_id"), "rank", "chunk_id",
             F.concat("path", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")).alias("location"),
-            F.round("fused", 6).alias("fused"), F.round("score", 6).alias("score"),
-            F.round("coverage", 6).alias("coverage"), F.coalesce("exact_match", F.lit("")).alias("exact_match"), "strength",
+            F.col("fused"), F.col("score"),
+            F.col("coverage"), F.coalesce("exact_match", F.lit("")).alias("exact_match"), "strength",
         )
     )

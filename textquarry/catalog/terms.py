@@ -151,22 +151,22 @@ def idf(spark, sf_dir):
     "lexical_search",
     with_ctes(
         *SEARCHED_SQL,
-        select="SELECT query_id, chunk_id, round(text_rank, 6) AS text_rank, text_position, matched_terms FROM lexical_hits",
+        select="SELECT query_id, chunk_id, text_rank, text_position, matched_terms FROM lexical_hits",
     ),
 )
 def lexical_search(spark, sf_dir):
     postings, rows, stats = asked(spark, sf_dir)
     return lexical.lexical_search(postings, stats, rows, sql.LEXICAL_LIMIT).select(
-        "query_id", "chunk_id", F.round("text_rank", 6).alias("text_rank"), "text_position",
+        "query_id", "chunk_id", F.col("text_rank"), "text_position",
         F.array_join("matched_terms", " ").alias("matched_terms"),
     )
 
 
 @query(
     "coverage",
-    with_ctes(*SEARCHED_SQL, select="SELECT query_id, chunk_id, round(coverage, 6) AS coverage FROM covered"),
+    with_ctes(*SEARCHED_SQL, select="SELECT query_id, chunk_id, coverage FROM covered"),
 )
 def coverage(spark, sf_dir):
     postings, rows, stats = asked(spark, sf_dir)
     hits = lexical.lexical_search(postings, stats, rows, sql.LEXICAL_LIMIT)
-    return lexical.coverage(hits, stats, rows).select("query_id", "chunk_id", F.round("coverage", 6).alias("coverage"))
+    return lexical.coverage(hits, stats, rows).select("query_id", "chunk_id", F.col("coverage"))

@@ -193,13 +193,13 @@ nearest AS (
 
 @query(
     "cosine_top_k",
-    with_ctes(LABELLED_SQL, select="SELECT query_id, vec_id, semantic_rank, round(score, 6) AS score FROM nearest"),
+    with_ctes(LABELLED_SQL, select="SELECT query_id, vec_id, semantic_rank, score FROM nearest"),
 )
 def cosine_top_k(spark, sf_dir):
     centres, corpus = labelled(spark, sf_dir)
     return vectors.cosine_top_k(centres, corpus, TOP).select(
         F.col("query_id").cast("bigint").alias("query_id"), F.col("chunk_id").cast("bigint").alias("vec_id"),
-        "semantic_rank", F.round("score", 6).alias("score"),
+        "semantic_rank", F.col("score"),
     )
 
 
@@ -207,7 +207,7 @@ def cosine_top_k(spark, sf_dir):
     "cosine_of_label_centres",
     with_ctes(
         LABELLED_SQL,
-        select="SELECT vec_id, round(score, 6) AS score FROM cosines c JOIN embeddings e USING (vec_id) WHERE c.query_id = e.label",
+        select="SELECT vec_id, score FROM cosines c JOIN embeddings e USING (vec_id) WHERE c.query_id = e.label",
     ),
 )
 def cosine_of_label_centres(spark, sf_dir):
@@ -216,7 +216,7 @@ def cosine_of_label_centres(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").withColumn("query_id", F.col("label").cast("string"))
     joined = rows.join(centres.withColumnRenamed("embedding", "centre"), "query_id")
     return joined.select(
-        "vec_id", F.round(vector_functions.cosine(F.col("embedding"), F.col("centre")), 6).alias("score")
+        "vec_id", F.round(vector_functions.cosine(F.col("embedding"), F.col("centre")), 9).alias("score")
     )
 
 
@@ -232,7 +232,7 @@ def ann_top_k(spark, sf_dir):
     "similarity_for_pairs",
     with_ctes(
         *SEARCHED_SQL, sql.SEMANTIC_SQL,
-        select="""SELECT l.query_id, l.chunk_id, round(x.score, 6) AS score FROM covered l
+        select="""SELECT l.query_id, l.chunk_id, x.score FROM covered l
                   JOIN sims x ON x.query_id = l.query_id AND x.chunk_id = l.chunk_id
                   WHERE NOT EXISTS (SELECT 1 FROM semantic s WHERE s.query_id = l.query_id AND s.chunk_id = l.chunk_id)""",
     ),
@@ -246,7 +246,7 @@ def similarity_for_pairs(spark, sf_dir):
     vectors_of = plan.query_vectors(queries).withColumn("query_id", F.col("query_id").cast("string"))
     semantic = vectors.cosine_top_k(vectors_of, index.embeddings, 40)
     extra = vectors.outside_pool_similarity(hits, semantic, vectors_of, index.embeddings)
-    return extra.select(F.col("query_id").cast("bigint").alias("query_id"), "chunk_id", F.round("score", 6).alias("score"))
+    return extra.select(F.col("query_id").cast("bigint").alias("query_id"), "chunk_id", F.col("score"))
 
 
 @query(
