@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from textquarry.session import cut_lineage
 
-WORD = r"[^\x20\x09-\x0D]+"
 LIMIT = 3
 WEIGHTS = (5, 2, 1)
 
@@ -54,17 +53,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit:
     return cut_lineage(done if done is not None else left.select("source", "source_size", F.lit(0.0).alias("target")))
 
 
-def permuted(index: Column, key: Column, size: Column, seed: int, rounds: int = 16) -> Column:
-    """A keyed pseudorandom permutation of 0..size-1 (swap or not), as one expression."""
+def permuted(rows: DataFrame, index: str, key: Column, size: str, seed: int, rounds: int = 8) -> DataFrame:
+    """Replaces `index` by its place in a keyed pseudorandom permutation of 0..size-1 (swap or not)."""
+    rows = rows.withColumn("_key", F.xxhash64(key, F.lit(seed))).withColumn(index, F.col(index).cast("bigint"))
+    for r in range(rounds):
+        turned = F.pmod(F.pmod(F.xxhash64("_key", F.lit(r)), F.col(size)) + F.col(size) - F.col(index), F.col(size))
+        rows = rows.withColumn("_other", turned)
+        stays = F.pmod(F.xxhash64("_key", F.lit(~r), F.greatest(index, "_other")), F.lit(2)) == 0
+        rows = rows.withColumn(index, F.when(stays, F.col(index)).otherwise(F.col("_other")))
+    return rows.drop("_key", "_other")
 
-    def swap(x: Column, r: Column) -> Column:
-        other = F.pmod(F.pmod(F.xxhash64(key, r, F.lit(seed)), size) + size - x, size)
-        return F.when(F.pmod(F.xxhash64(key, r, F.greatest(x, other), F.lit(seed + 1)), F.lit(2)) == 0, x).otherwise(other)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), index.cast("bigint"), swap)
-
-
-def place(documents: DataFrame, key: str, per_bucket: int = 50_000) -> DataFrame:
+def place(documents: DataFrame, key: str, per_bucket: int = 2_000) -> DataFrame:
     """Adds the first word's index in the stream of its source, `start`, without a task per source.
 
     Documents of a source are dealt to buckets by hash; running sums go over the buckets of a
@@ -86,7 +86,9 @@ def place(documents: DataFrame, key: str, per_bucket: int = 50_000) -> DataFrame
     )
 
 
-def draw_blocks(targets: DataFrame, block_words: int, shard_slots: int = 65_536, limit: int = LIMIT, seed: int = 11) -> DataFrame:
+def draw_blocks(
+    targets: DataFrame, block_words: int, shard_slots: int = 65_536, slice_slots: int = 8192, limit: int = LIMIT, seed: int = 11
+) -> DataFrame:
     """(source, shard, slot, block): the block that fills each slot of a source in each shard."""
     sized = targets.filter("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block_words).cast("bigint"))
     sized = sized.withColumn("slots", F.col("target") * F.col("blocks") / F.col("source_size"))
@@ -113,10 +115,14 @@ def draw_blocks(targets: DataFrame, block_words: int, shard_slots: int = 65_536,
     ranged = counted.withColumn("last", last.cast("bigint"))
     first = F.coalesce(F.lag("last").over(Window.partitionBy("source").orderBy("shard")), F.lit(0))
     ranged = ranged.withColumn("first", first).filter(F.col("last") > F.col("first"))
-    slots = ranged.select("source", "blocks", "shard", F.explode(F.sequence(F.col("first"), F.col("last") - 1)).alias("slot"))
-    turn = F.floor(F.col("slot") / F.col("blocks"))
-    key = F.struct(F.coalesce("source", F.lit("")), F.col("source").isNull(), turn)
-    return slots.select("source", "shard", "slot", permuted(F.col("slot") % F.col("blocks"), key, F.col("blocks"), seed).alias("block"))
+    # A range of slots is cut before it is unfolded, so that a large source is spread over tasks.
+    steps = F.sequence(F.col("first"), F.col("last") - 1, F.lit(slice_slots))
+    cut = ranged.select("source", "blocks", "shard", "last", F.explode(steps).alias("from")).repartition("source", "from")
+    upto_slot = F.least(F.col("from") + slice_slots, F.col("last")) - 1
+    slots = cut.select("source", "blocks", "shard", F.explode(F.sequence(F.col("from"), upto_slot)).alias("slot"))
+    key = F.struct(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.floor(F.col("slot") / F.col("blocks")))
+    numbered = slots.withColumn("block", F.col("slot") % F.col("blocks"))
+    return permuted(numbered, "block", key, "blocks", seed).select("source", "shard", "slot", "block")
 
 
 def mix(documents: DataFrame, key: str = "doc_id", block_words: int = 32, weights: tuple[int, ...] = WEIGHTS, seed: int = 11) -> DataFrame:
@@ -125,9 +131,11 @@ def mix(documents: DataFrame, key: str = "doc_id", block_words: int = 32, weight
     `documents`: key, source, size. `parts` lists the document's blocks in order as
     (first word within the document, number of words, times taken).
     """
-    placed = cut_lineage(place(documents.select(key, "source", F.col("size").cast("bigint").alias("size")), key))
+    sized = cut_lineage(documents.select(key, "source", F.col("size").cast("bigint").alias("size")))  # reads the texts once
+    placed = cut_lineage(place(sized, key))
     targets = source_targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
-    drawn = draw_blocks(targets, block_words, seed=seed).groupBy("source", "block").agg(F.count("*").alias("times"))
+    # Written, so that no condition on the join's key is rewritten in terms of every round.
+    drawn = cut_lineage(draw_blocks(targets, block_words, seed=seed).groupBy("source", "block").agg(F.count("*").alias("times")))
     last = F.floor((F.col("start") + F.col("size") - 1) / block_words)
     pieces = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), last)))
     from_ = F.greatest(F.col("start"), F.col("block") * block_words)
@@ -150,4 +158,9 @@ def mix(documents: DataFrame, key: str = "doc_id", block_words: int = 32, weight
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+    """The number of words: of the spaces that precede one, when every gap is a single space."""
+    for gap in "\n\t\r\x0b\x0c":
+        text = F.replace(text, F.lit(gap), F.lit(" "))
+    text = F.concat(F.lit(" "), text)
+    text = F.rtrim(F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " +", " ")).otherwise(text))
+    return F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))), F.lit(0)).cast("bigint")
