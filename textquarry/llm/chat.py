@@ -47,30 +47,34 @@ def reply_paths(messages: DataFrame, best: int | None = None) -> DataFrame:
     ).select("tree_id", "message_id", F.col("m").alias("up"), F.lit(1).cast("bigint").alias("depth"), F.col("score").alias("gain"))
     step = cut_lineage(step)
     largest = step.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0
-    jumps = [step]
-    while step.filter("up IS NOT NULL").limit(1).count() and 2 ** (len(jumps) - 1) <= largest:
-        above = step.select(*(F.col(c).alias(f"_{c}") for c in step.columns))
+    finished, open_, jumps = step.filter("up IS NULL"), step.filter("up IS NOT NULL"), []
+    while open_.limit(1).count() and 2 ** len(jumps) <= largest:  # what is open after that is on a cycle
+        jumps.append(open_)
+        reached = finished.unionByName(open_)
+        above = reached.select(*(F.col(c).alias(f"_{c}") for c in step.columns))
+        met = F.col("tree_id").eqNullSafe(F.col("_tree_id")) & (F.col("up") == F.col("_message_id"))
         step = cut_lineage(
-            step.join(above, F.col("tree_id").eqNullSafe(F.col("_tree_id")) & (F.col("up") == F.col("_message_id")), "left").select(
+            open_.join(above, met).select(
                 "tree_id",
                 "message_id",
                 F.col("_up").alias("up"),
-                (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-                (F.col("gain") + F.coalesce("_gain", F.lit(0.0))).alias("gain"),
+                (F.col("depth") + F.col("_depth")).alias("depth"),
+                (F.col("gain") + F.col("_gain")).alias("gain"),
             )
         )
-        jumps.append(step)
-    parents = jumps[0].filter("up IS NOT NULL").select(F.col("tree_id").alias("t"), F.col("up").alias("m")).distinct()
-    leaves = step.filter("up IS NULL").join(
-        parents, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("message_id") == F.col("m")), "left_anti"
-    )
+        finished, open_ = finished.unionByName(step.filter("up IS NULL")), step.filter("up IS NOT NULL")
+    leaves = finished
+    if jumps:
+        parents = jumps[0].select(F.col("tree_id").alias("t"), F.col("up").alias("m")).distinct()
+        is_parent = F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("message_id") == F.col("m"))
+        leaves = finished.join(parents, is_parent, "left_anti")
     order = Window.partitionBy("tree_id").orderBy(F.desc(F.col("gain") / F.col("depth")), "message_id")
     chosen = leaves.withColumn("rank", F.row_number().over(order))
     if best is not None:
         chosen = chosen.filter(F.col("rank") <= best)
     paths = chosen.select("tree_id", F.col("message_id").alias("path_id"), "rank", "depth", F.col("message_id"), F.lit(0).cast("bigint").alias("back"))
     for power, jump in enumerate(jumps):
-        hop = jump.filter("up IS NOT NULL").select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"), "up")
+        hop = jump.select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"), "up")
         above = paths.join(hop, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("message_id") == F.col("m"))).select(
             "tree_id", "path_id", "rank", "depth", F.col("up").alias("message_id"), (F.col("back") + 2**power).alias("back")
         )
