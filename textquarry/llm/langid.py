@@ -8,9 +8,10 @@ host counts are grouped aggregates over all rows, by the language of text and de
 own vote is taken out of its prior. `und` stands for text that no model explains better than
 chance; such rows are rejected, and so are rows whose best posterior is under `sure`.
 
-Defined results: null or empty text has no n-gram and is rejected; a null or unknown declaration,
+Defined results: null or blank text has no n-gram and is rejected; a null or unknown declaration,
 address or host gives no evidence; equal posteriors go to the first language in the given order;
-repeated rows count and are judged each; an empty table gives an empty result; extra columns stay.
+repeated rows count and are judged each; an empty table gives an empty result; of other columns only
+the keys are returned.
 """
 
 from __future__ import annotations
@@ -35,9 +36,15 @@ def index_of(value: Column, languages: tuple[str, ...]) -> Column:
     return F.when(place > 0, (place - 1).cast("int"))
 
 
+def _padded(text: Column) -> Column:
+    """The text between single spaces, so that one letter makes an n-gram; null if it is blank."""
+    body = F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+    return F.when(body != "", F.concat(F.lit(" "), body, F.lit(" ")))
+
+
 def train(examples: DataFrame, languages: tuple[str, ...], n: int = 3, bits: int = 16) -> np.ndarray:
     """Log-probabilities, languages x buckets, from all rows (text, lang) that name a language."""
-    counts = hashed.fit(examples.select("text", index_of(F.col("lang"), languages).alias("group")), len(languages), n, bits) + 0.5
+    counts = hashed.fit(examples.select(_padded(F.col("text")).alias("text"), index_of(F.col("lang"), languages).alias("group")), len(languages), n, bits) + 0.5
     return np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
@@ -92,17 +99,18 @@ def _softmax(logs: Column) -> Column:
 
 
 def identify(
-    rows: DataFrame, model: np.ndarray, languages: tuple[str, ...], *, n: int = 3, temper: float = 0.25, declared_right: float = 0.9,
+    rows: DataFrame, model: np.ndarray, languages: tuple[str, ...], *, keys: tuple[str, ...] = ("doc_id",), n: int = 3, temper: float = 0.25, declared_right: float = 0.9,
     lean: float = 5.0, sure: float = 0.5,
 ) -> DataFrame:
-    """Adds language, posterior, n_grams and accepted to the rows, and drops their text.
+    """The rows' keys with n_grams, language, posterior and accepted.
 
-    `rows`: text, declared, host and any other columns. `lean`: how many votes a level leans on
+    `rows`: keys, text, declared, host. `lean`: how many votes a level leans on
     the one above it.
     """
     L = len(languages)
     bits = (model.shape[1] - 1).bit_length()
     shared = rows.sparkSession.sparkContext.broadcast(model)  # set in size by languages and bits
+    rows = rows.select(*keys, "declared", "host", _padded(F.col("text")).alias("text"))
     others = rows.drop("text").schema
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others.fields), "text_logs array<double>", "n_grams bigint"])
     read = cut_lineage(rows.mapInArrow(_likelihoods(shared, n, bits, temper), schema))
@@ -152,5 +160,5 @@ def identify(
         fused.withColumn("language", language)
         .withColumn("posterior", F.array_max("posteriors"))
         .withColumn("accepted", (F.col("language") != UNKNOWN) & (F.col("posterior") >= sure))
-        .select(*others.names, "n_grams", "language", "posterior", "accepted")
+        .select(*keys, "n_grams", "language", "posterior", "accepted")
     )

@@ -47,5 +47,5 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for web pages, with markup language, address suffix and host."""
     model = langid.train(table(spark, sf_dir, "documents"), LANGUAGES)
-    found = langid.identify(pages_evidence(table(spark, sf_dir, "pages")), model, LANGUAGES)
+    found = langid.identify(pages_evidence(table(spark, sf_dir, "pages")), model, LANGUAGES, keys=("page_id",))
     return found.select("page_id", "language", "posterior", "n_grams", F.col("accepted").alias("kept"))

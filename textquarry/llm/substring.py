@@ -171,7 +171,7 @@ def _factors(w: Windows, answers: pa.Table, window: int, documents: int) -> tupl
     return row[heads], start[heads], lengths, ref[heads], ref_start[heads]
 
 
-def _parse(window: int):
+def _parse(window: int, carry: tuple[str, ...]):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         w = Windows(docs, window, minimizers=False)
         row, start, length, ref, ref_start = _factors(w, answers, window, docs.num_rows)
@@ -202,24 +202,29 @@ def _parse(window: int):
                 "n_removed": column(n_removed),
                 "kept": pa.array(texts, pa.binary()).cast(pa.string()),
                 "factors": pa.ListArray.from_arrays(offsets, factors),
+                **{c: docs[c] for c in carry},
             }
         )
 
     return run
 
 
-def remove_repeats(documents: DataFrame, window: int = 20, chunk_bytes: int = 4 << 20, block_bytes: int = 6 << 20) -> DataFrame:
-    """Each document (doc_id, text) without the words of its duplicate spans, and its factors.
+def remove_repeats(
+    documents: DataFrame, window: int = 20, chunk_bytes: int = 4 << 20, block_bytes: int = 6 << 20, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """Each document (doc_id, text) without the words of its duplicate spans, its factors and the columns to carry.
 
     A word is dropped if it lies in a window of `window` words that starts earlier in the corpus;
     windows are judged on the input. `kept` joins the other words by one space.
     """
     size = exchange.text_size(documents)
-    docs = exchange.dealt(documents.select("doc_id", "text"), chunk_bytes, size)
+    documents = documents.select("doc_id", "text", *(c for c in carry if c != "text"))
+    docs = exchange.dealt(documents, chunk_bytes, size)
     blocks = max(16, -(-size // block_bytes))
     asked = docs.groupBy("chunk").applyInArrow(_ask_minimizers(window, blocks), "chunk int, block int, keys binary, twice binary")
     repeated = asked.groupBy("block").applyInArrow(_repeated_minimizers, "chunk int, block int, repeated binary")
     placed = "chunk int, block int, keys binary, ids binary, starts binary"
     windows = docs.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(_ask_windows(window, blocks), placed)
+    schema = ", ".join([PARSED, *(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in carry)])
     earliest = windows.groupBy("block").applyInArrow(_earliest, placed)
-    return docs.groupBy("chunk").cogroup(earliest.groupBy("chunk")).applyInArrow(_parse(window), PARSED)
+    return docs.groupBy("chunk").cogroup(earliest.groupBy("chunk")).applyInArrow(_parse(window, carry), schema)

@@ -97,7 +97,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int =
     Both tables: id, vector (array of bigint).
     """
     spark = vectors.sparkSession
-    vectors, queries = vectors.filter("vector IS NOT NULL"), queries.filter("vector IS NOT NULL")
+    vectors, queries = (t.select("id", "vector").filter("vector IS NOT NULL") for t in (vectors, queries))
     shards = max(1, -(-vectors.count() // shard_rows))
     blocks = max(1, -(-queries.count() // query_rows))
     stored = pack(vectors, F.pmod(F.xxhash64("id", "vector"), F.lit(shards)), "shard")
