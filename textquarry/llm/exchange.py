@@ -38,3 +38,13 @@ def binary(values: list[np.ndarray]) -> pa.Array:
 def joined(column: pa.ChunkedArray, dtype) -> np.ndarray:
     """All rows of a binary column, one after another."""
     return np.frombuffer(b"".join(column.to_pylist()), dtype)
+
+
+def planes(values: list[np.ndarray]) -> pa.Array:
+    """Like `binary`, but byte by byte of all values, so that equal high bytes compress to little."""
+    return pa.array([v.view(np.uint8).reshape(len(v), v.itemsize).T.tobytes() for v in values], pa.binary())
+
+
+def from_planes(blob: bytes, dtype) -> np.ndarray:
+    dtype = np.dtype(dtype)
+    return np.frombuffer(blob, np.uint8).reshape(dtype.itemsize, -1).T.copy().view(dtype).ravel()

@@ -87,8 +87,8 @@ def _ask(order: int, blocks: int):
             {
                 "chunk": pa.array([docs["chunk"][0].as_py()] * blocks, pa.int32()),
                 "block": pa.array(range(blocks), pa.int32()),
-                "keys": exchange.binary([tokens.keys[a:b] for a, b in spans]),
-                "counts": exchange.binary([counts[a:b] for a, b in spans]),
+                "keys": exchange.planes([tokens.keys[a:b] for a, b in spans]),
+                "counts": exchange.planes([counts[a:b] for a, b in spans]),
             }
         )
 
@@ -97,8 +97,9 @@ def _ask(order: int, blocks: int):
 
 def _answer(asked: pa.Table) -> pa.Table:
     """The total count of each key, to every chunk that asked, and this block's share of N and V."""
-    keys, counts = exchange.joined(asked["keys"], np.uint64), exchange.joined(asked["counts"], np.uint32)
-    sizes = np.array([len(k) // 8 for k in asked["keys"].to_pylist()])
+    rows = [exchange.from_planes(k, np.uint64) for k in asked["keys"].to_pylist()]
+    sizes, keys = np.array([len(r) for r in rows]), np.concatenate(rows)
+    counts = np.concatenate([exchange.from_planes(c, np.uint32) for c in asked["counts"].to_pylist()])
     distinct, place = np.unique(keys, return_inverse=True)
     totals = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.uint64)
     single = (distinct & np.uint64(1)).astype(bool)
@@ -110,7 +111,7 @@ def _answer(asked: pa.Table) -> pa.Table:
             "chunk": asked["chunk"],
             "block": asked["block"],
             "width": pa.array([narrow.itemsize] * n, pa.int32()),
-            "counts": exchange.binary(replies),
+            "counts": exchange.planes(replies),
             "tokens": pa.array([int(totals[single].sum())] * n, pa.int64()),
             "distinct": pa.array([int((totals[single] > 0).sum())] * n, pa.int64()),
         }
@@ -156,7 +157,7 @@ def _score(order: int, m: float):
         tokens = Tokens(docs, order)
         answers = answers.sort_by("block")
         replies = zip(answers["width"].to_pylist(), answers["counts"].to_pylist())
-        counts = np.concatenate([np.frombuffer(c, f"u{w}").astype(np.float64) for w, c in replies])
+        counts = np.concatenate([exchange.from_planes(c, f"u{w}").astype(np.float64) for w, c in replies])
         total, distinct = sum(answers["tokens"].to_pylist()), sum(answers["distinct"].to_pylist())
         weight, root, known = walk(tokens, counts, total, distinct, m)
         firsts = np.cumsum(tokens.lengths) - tokens.lengths
