@@ -1,16 +1,19 @@
 """N-gram Jaccard join with prefix filters under several global token orders.
 
-A document is the set of its distinct word shingles; equal sets are one node. In any global order
-of the shingles two sets with similarity t share one of their first |x| - ceil(t|x|) + 1 tokens.
-Each order puts shingles that occur in fewer documents first (by a sketch of fixed size that
+A document is the set of its distinct word shingles; equal sets are one node. Two sets x, y with
+similarity t have at least o = t / (1 + t) * (|x| + |y|) tokens in common, so in any global order
+of the tokens they share one that is among the first |x| - o + 1 of x and the first |y| - o + 1 of
+y. A set's prefix holds its tokens for partners of any size, with the largest partner each token
+serves: the later the token, the smaller. Each order puts shingles that occur in fewer documents first (by a sketch of fixed size that
 counts all of them; it steers cost, not results) and breaks ties by a hash of its own. A pair is a
 candidate only if it shares prefix tokens under every order. The shingle sets of candidates are
 then compared in full.
 
 Links are wanted for their components, so they are searched in two rounds. First each prefix token
-links its nodes to one of them, which joins groups of near copies without pairing them all. Then
-all pairs that share a token and are not yet in one component are candidates: in each token's list
-the nodes outside its largest component meet the rest of the list.
+links its nodes to one of them, the one with the largest share of tokens that others have, which
+joins groups of near copies to their original without pairing them all. Then all pairs that share
+a token and are not yet in one component are candidates: in each token's list the nodes outside
+its largest component meet the rest of the list.
 
 Defined results: a text without words, or null, has the empty set and links with nothing; fewer
 words than a shingle make one shingle; repeated rows and texts are one node; a null doc_id stays
@@ -113,37 +116,45 @@ def frequency_classes(described: DataFrame, bits: int) -> np.ndarray:
     return np.concatenate([found.get(i, np.zeros((1 << bits) // SLICES, np.uint8)) for i in range(SLICES)])
 
 
-def prefix(tokens: np.ndarray, classes: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The tokens of a set that come first in the given global order (all that tie with the last)."""
+def prefix(tokens: np.ndarray, classes: np.ndarray, order: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first tokens of a set in the given global order, and their positions; ties share the first's."""
     size = len(tokens)
     length = size - -(-percent * size // 100) + 1
     bits = (len(classes) - 1).bit_length()
     rarity = classes[(tokens >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
     rank = (rarity << np.uint64(58)) | (mixed(tokens ^ np.uint64(order * 0x5851F42D4C957F2D)) >> np.uint64(6))
-    return tokens[rank <= np.partition(rank, length - 1)[length - 1]]
+    if length < size:
+        some = rank <= np.partition(rank, length - 1)[length - 1]
+        tokens, rank = tokens[some], rank[some]
+    return tokens, np.searchsorted(np.sort(rank), rank)
 
 
 def _emit(n: int, order: int, percent: int, blocks: int, shared, hold: int = 1_000_000):
-    """Rows of (block, prefix tokens, their nodes), one node once per task."""
+    """Rows of (block, prefix tokens, their sets by number, positions, nodes, sizes); a node once per task."""
 
-    def rows(tokens: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
-        sizes = [len(t) for t in tokens]
-        token = np.concatenate(tokens)
+    def rows(tokens: list[np.ndarray], places: list[np.ndarray], nodes: list[int], sizes: list[int]) -> pa.RecordBatch:
+        token, owner = np.concatenate(tokens), np.repeat(np.arange(len(nodes)), [len(t) for t in tokens])
         by = np.argsort(token)
-        token, node = token[by], np.repeat(np.array(nodes, np.int64), sizes)[by]
+        token, owner, place = token[by], owner[by], np.concatenate(places)[by].astype(np.uint32)
+        node, size = np.array(nodes, np.int64), np.array(sizes, np.uint32)
         edges = exchange.block_edges(token, blocks)
         spans = [(b, x, y) for b, (x, y) in enumerate(zip(edges[:-1], edges[1:])) if y > x]
+        own = [np.unique(owner[x:y], return_inverse=True) for _, x, y in spans]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([b for b, _, _ in spans], pa.int32()),
-                exchange.binary([token[x:y] for _, x, y in spans]),
-                exchange.binary([node[x:y] for _, x, y in spans]),
+                exchange.planes([token[x:y] for _, x, y in spans]),
+                exchange.planes([i.astype(np.uint32) for _, i in own]),
+                exchange.planes([place[x:y] for _, x, y in spans]),
+                exchange.binary([node[o] for o, _ in own]),
+                exchange.planes([size[o] for o, _ in own]),
             ],
-            names=["block", "tokens", "nodes"],
+            names=[f.split()[0] for f in EMITTED.split(", ")],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, seen, tokens, nodes, held = shared.value, set(), [], [], 0
+        classes, seen, held = shared.value, set(), 0
+        tokens, places, nodes, sizes = [], [], [], []
         for batch in batches:
             for _, sets in shingle_sets(batch.column("text"), n):
                 for s in sets:
@@ -151,37 +162,62 @@ def _emit(n: int, order: int, percent: int, blocks: int, shared, hold: int = 1_0
                     if node is None or node in seen:
                         continue
                     seen.add(node)
-                    tokens.append(prefix(s, classes, order, percent))
+                    own, place = prefix(s, classes, order, percent)
+                    tokens.append(own)
+                    places.append(place)
                     nodes.append(node)
-                    held += len(tokens[-1])
+                    sizes.append(len(s))
+                    held += len(own)
                 if held >= hold:
-                    yield rows(tokens, nodes)
-                    tokens, nodes, held = [], [], 0
+                    yield rows(tokens, places, nodes, sizes)
+                    tokens, places, nodes, sizes, held = [], [], [], [], 0
         if held:
-            yield rows(tokens, nodes)
+            yield rows(tokens, places, nodes, sizes)
 
     return run
 
 
-def _shared(block: pa.Table) -> pa.Table:
-    """The tokens of a block that two or more nodes have, with those nodes and the least of them."""
-    token, node = exchange.joined(block["tokens"], np.uint64), exchange.joined(block["nodes"], np.int64)
-    by = np.lexsort((node, token))
-    token, node = token[by], node[by]
-    new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])  # a node may come from several tasks
-    token, node = token[new], node[new]
-    heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-    runs = np.diff(np.append(heads, len(token)))
-    hub = np.repeat(node[heads], runs)
-    keep = np.repeat(runs > 1, runs)
-    return pa.table({"token": token[keep].view(np.int64), "node": node[keep], "hub": hub[keep]})
+EMITTED = "block int, tokens binary, owners binary, places binary, nodes binary, sizes binary"
+LISTED = "token bigint, node bigint, size bigint, most bigint"
+
+
+def _shared(percent: int):
+    """The tokens of a block that fit two or more nodes, with those nodes and the largest partner they serve."""
+
+    def run(block: pa.Table) -> pa.Table:
+        columns = [[], [], [], []]
+        for row in block.to_pylist():
+            owner, size = exchange.from_planes(row["owners"], np.uint32), exchange.from_planes(row["sizes"], np.uint32)
+            columns[0].append(exchange.from_planes(row["tokens"], np.uint64))
+            columns[1].append(np.frombuffer(row["nodes"], np.int64)[owner])
+            columns[2].append(size[owner].astype(np.int64))
+            columns[3].append(exchange.from_planes(row["places"], np.uint32).astype(np.int64))
+        token, node, size, place = map(np.concatenate, columns)
+        # The token at a place serves partners y with place <= size - least(size + y).
+        most = (size - place) * (100 + percent) // percent - size
+        by = np.lexsort((node, token))
+        token, node, size, most = token[by], node[by], size[by], most[by]
+        keep = np.ones(len(token), bool)
+        keep[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])  # a node may come from several tasks
+        changed = True
+        while changed and len(token):
+            token, node, size, most = token[keep], node[keep], size[keep], most[keep]
+            heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            runs = np.diff(np.append(heads, len(token)))
+            least = np.repeat(np.minimum.reduceat(size, heads), runs)
+            keep = (most >= least) & np.repeat(runs > 1, runs)
+            changed = not keep.all()
+            if not keep.any():
+                token, node, size, most = token[:0], node[:0], size[:0], most[:0]
+        return pa.table({"token": token.view(np.int64), "node": node, "size": size, "most": most})
+
+    return run
 
 
 def prefix_lists(documents: DataFrame, n: int, order: int, percent: int, blocks: int, classes) -> DataFrame:
-    """(token, node, hub) of the prefix tokens that several nodes share under one order."""
-    rows = documents.select("text").mapInArrow(_emit(n, order, percent, blocks, classes), "block int, tokens binary, nodes binary")
-    return cut_lineage(rows.groupBy("block").applyInArrow(_shared, "token bigint, node bigint, hub bigint"))
+    """(token, node, size, most) of the prefix tokens that several nodes share under one order."""
+    rows = documents.select("text").mapInArrow(_emit(n, order, percent, blocks, classes), EMITTED)
+    return cut_lineage(rows.groupBy("block").applyInArrow(_shared(percent), LISTED))
 
 
 def documents_of(documents: DataFrame, nodes: DataFrame, described: DataFrame, most: int = 1_000_000) -> DataFrame:
@@ -215,25 +251,43 @@ def similar(pairs: DataFrame, documents: DataFrame, nodes: DataFrame, n: int, pe
     return cut_lineage(pairs.join(left, "a").join(right, "b").filter(enough).select("a", "b").distinct())
 
 
-def _sized(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose set sizes alone do not rule them out."""
-    a, b = nodes.select(F.col("node").alias("a"), F.col("n").alias("na")), nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
-    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return pairs.join(a, "a").join(b, "b").filter(near).select("a", "b")
+def _fit(x: str, y: str):
+    """Two entries of a token's list serve each other's size."""
+    return (F.col(f"{x}.most") >= F.col(f"{y}.size")) & (F.col(f"{y}.most") >= F.col(f"{x}.size"))
+
+
+def _pair(x: str, y: str) -> list:
+    return [F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b")]
+
+
+def _weights(lists: DataFrame, percent: int) -> DataFrame:
+    """(node, weight): the share of a node's prefix that other nodes have too."""
+    length = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    counted = lists.groupBy("node").agg(F.count("*").alias("shared"), F.first("size").alias("size"))
+    return counted.select("node", (F.col("shared") / length).alias("weight"))
+
+
+def _stars(lists: DataFrame, weights: DataFrame) -> DataFrame:
+    """Pairs of each node with the weightiest node of each of its tokens."""
+    known = cut_lineage(lists.join(weights, "node"))
+    best = known.groupBy("token").agg(F.max(F.struct("weight", "node", "size", "most")).alias("best")).select("token", "best.node", "best.size", "best.most")
+    met = known.alias("x").join(best.alias("y"), "token").filter((F.col("x.node") != F.col("y.node")) & _fit("x", "y"))
+    return met.select(*_pair("x", "y")).distinct()
 
 
 def _crossing(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs that share a token and are not in one component, each once."""
-    known = lists.join(labels, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
+    known = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counted = known.groupBy("token", "component").agg(F.count("*").alias("members"))
-    largest = (
-        counted.groupBy("token").agg(F.count("*").alias("groups"), F.max_by("component", F.struct("members", "component")).alias("largest"))
-    ).filter("groups > 1").select("token", "largest")
+    largest = counted.groupBy("token").agg(F.count("*").alias("groups"), F.max(F.struct("members", "component")).alias("largest"))
+    largest = largest.filter("groups > 1").select("token", F.col("largest.component").alias("largest"))
     mixed_lists = cut_lineage(known.join(largest, "token"))
-    minor = mixed_lists.filter("component <> largest").select("token", F.col("node").alias("x"), F.col("component").alias("cx"))
-    apart = (F.col("cx") != F.col("component")) & ((F.col("component") == F.col("largest")) | (F.col("x") < F.col("node")))
-    met = minor.join(mixed_lists, "token").filter(apart)
-    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    minor = mixed_lists.filter("component <> largest")
+    apart = (F.col("x.component") != F.col("y.component")) & (
+        (F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
+    )
+    met = minor.alias("x").join(mixed_lists.alias("y"), "token").filter(apart & _fit("x", "y"))
+    return met.select(*_pair("x", "y")).distinct()
 
 
 def join_components(documents: DataFrame, n: int = 5, percent: int = 75, orders: int = 2, bits: int = 22, block_tokens: int = 1_000_000) -> DataFrame:
@@ -257,10 +311,10 @@ def join_components(documents: DataFrame, n: int = 5, percent: int = 75, orders:
         source = documents_of(documents, lists[-1].select("node"), nodes) if order + 1 < orders else source
 
     def candidates(pairs_of) -> DataFrame:
-        under_all = reduce(lambda x, y: x.join(y, ["a", "b"]), (pairs_of(one) for one in lists))
-        return cut_lineage(_sized(under_all, nodes, percent))
+        return cut_lineage(reduce(lambda x, y: x.join(y, ["a", "b"]), (pairs_of(one) for one in lists)))
 
-    stars = candidates(lambda one: one.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    weights = cut_lineage(_weights(lists[0], percent))
+    stars = candidates(lambda one: _stars(one, weights))
     links = similar(stars, documents, nodes, n, percent)
     labels = components(links)
     rest = candidates(lambda one: _crossing(one, labels))
