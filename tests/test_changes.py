@@ -60,6 +60,38 @@ def test_every_rendered_diff_verifies_and_tampering_shows(spark):
     assert {r.verdict for r in diffs.verify_diff(tampered).collect()} <= {"context_mismatch", "not_reproduced"}
 
 
+def test_content_that_looks_like_a_header(spark):
+    old = "a\n-- a/x\nselect 1\n-- b\nz"
+    new = "a\n++ b/y\nselect 2\n-- b\nz\n@@ -1 +1 @@"
+    pairs = spark.createDataFrame([(1, "q.sql", old, new), (2, "r.sql", new, old)], "change_id bigint, path string, original string, updated string")
+    for context in (0, 3):
+        rendered = diffs.unified_diff(pairs, context)
+        assert {r.verdict for r in diffs.verify_diff(rendered).collect()} == {"verified"}
+        assert {(r.change_id, r.path, r.added, r.removed) for r in diffs.diff_stats(diffs.diff_lines(rendered)).collect()} == {
+            (1, "q.sql", 3, 2), (2, "r.sql", 2, 3),
+        }
+
+
+@pytest.mark.parametrize(
+    ("diff", "verdict"),
+    [
+        ("@@ -1,2 +1,2 @@\n one\n-two\n+2", "verified"),
+        ("@@ -1,2 +1,2 @@\n one\n-two\n+2\n\\ No newline at end of file", "verified"),
+        ("@@ -1,2 +1,2 @@\n ONE\n-two\n+2", "context_mismatch"),
+        ("@@ -1,3 +1,3 @@\n one\n-two\n+2", "malformed"),
+        ("@@ -1,2 +1,2 @@\n one\n*two\n-two\n+2", "malformed"),
+        ("@@ -1,2 +1,2 @@\n one\n-two\n+2\n@@ -2 +2 @@\n-two\n+2", "overlapping"),
+        ("@@ -1,2 +1,2 @@\n one\n-two\n+3", "not_reproduced"),
+        ("", "invisible"),
+    ],
+)
+def test_verdicts_of_diffs(spark, diff, verdict):
+    whole = f"--- a/f\n+++ b/f\n{diff}" if diff else ""
+    rows = [(1, "f", "one\ntwo", "one\n2", whole)]
+    pairs = spark.createDataFrame(rows, "change_id bigint, path string, original string, updated string, diff string")
+    assert diffs.verify_diff(pairs).first().verdict == verdict
+
+
 def test_citations(spark):
     answers = spark.createDataFrame([("m", "claimed [S7]. Seen [S1, S9] and [S2].")], "message_id string, content string")
     sources = spark.createDataFrame([("m", "S1"), ("m", "S2")], "message_id string, label string")

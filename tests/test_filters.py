@@ -31,7 +31,7 @@ def test_language(spark, path, language):
 )
 def test_metadata_reason(spark, entry, reason):
     rows = spark.createDataFrame([entry], "path string, type string, size bigint")
-    assert filters.metadata_decision(rows).first().skip_reason == reason
+    assert filters.metadata_decision(rows, IndexLimits(max_file_bytes=512_000)).first().skip_reason == reason
 
 
 @pytest.mark.parametrize(

@@ -226,7 +226,7 @@ def stale_changes(spark, sf_dir):
         F.when(key % 4 == 0, "rejected").when(key % 2 == 0, "approved").otherwise("proposed").alias("status"),
         F.when(key % 3 != 0, "c1").alias("indexed_commit_sha"),
     )
-    number = F.substring("repository_id", 4, 10).cast("int")
+    number = F.substr("repository_id", F.lit(4)).cast("int")
     repositories = files.select("repository_id").distinct().select(
         "repository_id", F.when(number % 4 == 1, "c2").when(number % 4 != 2, "c1").alias("current_commit_sha")
     )
@@ -274,7 +274,7 @@ def replies(spark, sf_dir):
     payload = F.to_json(
         F.struct(
             outcome.alias("outcome"),
-            F.left("text", F.lit(2_500)).alias("summary"),
+            F.col("text").alias("summary"),
             F.when(case == 6, "").otherwise(F.lit("because {x}")).alias("root_cause"),
             F.when(case == 7, "low").otherwise("high").alias("confidence"),
             F.array(F.struct(F.lit("a.py").alias("path"), F.lit("r").alias("reason"))).alias("relevant_files"),
@@ -305,7 +305,7 @@ def replies(spark, sf_dir):
 
 
 REPLIES_SQL = f"""replies AS (
-  SELECT conv_id * 100 + turn AS investigation_id, length(text) % {CASES} AS kase, least(length(text), 2500) AS chars FROM conversations),
+  SELECT conv_id * 100 + turn AS investigation_id, length(text) % {CASES} AS kase, length(text) AS chars FROM conversations),
 verdicts AS (
   SELECT *, CASE WHEN kase IN (2, 3) THEN 'no_result' WHEN kase = 4 THEN 'outcome' WHEN chars > 2000 THEN 'summary' END AS invalid FROM replies)"""
 

@@ -19,6 +19,7 @@ from textquarry.settings import IndexLimits
 from textquarry.sources import files as source_files
 from textquarry.sources import sinks
 
+SIZE_LIMIT = IndexLimits(max_file_bytes=512_000)
 BUDGET = IndexLimits(max_total_bytes=9_000_000, max_files=45)
 
 
@@ -183,7 +184,7 @@ def path_skip_reason(spark, sf_dir):
 
 @query("metadata_decision", with_ctes(*JUDGED, select="SELECT path, skip_reason FROM judged"))
 def metadata_decision(spark, sf_dir):
-    return filters.metadata_decision(manifest(spark, sf_dir)).select("path", "skip_reason")
+    return filters.metadata_decision(manifest(spark, sf_dir), SIZE_LIMIT).select("path", "skip_reason")
 
 
 BUDGET_SQL = f"""accepted AS (
@@ -202,7 +203,7 @@ budgeted AS (SELECT repository_id, path, pos, reason AS skip_reason FROM budget
 
 
 def budgeted(spark, sf_dir):
-    judged = filters.metadata_decision(manifest(spark, sf_dir))
+    judged = filters.metadata_decision(manifest(spark, sf_dir), SIZE_LIMIT)
     return filters.apply_budgets(judged.where(F.col("skip_reason").isNull()).drop("skip_reason"), BUDGET)
 
 
@@ -235,7 +236,7 @@ def dedupe_by_blob(spark, sf_dir):
     ),
 )
 def skip_report(spark, sf_dir):
-    judged = filters.metadata_decision(manifest(spark, sf_dir)).select("repository_id", "skip_reason")
+    judged = filters.metadata_decision(manifest(spark, sf_dir), SIZE_LIMIT).select("repository_id", "skip_reason")
     later = budgeted(spark, sf_dir).select("repository_id", "skip_reason")
     return filters.skip_report(judged.unionByName(later))
 

@@ -22,8 +22,8 @@ def parts_of(word: str) -> str:
 
 
 def terms_of(word: str) -> str:
-    whole = f"left(regexp_replace(lower({word}), '[^a-z0-9]', '', 'g'), {terms.MAX_TERM_CHARS})"
-    parts = f"list_transform(string_split({parts_of(word)}, ' '), lambda p: left(lower(p), {terms.MAX_TERM_CHARS}))"
+    whole = f"regexp_replace(lower({word}), '[^a-z0-9]', '', 'g')"
+    parts = f"list_transform(string_split({parts_of(word)}, ' '), lambda p: lower(p))"
     return (
         f"list_concat(CASE WHEN {whole} <> '' THEN [{whole}] ELSE [] END, "
         f"list_filter({parts}, lambda p: length(p) >= {terms.MIN_PART_CHARS} AND p <> {whole}))"

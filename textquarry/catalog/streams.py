@@ -48,7 +48,7 @@ def replace_snapshot(spark, sf_dir):
     path = fresh(spark, "snapshot")
     files = document_files(spark, sf_dir).select("repository_id", "path")
     sinks.replace_snapshot(files.withColumn("run", F.lit("first")), path)
-    even = F.substring("repository_id", 4, 10).cast("int") % 2 == 0
+    even = F.substr("repository_id", F.lit(4)).cast("int") % 2 == 0
     again = files.where(even & F.col("path").startswith("en/")).withColumn("run", F.lit("second"))
     sinks.replace_snapshot(again, path)
     return spark.read.parquet(path).groupBy("repository_id", "run").agg(F.count("*").alias("files"))
@@ -76,10 +76,10 @@ def append_events(spark, sf_dir):
     ),
 )
 def index_stream(spark, sf_dir):
-    """Two deliveries of the documents: a shortened version first, then the current one."""
+    """Two deliveries of the documents: an older version first, then the current one."""
     source, target = fresh(spark, "incoming"), fresh(spark, "live-index")
     files = document_files(spark, sf_dir).select("repository_id", "path", "sha", "type", "size", "content")
-    older = files.where("path not like 'de/%'").withColumn("content", F.concat(F.lit("old "), F.left("content", F.lit(50))))
+    older = files.withColumn("content", F.concat(F.lit("old "), "content", F.lit("\nold end")))
     older = older.withColumn("size", F.octet_length("content").cast("bigint")).withColumn("sha", F.concat(F.lit("o"), "sha"))
     # Copies share a blob; the sha of the path keeps them apart here.
     mark = F.sha2(F.concat_ws("|", "path", "sha"), 256)

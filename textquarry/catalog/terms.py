@@ -51,7 +51,7 @@ def identifier_terms(spark, sf_dir):
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
     w1 = F.try_element_at(words, F.lit(1))
     w2 = F.coalesce(F.try_element_at(words, F.lit(2)), F.lit(""))
-    head, tail = F.upper(F.substring(w2, 1, 1)), F.substring(w2, 2, 10_000)
+    head, tail = F.upper(F.substring(w2, 1, 1)), F.substr(w2, F.lit(2))
     styles = F.array(
         F.concat(w1, F.lit("_"), w2), F.concat(w1, head, tail), F.concat(F.upper(w1), head, F.lower(tail)),
         F.concat(F.lit("$"), w1, F.col("doc_id").cast("string"), w2), w1,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textquarry.catalog.base import manifest, query, table, with_ctes
 from textquarry.catalog.files import JUDGED as JUDGED_FILES
 from textquarry.operators import filters, lifecycle, threads
+from textquarry.settings import IndexLimits
 from textquarry.sources.files import conversations_as_messages
 
 RECENT = 3
@@ -55,16 +56,16 @@ def list_messages(spark, sf_dir):
     "list_conversations",
     """SELECT c_nationkey::VARCHAR AS repository_id, c_custkey AS conversation_id,
               row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS position
-       FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')
+       FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)
        QUALIFY position <= 30""",
 )
 def list_conversations(spark, sf_dir):
-    """Customers as threads of their nation; urgent orders are their messages."""
+    """Customers as threads of their nation; orders are their messages."""
     conversations = table(spark, sf_dir, "customer").select(
         F.col("c_nationkey").cast("string").alias("repository_id"), F.col("c_custkey").alias("conversation_id"),
         F.col("c_acctbal").alias("created_at"),
     )
-    said = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("conversation_id"))
+    said = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("conversation_id"))
     return threads.list_conversations(conversations, said).select("repository_id", "conversation_id", "position")
 
 
@@ -117,10 +118,10 @@ CHANGES_SQL = f"""repositories AS (
 changes AS (
   SELECT o_orderkey AS change_id, o_custkey % (SELECT count(*) FROM supplier) AS repository_id,
          CASE (o_custkey % (SELECT count(*) FROM supplier)) % 5 WHEN 0 THEN (['{"', '".join(STATUSES)}'])[o_orderkey % 8 + 1]
-           WHEN 1 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'proposed' ELSE 'rejected' END WHEN 2 THEN 'pr_created' WHEN 3 THEN 'failed' END AS status,
+           WHEN 1 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'proposed' ELSE 'rejected' END WHEN 2 THEN 'pr_created' ELSE 'failed' END AS status,
          o_orderdate FROM orders),
 known_changes AS (SELECT * FROM changes WHERE status IS NOT NULL),
-conversations_of AS (SELECT c_custkey % (SELECT count(*) FROM supplier) AS repository_id, c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')"""
+conversations_of AS (SELECT c_custkey % (SELECT count(*) FROM supplier) AS repository_id, c_custkey FROM customer)"""
 
 
 def lifecycle_tables(spark, sf_dir):
@@ -137,12 +138,11 @@ def lifecycle_tables(spark, sf_dir):
         .withColumn(
             "status",
             F.when(kind == 0, pick(STATUSES, key)).when(kind == 1, F.when(key % 2 == 0, "proposed").otherwise("rejected"))
-            .when(kind == 2, "pr_created").when(kind == 3, "failed"),
+            .when(kind == 2, "pr_created").otherwise("failed"),
         )
-        .where("status is not null")
     )
     conversations = (
-        customer.where("c_mktsegment = 'MACHINERY'").withColumn("one", F.lit(1)).join(count, "one")
+        customer.withColumn("one", F.lit(1)).join(count, "one")
         .select("c_custkey", (F.col("c_custkey") % F.col("n")).alias("repository_id"))
     )
     return repositories, conversations, changes
@@ -311,7 +311,7 @@ def index_runs(spark, sf_dir):
 )
 def run_report(spark, sf_dir):
     """A run over the manifest: every tenth structured file fails to parse, files have up to three chunks."""
-    decisions = filters.metadata_decision(manifest(spark, sf_dir))
+    decisions = filters.metadata_decision(manifest(spark, sf_dir), IndexLimits(max_file_bytes=512_000))
     kept = decisions.where(F.col("skip_reason").isNull())
     broken = F.col("parseable") & (F.col("pos") % 10 == 0)
     files = kept.withColumn("is_parsed", F.col("parseable") & ~broken).withColumn("parse_error", F.when(broken, "syntax"))

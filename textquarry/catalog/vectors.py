@@ -19,8 +19,8 @@ WIDTH = 64
 TOP = 10
 
 EMBEDDED_TEXT_SQL = f"""embedded AS (
-  SELECT *, left('Repository: ' || repository_id || chr(10) || 'Path: ' || path || chr(10) || 'Language: ' || language || chr(10)
-      || 'Kind: ' || chunk_type || chr(10) || chr(10) || content, {vectors.MAX_EMBEDDING_CHARS}) AS embedding_text FROM chunks)"""
+  SELECT *, 'Repository: ' || repository_id || chr(10) || 'Path: ' || path || chr(10) || 'Language: ' || language || chr(10)
+      || 'Kind: ' || chunk_type || chr(10) || chr(10) || content AS embedding_text FROM chunks)"""
 
 
 def chunk_texts(spark, sf_dir):
@@ -83,14 +83,29 @@ def reuse_embeddings(spark, sf_dir):
     return out.select("doc_id", "reused", F.coalesce("embedding.id", F.lit("")).alias("source_vector"))
 
 
-@query("pack_batches")
+@query(
+    "pack_batches",
+    with_ctes(
+        CORPUS_FILES_SQL, CHUNKS_SQL, EMBEDDED_TEXT_SQL,
+        """lengths AS (
+  SELECT chunk_id, length(embedding_text) AS chars, ('0x' || left(md5(chunk_id), 8))::BIGINT
+           % ceil((SELECT count(*) FROM embedded) / 512)::BIGINT AS batch_group FROM embedded),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY batch_group ORDER BY chunk_id) AS n FROM lengths),
+packed AS (
+  SELECT batch_group, n, 0 AS batch_id, 1 AS items, chars, chunk_id FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT l.batch_group, l.n, CASE WHEN p.items >= 64 OR p.chars + l.chars > 30000 THEN p.batch_id + 1 ELSE p.batch_id END,
+         CASE WHEN p.items >= 64 OR p.chars + l.chars > 30000 THEN 1 ELSE p.items + 1 END,
+         CASE WHEN p.items >= 64 OR p.chars + l.chars > 30000 THEN l.chars ELSE p.chars + l.chars END, l.chunk_id
+  FROM packed p JOIN numbered l ON l.batch_group = p.batch_group AND l.n = p.n + 1)""",
+        select="SELECT chunk_id, batch_group, batch_id FROM packed",
+    ),
+)
 def pack_batches(spark, sf_dir):
-    """Size of every embedding request."""
-    texts = chunk_texts(spark, sf_dir).select("chunk_id", "embedding_text")
-    packed = vectors.pack_batches(texts)
-    return packed.groupBy("partition_id", "batch_id").agg(
-        F.count("*").alias("items"), F.sum(F.length("embedding_text")).alias("chars")
-    )
+    """The embedding request of every chunk."""
+    texts = chunk_texts(spark, sf_dir).select("repository_id", "chunk_id", "embedding_text")
+    packed = vectors.pack_batches(texts, max_chars=30_000, group_rows=512)
+    return packed.select("chunk_id", "batch_group", "batch_id")
 
 
 def letter_embedder(texts: pd.Series, kind: str) -> np.ndarray:

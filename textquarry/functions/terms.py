@@ -16,7 +16,6 @@ PART_BREAK = (
     r"|(?<=[0-9])(?=[A-Za-z])"
 )
 QUESTION_TOKEN = r"[A-Za-z0-9_$./-]+"
-MAX_TERM_CHARS = 64
 MIN_PART_CHARS = 2
 
 # Question words without lexical signal.
@@ -36,7 +35,7 @@ def _no_terms() -> Column:
 
 
 def _normal(text: Column) -> Column:
-    return F.left(F.regexp_replace(F.lower(text), "[^a-z0-9]", ""), F.lit(MAX_TERM_CHARS))
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
 
 
 def identifier_terms(word: Column) -> Column:
@@ -47,9 +46,7 @@ def identifier_terms(word: Column) -> Column:
         lambda part: (F.length(part) >= MIN_PART_CHARS) & (part != whole),
     )
     split_up = F.concat(F.when(whole != "", F.array(whole)).otherwise(_no_terms()), parts)
-    return F.when(word.rlike(ONE_TERM), F.array(F.left(F.lower(word), F.lit(MAX_TERM_CHARS)))).otherwise(
-        split_up
-    )
+    return F.when(word.rlike(ONE_TERM), F.array(F.lower(word))).otherwise(split_up)
 
 
 def text_terms(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from textquarry.operators.lookup import file_lines
 from textquarry.settings import EDITS, EditLimits
 
-HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,\d+)? @@"
+HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 KEYS = ["change_id", "path"]
 
 
@@ -38,43 +38,82 @@ def unified_diff(pairs: DataFrame, context: int = EDITS.diff_context) -> DataFra
 def diff_lines(diffs: DataFrame) -> DataFrame:
     """One row per diff line with kind and left/right line numbers.
 
-    ``diffs`` has change_id and diff (one or several files). Numbering restarts at each hunk; a
-    change is bounded by its edit limits.
+    ``diffs`` has change_id and diff (one or several files). A hunk is read by the line counts of
+    its header: until both are used up every line is content, whatever it looks like, and after
+    that lines name the next file. Content that begins with none of blank, plus, minus and
+    backslash is of kind ``malformed``. A change is bounded by its edit limits.
     """
     change = Window.partitionBy("change_id").orderBy("pos")
+    raw = F.col("raw")
     rows = diffs.select("change_id", F.posexplode(F.split("diff", "\n")).alias("pos", "raw"))
-    filed = (
-        rows.withColumn("_file", F.when(F.col("raw").startswith("--- a/"), F.substring("raw", 7, 1_000_000)))
-        .withColumn("path", F.last("_file", ignorenulls=True).over(change))
-        .where(F.col("path").isNotNull() & F.col("_file").isNull() & ~F.col("raw").startswith("+++ b/"))
+    header = raw.rlike(HUNK)  # content never begins with an at sign
+    hunked = rows.withColumn("hunk", F.sum(header.cast("int")).over(change))
+    in_hunk = Window.partitionBy("change_id", "hunk").orderBy("pos")
+    before = in_hunk.rowsBetween(Window.unboundedPreceding, -1)
+    number = lambda group: F.first(F.regexp_extract("raw", HUNK, group)).over(in_hunk)
+    count = lambda group: F.when(number(group) == "", 1).otherwise(number(group).try_cast("int"))
+    first = F.substring("raw", 1, 1)
+    is_old = (first.isin(" ", "-") | (raw == "")) & ~header
+    is_new = (first.isin(" ", "+") | (raw == "")) & ~header
+    counted = (
+        hunked.withColumn("old_start", number(1).try_cast("int"))
+        .withColumn("old_count", count(2))
+        .withColumn("new_start", number(3).try_cast("int"))
+        .withColumn("new_count", count(4))
+        .withColumn("olds", F.coalesce(F.sum(is_old.cast("int")).over(before), F.lit(0)).cast("int"))
+        .withColumn("news", F.coalesce(F.sum(is_new.cast("int")).over(before), F.lit(0)).cast("int"))
     )
-    header = F.col("raw").rlike(HUNK)
-    hunked = filed.withColumn("hunk", F.sum(header.cast("int")).over(change))
+    inside = (F.col("hunk") > 0) & ((F.col("olds") < F.col("old_count")) | (F.col("news") < F.col("new_count")))
     kind = (
         F.when(header, "hunk")
-        .when(F.col("raw").startswith("+"), "add")
-        .when(F.col("raw").startswith("-"), "remove")
-        .otherwise("context")
+        .when(~inside, "outside")
+        .when(first == "+", "add")
+        .when(first == "-", "remove")
+        .when((first == " ") | (raw == ""), "context")
+        .when(first == "\\", "note")
+        .otherwise("malformed")
     )
-    in_hunk = Window.partitionBy("change_id", "hunk").orderBy("pos")
-    before = in_hunk.rowsBetween(Window.unboundedPreceding, -1)
-    typed = hunked.withColumn("kind", kind)
-    old_start = F.first(F.regexp_extract("raw", HUNK, 1).try_cast("int")).over(in_hunk)
-    old_count = F.first(F.regexp_extract("raw", HUNK, 2)).over(in_hunk)
-    new_start = F.first(F.regexp_extract("raw", HUNK, 3).try_cast("int")).over(in_hunk)
-    olds = F.coalesce(F.sum(F.col("kind").isin("context", "remove").cast("int")).over(before), F.lit(0))
-    news = F.coalesce(F.sum(F.col("kind").isin("context", "add").cast("int")).over(before), F.lit(0))
-    return typed.select(
+    typed = counted.withColumn("kind", kind)
+    named = (F.col("kind") == "outside") & (raw.startswith("--- a/") | raw.startswith("+++ b/"))
+    filed = typed.withColumn(
+        "path", F.last(F.when(named, F.substr("raw", F.lit(7))), ignorenulls=True).over(change)
+    ).where(F.col("path").isNotNull() & ~F.col("kind").isin("outside", "note"))
+    is_hunk = F.col("kind") == "hunk"
+    return filed.select(
         "change_id",
         "path",
         "pos",
         "hunk",
         "kind",
-        F.when(F.col("kind") == "hunk", F.col("raw")).otherwise(F.substring("raw", 2, 10_000_000)).alias("text"),
-        F.when(F.col("kind").isin("context", "remove"), (old_start + olds).cast("int")).alias("left_line"),
-        F.when(F.col("kind").isin("context", "add"), (new_start + news).cast("int")).alias("right_line"),
+        F.when(is_hunk, raw).otherwise(F.substr("raw", F.lit(2))).alias("text"),
+        F.when(F.col("kind").isin("context", "remove"), F.col("old_start") + F.col("olds")).alias("left_line"),
+        F.when(F.col("kind").isin("context", "add"), F.col("new_start") + F.col("news")).alias("right_line"),
         # Old line the row stands before; an empty old range names the line after which it adds.
-        (old_start + olds + F.when(old_count == "0", 1).otherwise(0)).cast("int").alias("old_cursor"),
+        (F.col("old_start") + F.col("olds") + F.when(F.col("old_count") == 0, 1).otherwise(0)).alias("old_cursor"),
+        F.when(is_hunk, F.col("old_start")).alias("old_start"),
+        F.when(is_hunk, F.col("old_count")).alias("old_count"),
+        F.when(is_hunk, F.col("new_count")).alias("new_count"),
+    )
+
+
+def unsound_hunks(lines: DataFrame) -> DataFrame:
+    """(change_id, path, malformed, overlapping) of the files of diff lines.
+
+    Malformed: a line that is no diff content, or a hunk with fewer lines than its header says.
+    Overlapping: a hunk that begins before the one above it has ended in the old text.
+    """
+    hunks = lines.groupBy(*KEYS, "hunk").agg(
+        F.max("old_start").alias("start"), F.max("old_count").alias("old_count"), F.max("new_count").alias("new_count"),
+        F.count_if(F.col("kind").isin("context", "remove")).alias("olds"),
+        F.count_if(F.col("kind").isin("context", "add")).alias("news"),
+        F.bool_or(F.col("kind") == "malformed").alias("odd"),
+    )
+    above = F.lag(F.col("start") + F.col("old_count")).over(Window.partitionBy(*KEYS).orderBy("hunk"))
+    judged = hunks.withColumn("_above", above)
+    short = (F.col("olds") < F.col("old_count")) | (F.col("news") < F.col("new_count"))
+    return judged.groupBy(*KEYS).agg(
+        F.bool_or(F.col("odd") | short).alias("malformed"),
+        F.bool_or(F.coalesce(F.col("start") < F.col("_above"), F.lit(False))).alias("overlapping"),
     )
 
 
@@ -90,11 +129,12 @@ def verify_diff(pairs: DataFrame, limits: EditLimits = EDITS) -> DataFrame:
     """Re-applies each diff to its original and compares with the updated text.
 
     ``pairs`` has change_id, path, original, updated, diff. Verdicts: verified, no_change,
-    too_large, invisible, context_mismatch, not_reproduced. The diff is re-read line by line
+    too_large, invisible, malformed, overlapping, context_mismatch, not_reproduced. The diff is re-read line by line
     here, independently of how it was rendered.
     """
     rows = diff_lines(pairs.select("change_id", "diff"))
-    packed = rows.where("kind <> 'hunk'").groupBy(*KEYS).agg(
+    unsound = unsound_hunks(rows)
+    packed = rows.where("kind in ('add', 'remove', 'context')").groupBy(*KEYS).agg(
         F.collect_list(F.struct("kind", "left_line", "right_line", "old_cursor", "text")).alias("_rows")
     )
     empty = F.array().cast(
@@ -102,6 +142,7 @@ def verify_diff(pairs: DataFrame, limits: EditLimits = EDITS) -> DataFrame:
     )
     joined = (
         pairs.join(packed, KEYS, "left")
+        .join(unsound, KEYS, "left")
         .withColumn("_rows", F.coalesce("_rows", empty))
         .withColumn("_old", file_lines(F.col("original")))
         .withColumn("_new", file_lines(F.col("updated")))
@@ -132,8 +173,10 @@ def verify_diff(pairs: DataFrame, limits: EditLimits = EDITS) -> DataFrame:
         F.when(F.col("original") == F.col("updated"), "no_change")
         .when(F.octet_length("updated") > limits.max_patched_bytes, "too_large")
         .when(F.col("diff") == "", "invisible")
+        .when(F.coalesce("malformed", F.lit(False)), "malformed")
+        .when(F.coalesce("overlapping", F.lit(False)), "overlapping")
         .when(wrong, "context_mismatch")
         .when(rebuilt != F.col("_new"), "not_reproduced")
         .otherwise("verified")
     )
-    return joined.withColumn("verdict", verdict).drop("_rows", "_old", "_new")
+    return joined.withColumn("verdict", verdict).drop("_rows", "_old", "_new", "malformed", "overlapping")

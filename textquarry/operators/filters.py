@@ -10,6 +10,7 @@ from textquarry.functions import paths, text
 from textquarry.session import cut_lineage
 from textquarry.settings import INDEX, IndexLimits
 
+UNLIMITED = 1 << 62
 BINARY_WINDOW_BYTES = 8_000
 
 
@@ -24,7 +25,7 @@ def detect_language(df: DataFrame, path_col: str = "path") -> DataFrame:
     )
 
 
-def metadata_reason(max_file_bytes: int) -> Column:
+def metadata_reason(max_file_bytes: int | None) -> Column:
     """First matching reason from metadata alone; null when the entry may be fetched."""
     size = F.coalesce(F.col("size"), F.lit(0))
     return (
@@ -35,7 +36,7 @@ def metadata_reason(max_file_bytes: int) -> Column:
                 paths.exclusion_reason(F.col("path")),
                 F.when(F.col("language").isNull(), "unsupported_type")
                 .when(size == 0, "empty")
-                .when(size > max_file_bytes, "too_large"),
+                .when(F.lit(False) if max_file_bytes is None else size > max_file_bytes, "too_large"),
             )
         )
     )
@@ -45,17 +46,25 @@ def metadata_decision(manifest: DataFrame, limits: IndexLimits = INDEX) -> DataF
     return detect_language(manifest).withColumn("skip_reason", metadata_reason(limits.max_file_bytes))
 
 
+def _bounds(limits: IndexLimits) -> tuple[int, int]:
+    """The byte and file limits as numbers."""
+    given = (limits.max_total_bytes, limits.max_files)
+    return tuple(UNLIMITED if limit is None else limit for limit in given)
+
+
 def _greedy_fit(limits: IndexLimits):
     """Walk candidates in manifest order; needs only the running totals."""
 
+    max_total_bytes, max_files = _bounds(limits)
+
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos", kind="stable")
-        left, files, keep, full_at = limits.max_total_bytes, 0, [], None
+        left, files, keep, full_at = max_total_bytes, 0, [], None
         for pos, size in zip(rows["pos"].tolist(), rows["size"].tolist()):
-            fits = files < limits.max_files and size <= left
+            fits = files < max_files and size <= left
             if fits:
                 files, left = files + 1, left - size
-                full_at = pos if files == limits.max_files else full_at
+                full_at = pos if files == max_files else full_at
             keep.append(fits)
         out = rows.loc[keep, ["repository_id", "pos"]].assign(accepted=True)
         marker = pd.DataFrame(
@@ -77,14 +86,15 @@ def budget_candidates(accepted: DataFrame, limits: IndexLimits = INDEX) -> DataF
     (pos, size) rows, set by the limits: about max_files for each size class, and no more
     minima than there are sizes up to max_file_bytes.
     """
+    max_total_bytes, max_files = _bounds(limits)
     # The top bit of the size, from its binary text: exact where a logarithm would round.
     size_class = (F.length(F.bin("size")) - 1).alias("size_class")
     # Three narrow columns, judged once and read several times below.
     sized = cut_lineage(accepted.select("repository_id", "pos", "size", size_class))
     quota = (
         F.least(
-            F.lit(limits.max_files),
-            F.floor(F.lit(limits.max_total_bytes) / F.pow(F.lit(2.0), F.col("size_class"))),
+            F.lit(max_files),
+            F.floor(F.lit(max_total_bytes) / F.pow(F.lit(2.0), F.col("size_class"))),
         )
         + 1
     )
@@ -92,7 +102,7 @@ def budget_candidates(accepted: DataFrame, limits: IndexLimits = INDEX) -> DataF
     order = Window.partitionBy(*by_class).orderBy("pos")
     heads = (
         sized.withColumn("_n", F.row_number().over(order))
-        .where(F.col("_n") <= limits.max_files + 1)  # constant bound, pushed below the shuffle
+        .where(F.col("_n") <= max_files + 1)  # constant bound, pushed below the shuffle
         .where(F.col("_n") <= quota)
     )
     last_head = heads.groupBy(*by_class).agg(F.max("pos").alias("_last"))
@@ -126,8 +136,10 @@ def apply_budgets(accepted: DataFrame, limits: IndexLimits = INDEX) -> DataFrame
     """Greedy file and byte budget per repository in ``pos`` order, skipping what does not fit.
 
     ``pos`` must be unique per repository. The order-dependent walk sees the bounded candidate
-    rows only; all other rows are judged by join.
+    rows only; all other rows are judged by join. Without limits every file is accepted as it is.
     """
+    if limits.max_total_bytes is None and limits.max_files is None:
+        return accepted.withColumn("skip_reason", F.lit(None).cast("string"))
     verdicts = (
         budget_candidates(accepted, limits)
         .groupBy("repository_id")
@@ -159,10 +171,14 @@ def dedupe_by_blob(accepted: DataFrame) -> DataFrame:
     return accepted.join(last, ["repository_id", "sha", "pos"], "left_semi")
 
 
-def content_reason(content: Column) -> Column:
-    """binary, decode_failed, empty or null, from raw bytes."""
+def content_reason(content: Column, window_bytes: int | None = BINARY_WINDOW_BYTES) -> Column:
+    """binary, decode_failed, empty or null, from raw bytes.
+
+    A NUL within the first ``window_bytes`` makes a file binary; None looks at all bytes.
+    """
     decoded = content.cast("string")  # bytes are kept as they are, valid or not
-    has_nul = F.position(F.lit(b"\x00"), F.substring(content, 1, BINARY_WINDOW_BYTES)) > 0
+    looked_at = content if window_bytes is None else F.substring(content, 1, window_bytes)
+    has_nul = F.position(F.lit(b"\x00"), looked_at) > 0
     return (
         F.when(has_nul, "binary")
         .when(~F.is_valid_utf8(decoded), "decode_failed")
@@ -170,17 +186,22 @@ def content_reason(content: Column) -> Column:
     )
 
 
-def content_decision(df: DataFrame, content_col: str = "content") -> DataFrame:
-    return df.withColumn("skip_reason", content_reason(F.col(content_col)))
+def content_decision(
+    df: DataFrame, content_col: str = "content", window_bytes: int | None = BINARY_WINDOW_BYTES
+) -> DataFrame:
+    return df.withColumn("skip_reason", content_reason(F.col(content_col), window_bytes))
 
 
 def prepare_files(df: DataFrame) -> DataFrame:
-    """File rows for the index. ``df`` carries text content, language columns and a spans flag."""
+    """File rows for the index. ``df`` carries text content and language columns.
+
+    A parse error is what a producer of spans reports in a ``syntax_error`` column, for a file in
+    which it found no span; a file that merely declares nothing is parsed.
+    """
     out = detect_language(df) if "language" not in df.columns else df
-    has_spans = F.col("has_spans") if "has_spans" in df.columns else F.lit(None).cast("boolean")
-    parse_error = F.when(
-        F.col("parseable") & ~has_spans, "The file could not be parsed cleanly."
-    )
+    has_spans = F.col("has_spans") if "has_spans" in df.columns else F.lit(False)
+    failed = F.col("syntax_error") if "syntax_error" in df.columns else F.lit(False)
+    parse_error = F.when(F.col("parseable") & failed & ~has_spans, "syntax")
     return out.select(
         "repository_id",
         "path",

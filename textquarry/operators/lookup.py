@@ -9,7 +9,6 @@ from textquarry.functions import secrets, text
 from textquarry.functions.paths import is_env_file
 
 MAX_READ_LINES = 400
-MAX_SYMBOL_RESULTS = 10
 EXCERPT_CHARS = 700
 GRAM = 3
 
@@ -57,7 +56,7 @@ def find_symbol(names: DataFrame, chunks: DataFrame, limit: int = 5) -> DataFram
     return (
         keyed.join(hits, ["repository_id", "_label"])
         .withColumn("match_rank", F.row_number().over(order))
-        .where(F.col("match_rank") <= min(limit, MAX_SYMBOL_RESULTS))
+        .where(F.col("match_rank") <= limit)
         .withColumn("excerpt", text.cut_at_newline(secrets.redact(F.col("content")), EXCERPT_CHARS))
         .drop("_label", "_name")
     )

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from textquarry.functions import vectors
 from textquarry.operators.chunking import let
 
-MAX_EMBEDDING_CHARS = 32_000
-MAX_INPUT_CHARS = 60_000
 MAX_BATCH_ITEMS = 64
 MAX_BATCH_CHARS = 240_000
 SCORE_DIGITS = 9
@@ -21,7 +19,7 @@ BLOCK_ROWS = 1_024
 
 
 def embedding_text(chunks: DataFrame, repository_name: Column | None = None) -> DataFrame:
-    """Adds the text that is embedded: a stable header, a blank line and the content."""
+    """Adds the text that is embedded, whole: a stable header, a blank line and the content."""
     parent, symbol = F.nullif("parent_symbol", F.lit("")), F.nullif("symbol", F.lit(""))
     header = [
         F.concat(F.lit("Repository: "), F.col("repository_id") if repository_name is None else repository_name),
@@ -33,9 +31,7 @@ def embedding_text(chunks: DataFrame, repository_name: Column | None = None) ->
         F.lit(""),
         F.col("content"),
     ]
-    return chunks.withColumn(
-        "embedding_text", F.left(F.concat_ws("\n", *header), F.lit(MAX_EMBEDDING_CHARS))
-    )
+    return chunks.withColumn("embedding_text", F.concat_ws("\n", *header))
 
 
 def content_hash(df: DataFrame) -> DataFrame:
@@ -69,29 +65,35 @@ def pack_batches(
     text_col: str = "embedding_text",
     max_items: int = MAX_BATCH_ITEMS,
     max_chars: int = MAX_BATCH_CHARS,
-    input_chars: int = MAX_INPUT_CHARS,
+    group_rows: int = 4_096,
 ) -> DataFrame:
-    """Adds (partition_id, batch_id): greedy batches in row order within each partition.
+    """Adds (batch_group, batch_id): greedy batches in chunk_id order, the same in every run.
 
-    A batch is a unit of one request, so it never needs to cross partitions; the walk keeps only
-    two counters and streams over Arrow batches.
+    The chunks of a repository are dealt by hash to groups of about ``group_rows``; a batch never
+    crosses groups. Only ids and lengths meet in the walk. A text longer than a batch is alone in
+    it and stays whole, so an embedder with a shorter input must cut it into parts itself.
     """
-    spark_schema = df.withColumn("partition_id", F.spark_partition_id()).withColumn(
-        "batch_id", F.lit(0).cast("bigint")
-    ).schema
+    counts = df.groupBy("repository_id").agg(F.count("*").alias("_rows"))
+    slot = F.conv(F.left(F.md5("chunk_id"), F.lit(8)), 16, 10).cast("bigint")
+    keyed = df.join(counts, "repository_id").withColumn(
+        "batch_group", (slot % F.ceil(F.col("_rows") / group_rows)).cast("int")
+    )
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        batch, items, chars = 0, 0, 0
-        for frame in frames:
-            ids = []
-            for value in frame[text_col].str.len().clip(upper=input_chars).tolist():
-                if items and (items >= max_items or chars + value > max_chars):
-                    batch, items, chars = batch + 1, 0, 0
-                items, chars = items + 1, chars + value
-                ids.append(batch)
-            yield frame.assign(**{text_col: frame[text_col].str[:input_chars], "batch_id": ids})
-
-    return df.withColumn("partition_id", F.spark_partition_id()).mapInPandas(pack, spark_schema)
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("chunk_id", kind="stable")
+        batch, items, chars, ids = 0, 0, 0, []
+        for value in rows["chars"].tolist():
+            if items and (items >= max_items or chars + value > max_chars):
+                batch, items, chars = batch + 1, 0, 0
+            items, chars = items + 1, chars + value
+            ids.append(batch)
+        return rows[["repository_id", "chunk_id"]].assign(batch_id=ids)
+
+    narrow = keyed.select("repository_id", "batch_group", "chunk_id", F.coalesce(F.length(text_col), F.lit(0)).alias("chars"))
+    walked = narrow.groupBy("repository_id", "batch_group").applyInPandas(
+        walk, "repository_id string, chunk_id string, batch_id bigint"
+    )
+    return keyed.drop("_rows").join(walked, ["repository_id", "chunk_id"])
 
 
 Embedder = Callable[[pd.Series, str], np.ndarray]

@@ -22,11 +22,11 @@ class SearchResult:
     strengths: DataFrame
 
     def sources(self, top_k: int | None = None, settings: SearchSettings = SEARCH) -> DataFrame:
-        """Ranked sources, all of them or the first ``top_k`` (clamped to the allowed range)."""
+        """Ranked sources, all of them or the first ``top_k`` (as many as asked)."""
         ranked = self.candidates.where(F.col("rank") > 0)
         if top_k is None:
             return ranked
-        return ranked.where(F.col("rank") <= max(1, min(top_k, settings.max_top_k)))
+        return ranked.where(F.col("rank") <= top_k)
 
 
 def retrieve_pool(

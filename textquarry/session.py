@@ -28,10 +28,13 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, **conf: str)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a fresh local one only when none is set."""
+    """The shared folder named by the cluster; a fresh local one only in local mode."""
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
     spark.conf.set(CHECKPOINT_CONF, local)
     return local
@@ -48,12 +51,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def spread_scan(scan: DataFrame) -> DataFrame:
-    """Redistribute a plain scan that yields fewer tasks than there are cores.
-
-    A small table in one file would otherwise be processed by one task. A scan with enough
-    splits, as any large table has, is returned as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -7,9 +7,11 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class IndexLimits:
-    max_file_bytes: int = 512_000
-    max_total_bytes: int = 50_000_000
-    max_files: int = 5_000
+    """What one index takes. None is no limit; nothing is left out unless the caller names one."""
+
+    max_file_bytes: int | None = None
+    max_total_bytes: int | None = None
+    max_files: int | None = None
     max_chunk_chars: int = 8_000
     max_chunk_lines: int = 120
 

@@ -20,10 +20,14 @@ def scan_files(
     )
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    base = "/" + root.strip("/") + "/"
+    # The root as the reader names it: scheme and all, cut off once from the front.
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = system.makeQualified(folder).toString().rstrip("/") + "/"
+    path = F.col("path")
     return reader.load(root).select(
         F.lit(repository_id).alias("repository_id"),
-        F.substring_index(F.col("path"), base, -1).alias("path"),
+        F.when(F.startswith(path, F.lit(base)), F.substr(path, F.lit(len(base) + 1))).otherwise(path).alias("path"),
         F.sha1("content").alias("sha"),
         F.lit("blob").alias("type"),
         F.col("length").alias("size"),

@@ -171,7 +171,7 @@ def assemble_answers_batch(deltas: DataFrame) -> DataFrame:
 
 
 RUN = "run_id string, started_at timestamp, status string"
-RUN_STATE = "started long"
+RUN_STATE = "started long, finished boolean"
 
 
 def stuck_runs(events: DataFrame, limit: str = "30 minutes") -> DataFrame:
@@ -183,26 +183,25 @@ def stuck_runs(events: DataFrame, limit: str = "30 minutes") -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            started = state.get[0]
+            started, finished = state.get
             state.remove()
+            if finished or started is None:
+                return
             yield pd.DataFrame(
                 {"run_id": [key[0]], "started_at": [pd.Timestamp(started, unit="us")], "status": ["stuck"]}
             )
             return
-        started = state.get[0] if state.exists else None
-        finished = False
+        started, finished = state.get if state.exists else (None, False)
         for frame in frames:
             starts = frame.loc[frame["kind"] == "started", "ts"]
             if len(starts):
                 first = int(starts.min().value // 1000)
                 started = first if started is None else min(started, first)
             finished = finished or bool((frame["kind"] == "finished").any())
-        if finished or started is None:
-            if state.exists:
-                state.remove()
-            return
-        state.update((started,))
-        state.setTimeoutTimestamp(max(started // 1000 + limit_ms, state.getCurrentWatermarkMs() + 1))
+        # A run that has ended is remembered until its start can no longer arrive.
+        state.update((started, finished))
+        since = state.getCurrentWatermarkMs() if started is None else started // 1000
+        state.setTimeoutTimestamp(max(since + limit_ms, state.getCurrentWatermarkMs() + 1))
 
     return (
         events.withWatermark("ts", "1 minute")
