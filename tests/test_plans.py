@@ -25,6 +25,11 @@ def test_index_is_built_published_replaced_and_searched(spark, sf_dir, tmp_path)
     after = {r.repository_id: r["count"] for r in plan.load_index(spark, path).chunks.groupBy("repository_id").count().collect()}
     assert {k: v for k, v in after.items() if k != "src3"} == {k: v for k, v in before.items() if k != "src3"}
     assert 0 < after["src3"] <= before["src3"]
+    # An emptied repository loses its rows.
+    none = plan.build_index(one.where("false"), limits)
+    plan.publish_index(none, path, plan.load_index(spark, path), replaced=one)
+    assert plan.load_index(spark, path).chunks.where("repository_id = 'src3'").isEmpty()
+    assert plan.load_index(spark, path).postings.where("repository_id = 'src3'").isEmpty()
     # A question quoting a stored chunk finds it, within its own repository only.
     stored = plan.load_index(spark, path)
     asked = stored.chunks.select(F.col("chunk_id").alias("query_id"), "repository_id", F.left("content", F.lit(400)).alias("text"))

@@ -72,7 +72,7 @@ def corpus_index(spark: SparkSession, sf_dir: str) -> plan.CorpusIndex:
         plan.chunk_vectors(spark.read.parquet(f"{path}/postings")).write.parquet(f"{path}/embeddings")
         files.select("repository_id", "path", "size").write.parquet(f"{path}/decisions")
         _PUBLISHED[key] = path
-    return plan.load_index(spark, _PUBLISHED[key])
+    return plan.open_tables(spark, _PUBLISHED[key])
 
 
 def with_ctes(*ctes: str, select: str) -> str:

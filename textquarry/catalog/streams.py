@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from textquarry.catalog.base import CHUNK_LIMITS, CHUNKS_SQL, FILES_SQL, document_files, query, table, with_ctes
+from textquarry.plans import index as plan
 from textquarry.session import checkpoint_dir
 from textquarry.sources import files as source_files
 from textquarry.sources import sinks
@@ -41,17 +42,48 @@ def scan_files(spark, sf_dir):
 @query(
     "replace_snapshot",
     """SELECT source AS repository_id, CASE WHEN substr(source, 4)::INT % 2 = 0 THEN 'second' ELSE 'first' END AS run, count(*) AS files
-       FROM documents WHERE substr(source, 4)::INT % 2 = 1 OR lang = 'en' GROUP BY ALL""",
+       FROM documents WHERE substr(source, 4)::INT % 2 = 1 OR (lang = 'en' AND substr(source, 4)::INT % 4 = 0) GROUP BY ALL""",
 )
 def replace_snapshot(spark, sf_dir):
-    """All repositories are written, then the even ones again with English files only."""
+    """All repositories are written, then the even ones again: with English files only, or emptied."""
     path = fresh(spark, "snapshot")
     files = document_files(spark, sf_dir).select("repository_id", "path")
-    sinks.replace_snapshot(files.withColumn("run", F.lit("first")), path)
+    sinks.replace_snapshot(files.withColumn("state", F.lit("first")), path)
     even = F.substr("repository_id", F.lit(4)).cast("int") % 2 == 0
-    again = files.where(even & F.col("path").startswith("en/")).withColumn("run", F.lit("second"))
-    sinks.replace_snapshot(again, path)
-    return spark.read.parquet(path).groupBy("repository_id", "run").agg(F.count("*").alias("files"))
+    fourth = F.substr("repository_id", F.lit(4)).cast("int") % 4 == 0
+    again = files.where(fourth & F.col("path").startswith("en/")).withColumn("state", F.lit("second"))
+    sinks.replace_snapshot(again, path, replaced=files.where(even))
+    return sinks.read_snapshot(spark, path).groupBy("repository_id", F.col("state").alias("run")).agg(F.count("*").alias("files"))
+
+
+@query(
+    "publish_index_twice",
+    with_ctes(
+        FILES_SQL,
+        """kept_first AS (SELECT repository_id, sha, max(pos) AS pos FROM files WHERE size > 0 AND trim(content, ' ' || chr(9) || chr(10) || chr(13)) <> '' GROUP BY ALL),
+kept_again AS (SELECT repository_id, sha, max(pos) AS pos FROM files WHERE size > 0 AND path LIKE 'en/%' AND substr(repository_id, 4)::INT % 3 = 2
+  AND trim(content, ' ' || chr(9) || chr(10) || chr(13)) <> '' GROUP BY ALL),
+now AS (
+  SELECT repository_id, pos, false AS again FROM kept_first WHERE substr(repository_id, 4)::INT % 3 = 0
+  UNION ALL SELECT repository_id, pos, true FROM kept_again)""",
+        select="""SELECT repository_id, count(*) AS files, count(*) FILTER (WHERE again AND EXISTS (SELECT 1 FROM kept_first f WHERE f.repository_id = now.repository_id AND f.pos = now.pos)) AS files_reused
+                  FROM now GROUP BY repository_id""",
+    ),
+)
+def publish_index_twice(spark, sf_dir):
+    """An index of all repositories; then one in three becomes empty and one keeps its English files."""
+    path = fresh(spark, "published")
+    files = document_files(spark, sf_dir).drop("language", "content_type", "parseable", "blob_sha")
+    plan.publish_index(plan.build_index(files, CHUNK_LIMITS), path)
+    number = F.substr("repository_id", F.lit(4)).cast("int") % 3
+    again = files.where((number == 2) & F.col("path").startswith("en/"))
+    plan.publish_index(plan.build_index(again, CHUNK_LIMITS), path, plan.load_index(spark, path), replaced=files.where(number != 0))
+    stored = plan.load_index(spark, path)
+    parts = stored.chunks.select("repository_id", "path", "chunk_id").join(
+        stored.embeddings.select("repository_id", "chunk_id", "reused"), ["repository_id", "chunk_id"]
+    )
+    per_file = parts.groupBy("repository_id", "path").agg(F.bool_and("reused").alias("reused"))
+    return per_file.groupBy("repository_id").agg(F.count("*").alias("files"), F.count_if("reused").alias("files_reused"))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import terms
 from textquarry.operators import chunking, filters, lexical, vectors
+from textquarry.session import cut_lineage
 from textquarry.settings import INDEX, IndexLimits
-from textquarry.sources.sinks import replace_snapshot
+from textquarry.sources import sinks
 
 PROVIDER = "hashed"
 MODEL = "hashed-terms"
@@ -66,7 +68,7 @@ def query_vectors(queries: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame
 
 
 def build_index(manifest: DataFrame, limits: IndexLimits = INDEX, dimensions: int = DIMENSIONS) -> CorpusIndex:
-    """All index tables as lazy DataFrames of one lineage."""
+    """All index tables as DataFrames of one lineage; limits that are named are applied at once."""
     decisions = select_files(manifest, limits)
     texts = read_files(decisions)
     chunks = chunking.chunk_files(texts, limits)
@@ -81,23 +83,54 @@ def build_index(manifest: DataFrame, limits: IndexLimits = INDEX, dimensions: in
     )
 
 
-def publish_index(index: CorpusIndex, path: str) -> None:
-    """Write the tables, each replacing the repositories it holds.
+TABLES = ("decisions", "files", "chunks", "postings", "embeddings")
 
-    Chunks are written first and the later tables are derived from what was written, so the
-    corpus is cut and tokenised once.
+
+def chunk_embeddings(chunks: DataFrame, postings: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """A vector for every chunk, copied from ``previous`` where its text was embedded before.
+
+    Only the chunks that are left are embedded.
+    """
+    hashed = vectors.content_hash(vectors.embedding_text(chunks)).select("repository_id", "chunk_id", "content_hash")
+    if previous is None:
+        none = hashed.withColumn("embedding", F.lit(None).cast("array<double>")).withColumn("reused", F.lit(False))
+        known = none.select("*", F.lit(PROVIDER).alias("provider"), F.lit(MODEL).alias("model"), F.lit(DIMENSIONS).alias("dimensions"))
+    else:
+        known = vectors.reuse_embeddings(hashed, previous, PROVIDER, MODEL, DIMENSIONS)
+    columns = ["repository_id", "chunk_id", "content_hash", "provider", "model", "dimensions", "embedding", "reused"]
+    known = cut_lineage(known.select(*columns))
+    missing = known.where("not reused").drop("embedding")
+    asked = postings.join(missing.select("repository_id", "chunk_id"), ["repository_id", "chunk_id"], "left_semi")
+    fresh = missing.join(chunk_vectors(asked), ["repository_id", "chunk_id"], "left")
+    return known.where("reused").unionByName(fresh.select(*columns))
+
+
+def publish_index(
+    index: CorpusIndex, path: str, previous: CorpusIndex | None = None, replaced: DataFrame | None = None
+) -> None:
+    """Write the tables as one run, then make it current for its repositories.
+
+    ``replaced`` names the repositories, also those that have become empty; by default the ones
+    in the index. Chunks are written first and the later tables are derived from what was
+    written, so the corpus is cut and tokenised once. Readers see either the old run of all five
+    tables or the new one.
     """
-    replace_snapshot(index.decisions, f"{path}/decisions")
-    replace_snapshot(index.files, f"{path}/files")
-    replace_snapshot(index.chunks, f"{path}/chunks")
-    spark = index.chunks.sparkSession
-    repositories = index.decisions.select("repository_id").distinct()
-    chunks = spark.read.parquet(f"{path}/chunks").join(repositories, "repository_id", "left_semi")
-    replace_snapshot(lexical.build_postings(chunks), f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings").join(repositories, "repository_id", "left_semi")
-    replace_snapshot(chunk_vectors(postings), f"{path}/embeddings")
+    run = uuid.uuid4().hex
+    write = lambda df, name: sinks.write_run(df, f"{path}/{name}", run)
+    decisions = write(index.decisions, "decisions")
+    write(index.files, "files")
+    chunks = write(index.chunks, "chunks")
+    postings = write(lexical.build_postings(chunks), "postings")
+    write(chunk_embeddings(chunks, postings, None if previous is None else previous.embeddings), "embeddings")
+    sinks.publish_run(decisions if replaced is None else replaced, f"{path}/runs", run)
 
 
 def load_index(spark, path: str) -> CorpusIndex:
-    read = lambda name: spark.read.parquet(f"{path}/{name}")
-    return CorpusIndex(*(read(n) for n in ("decisions", "files", "chunks", "postings", "embeddings")))
+    """The current rows of a published index."""
+    runs = spark.read.parquet(f"{path}/runs")
+    return CorpusIndex(*(sinks.current_rows(spark.read.parquet(f"{path}/{name}"), runs) for name in TABLES))
+
+
+def open_tables(spark, path: str) -> CorpusIndex:
+    """Index tables written side by side, without runs."""
+    return CorpusIndex(*(spark.read.parquet(f"{path}/{name}") for name in TABLES))

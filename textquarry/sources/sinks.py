@@ -2,23 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import time
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def replace_snapshot(df: DataFrame, path: str, key: str = "repository_id") -> None:
-    """Replace the rows of exactly the repositories present in ``df``; others stay untouched.
+def write_run(df: DataFrame, path: str, run: str) -> DataFrame:
+    """Add the rows of one run to a table; they stay unseen until the run is published."""
+    df.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(path)
+    written = df.sparkSession.read.schema(df.schema.add("run", "string")).parquet(path)
+    return written.where(F.col("run") == run).drop("run")
+
+
+def publish_run(keys: DataFrame, path: str, run: str, key: str = "repository_id") -> None:
+    """Make a run the current one of the given keys, in one append: all of it is seen, or nothing."""
+    at = F.lit(time.time_ns())
+    keys.select(key).distinct().select(key, F.lit(run).alias("run"), at.alias("at")).write.mode("append").parquet(path)
+
+
+def current_rows(table: DataFrame, runs: DataFrame, key: str = "repository_id") -> DataFrame:
+    """The rows of each key's current run."""
+    newest = runs.groupBy(key).agg(F.max_by("run", "at").alias("run"))
+    return table.join(newest, [key, "run"], "left_semi").drop("run")
+
 
-    Dynamic partition overwrite commits only after every task succeeded, so a failed run
-    leaves the previous snapshot in place. Rows are not gathered by key first: a repository
-    may span many tasks and files.
+def replace_snapshot(df: DataFrame, path: str, key: str = "repository_id", replaced: DataFrame | None = None) -> None:
+    """Replace the rows of the ``replaced`` keys, by default those present in ``df``.
+
+    A key that is replaced and has no rows in ``df`` has none afterwards; others stay untouched.
+    Readers see the old rows until the last write, so a failed run changes nothing for them.
     """
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(key)
-        .parquet(path)
-    )
+    run = uuid.uuid4().hex
+    written = write_run(df, f"{path}/data", run)
+    publish_run(written if replaced is None else replaced, f"{path}/runs", run, key)
+
+
+def read_snapshot(spark: SparkSession, path: str, key: str = "repository_id") -> DataFrame:
+    return current_rows(spark.read.parquet(f"{path}/data"), spark.read.parquet(f"{path}/runs"), key)
 
 
 def append_events(df: DataFrame, path: str) -> None:
@@ -53,8 +75,3 @@ def upsert(
             out.append(F.col(column))
     return joined.select(*out)
 
-
-def newest_rows(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    """One row per key, first by the given order."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(window)).where("_rn = 1").drop("_rn")
