@@ -109,3 +109,39 @@ def test_window_closes_after_the_line_that_reaches_the_limit(spark):
     chunks = chunking.chunk_by_lines(rows, IndexLimits(max_chunk_chars=5, max_chunk_lines=10)).orderBy("start_byte").collect()
     assert [c.content for c in chunks] == ["üü\n", "bb\ncc\n", "d"]
     assert [(c.start_byte, c.end_byte) for c in chunks] == [(0, 5), (5, 11), (11, 12)]
+
+
+FORMS = [
+    (
+        "a.py",
+        "@deco(\n    1,\n)\ndef f(\n    a,\n    b=(1, 2),\n) -> int:\n    x = \"\"\"\nnot indented\ndef no(): pass\n\"\"\"\n    return [\n1,\n]\n\nX = 1\n",
+        [("f", "function", "function_definition", None, "@deco", "]")],
+    ),
+    (
+        "b.ts",
+        "export abstract class A {\n  private x = 1;\n  async run(\n    a: number,\n  ) {\n    if (a) {\n      go();\n    }\n  }\n  get y() {\n    return 1;\n  }\n}\n"
+        "export interface I {\n  a: string;\n}\nenum E {\n  P,\n}\ntype T = {\n  z: number;\n};\nfunction g(\n  a,\n) {\n  return a;\n}\nconst h = (\n  a,\n) => {\n  return a;\n};\n",
+        [
+            ("A", "class", "abstract_class_declaration", None, "export abstract", "}"),
+            ("run", "method", "method_definition", "A", "async run", "}"),
+            ("y", "method", "method_definition", "A", "get y", "}"),
+            ("I", "class", "interface_declaration", None, "export interface", "}"),
+            ("E", "class", "enum_declaration", None, "enum E", "}"),
+            ("T", "function", "type_alias_declaration", None, "type T", "}"),
+            ("g", "function", "function_declaration", None, "function g", "}"),
+            ("h", "function", "arrow_function", None, "const h", "}"),
+        ],
+    ),
+]
+
+
+@pytest.mark.parametrize("path,content,expected", FORMS)
+def test_forms_of_declarations(spark, path, content, expected):
+    rows = spark.createDataFrame([("r", path, content)], "repository_id string, path string, content string")
+    spans = chunking.spans_by_pattern(filters.detect_language(rows)).first().spans
+    raw = content.encode()
+    got = [(s.name, s.kind, s.node_type, s.parent) for s in spans]
+    assert got == [e[:4] for e in expected]
+    for s, (name, *_, begins, ends) in zip(spans, expected):
+        part = raw[s.start : s.end].decode()
+        assert part.lstrip().startswith(begins) and part.endswith(ends) and name in part, part
