@@ -18,7 +18,7 @@ from textquarry.llm.words import text_bytes
 SLICES = 16
 
 
-def grams(column: pa.Array, n: int, bits: int, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def grams(column: pa.Array, n: int, bits: int, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bucket of each n-gram, offsets by row) for runs of rows."""
     data, bounds = text_bytes(column)
     mask, row, rows = np.uint64((1 << (8 * n)) - 1), 0, len(bounds) - 1

@@ -91,7 +91,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return data, bounds
 
 
-def parts(column: pa.Array | pa.ChunkedArray, lower: bool = False, most: int = 4 << 20) -> Iterator[tuple[int, int, Words]]:
+def parts(column: pa.Array | pa.ChunkedArray, lower: bool = False, most: int = 2 << 20) -> Iterator[tuple[int, int, Words]]:
     """(first row, row after the last, words) of runs of rows of about `most` bytes, whole texts only."""
     data, bounds = text_bytes(column)
     row, rows = 0, len(bounds) - 1
