@@ -104,27 +104,27 @@ def append_events(spark, sf_dir):
     "index_stream",
     with_ctes(
         FILES_SQL, CHUNKS_SQL,
-        select="SELECT chunk_id, path, start_byte, end_byte, CASE WHEN repository_id = '' THEN 1 ELSE 64 END AS width FROM chunks",
+        select="SELECT chunk_id, path, start_byte, end_byte, 64 AS width, true AS has_terms FROM chunks WHERE regexp_extract(path, '[0-9]+')::BIGINT % 7 <> 0",
     ),
 )
 def index_stream(spark, sf_dir):
-    """Two deliveries of the documents: an older version first, then the current one."""
+    """Three deliveries: an older version of all documents, the current one, and at last every
+    seventh document emptied while an outdated version of others comes late."""
     source, target = fresh(spark, "incoming"), fresh(spark, "live-index")
-    files = document_files(spark, sf_dir).select("repository_id", "path", "sha", "type", "size", "content")
-    older = files.withColumn("content", F.concat(F.lit("old "), "content", F.lit("\nold end")))
-    older = older.withColumn("size", F.octet_length("content").cast("bigint")).withColumn("sha", F.concat(F.lit("o"), "sha"))
-    # Copies share a blob; the sha of the path keeps them apart here.
-    mark = F.sha2(F.concat_ws("|", "path", "sha"), 256)
-    schema = None
-    for version, delivery in enumerate((older, files), start=1):
-        rows = delivery.withColumn("sha", mark).withColumn("version", F.lit(version))
+    now = document_files(spark, sf_dir).select("repository_id", "path", "sha", "type", "size", "content", "pos")
+    older = now.withColumn("content", F.concat(F.lit("old "), "content", F.lit("\nold end")))
+    last = now.where("pos % 7 in (0, 1)").withColumn("content", F.when(F.col("pos") % 7 == 0, "").otherwise("late and outdated"))
+    number = F.when(F.col("pos") % 7 == 0, 3).otherwise(0)
+    for delivery in (older.withColumn("version", F.lit(1)), now.withColumn("version", F.lit(2)), last.withColumn("version", number)):
+        rows = delivery.withColumn("size", F.octet_length("content").cast("bigint")).withColumn("sha", F.sha2("content", 256))
         rows.write.mode("append").parquet(source)
-        schema = rows.schema
-        stream = spark.readStream.schema(schema).parquet(source)
-        jobs.index_stream(stream, target, f"{target}-progress", CHUNK_LIMITS, file_buckets=4).awaitTermination()
-    chunks = spark.read.parquet(f"{target}/chunks")
-    vectors = spark.read.parquet(f"{target}/embeddings").select("chunk_id", F.size("embedding").alias("width"))
-    return chunks.join(vectors, "chunk_id").select("chunk_id", "path", "start_byte", "end_byte", "width")
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        jobs.index_stream(stream, target, f"{target}-progress", CHUNK_LIMITS).awaitTermination()
+    live = jobs.live_index(spark, target)
+    vectors = live["embeddings"].select("chunk_id", F.size("embedding").alias("width"))
+    terms = live["postings"].groupBy("chunk_id").agg((F.count("*") > 0).alias("has_terms"))
+    found = live["chunks"].join(vectors, "chunk_id").join(terms, "chunk_id", "left")
+    return found.select("chunk_id", "path", "start_byte", "end_byte", "width", F.coalesce("has_terms", F.lit(False)).alias("has_terms"))
 
 
 def answer_deltas(spark, sf_dir):

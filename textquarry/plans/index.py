@@ -40,9 +40,11 @@ def select_files(manifest: DataFrame, limits: IndexLimits = INDEX) -> DataFrame:
     return refused.unionByName(budgeted.select(*refused.columns))
 
 
-def read_files(decisions: DataFrame) -> DataFrame:
-    """Accepted entries that hold text, one per blob."""
-    accepted = filters.dedupe_by_blob(decisions.where(F.col("skip_reason").isNull()).drop("skip_reason"))
+def read_files(decisions: DataFrame, one_per_blob: bool = True) -> DataFrame:
+    """Accepted entries that hold text, by default one per blob."""
+    accepted = decisions.where(F.col("skip_reason").isNull()).drop("skip_reason")
+    if one_per_blob:
+        accepted = filters.dedupe_by_blob(accepted)
     data = accepted.withColumn("content", F.col("content").cast("binary"))
     judged = filters.content_decision(data)
     text = judged.where(F.col("skip_reason").isNull())

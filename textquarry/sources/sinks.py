@@ -5,27 +5,44 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
 def write_run(df: DataFrame, path: str, run: str) -> DataFrame:
-    """Add the rows of one run to a table; they stay unseen until the run is published."""
-    df.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(path)
+    """Write the rows of one run to a table; they stay unseen until the run is published.
+
+    Writing a run again replaces its rows, so a repeated attempt is harmless.
+    """
+    rows = df.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    rows.partitionBy("run").parquet(path)
     written = df.sparkSession.read.schema(df.schema.add("run", "string")).parquet(path)
     return written.where(F.col("run") == run).drop("run")
 
 
-def publish_run(keys: DataFrame, path: str, run: str, key: str = "repository_id") -> None:
-    """Make a run the current one of the given keys, in one append: all of it is seen, or nothing."""
-    at = F.lit(time.time_ns())
-    keys.select(key).distinct().select(key, F.lit(run).alias("run"), at.alias("at")).write.mode("append").parquet(path)
+def publish_run(
+    keys: DataFrame, path: str, run: str, key: str | list[str] = "repository_id", order: Column | None = None
+) -> None:
+    """Make a run the current one of the given keys, in one append: all of it is seen, or nothing.
+
+    The run with the greatest ``order`` is current, by default the one published last.
+    """
+    at = F.lit(time.time_ns()) if order is None else order
+    rows = keys.select(*_keys(key), at.cast("bigint").alias("at")).groupBy(*_keys(key)).agg(F.max("at").alias("at"))
+    rows.withColumn("run", F.lit(run)).write.mode("append").parquet(path)
+
+
+def current_runs(runs: DataFrame, key: str | list[str] = "repository_id") -> DataFrame:
+    return runs.groupBy(*_keys(key)).agg(F.max_by("run", F.struct("at", "run")).alias("run"))
 
 
-def current_rows(table: DataFrame, runs: DataFrame, key: str = "repository_id") -> DataFrame:
+def current_rows(table: DataFrame, runs: DataFrame, key: str | list[str] = "repository_id") -> DataFrame:
     """The rows of each key's current run."""
-    newest = runs.groupBy(key).agg(F.max_by("run", "at").alias("run"))
-    return table.join(newest, [key, "run"], "left_semi").drop("run")
+    return table.join(current_runs(runs, key), [*_keys(key), "run"], "left_semi").drop("run")
 
 
 def replace_snapshot(df: DataFrame, path: str, key: str = "repository_id", replaced: DataFrame | None = None) -> None:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from textquarry.operators import lexical, vectors
+from textquarry.operators import lexical
 from textquarry.plans import index as plan
+from textquarry.session import cut_lineage
 from textquarry.settings import INDEX, IndexLimits
+from textquarry.sources import sinks
 
 FILE_KEYS = ["repository_id", "path"]
 
@@ -24,76 +26,50 @@ def latest_versions(files: DataFrame) -> DataFrame:
 
 
 def index_batch(files: DataFrame, previous: DataFrame | None, limits: IndexLimits = INDEX) -> dict[str, DataFrame]:
-    """Index tables of one batch of file versions, reusing vectors of unchanged chunk texts."""
-    texts = plan.read_files(
-        plan.filters.metadata_decision(latest_versions(files), limits)
-        .withColumn("pos", F.xxhash64("path"))
-    )
-    chunks = plan.chunking.chunk_files(texts, limits)
-    hashed = vectors.content_hash(vectors.embedding_text(chunks)).drop("embedding_text")
-    fresh = plan.chunk_vectors(lexical.build_postings(chunks)).select(
-        "chunk_id", F.col("embedding").alias("_fresh")
-    )
-    if previous is None:
-        known = hashed.withColumn("embedding", F.lit(None).cast("array<double>")).withColumn("reused", F.lit(False))
-        known = (
-            known.withColumn("provider", F.lit(plan.PROVIDER))
-            .withColumn("model", F.lit(plan.MODEL))
-            .withColumn("dimensions", F.lit(plan.DIMENSIONS))
-        )
-    else:
-        known = vectors.reuse_embeddings(hashed, previous, plan.PROVIDER, plan.MODEL, plan.DIMENSIONS)
-    embedded = known.join(fresh, "chunk_id", "left").select(
-        "chunk_id", *FILE_KEYS, "content_hash", "provider", "model", "dimensions",
-        F.coalesce("embedding", "_fresh").alias("embedding"), "reused",
-    )
-    return {"chunks": chunks, "embeddings": embedded}
-
+    """Index tables of one batch of file versions, reusing vectors of unchanged chunk texts.
 
-def index_stream(
-    files_stream: DataFrame, index_path: str, checkpoint: str, limits: IndexLimits = INDEX, file_buckets: int = 64
-) -> StreamingQuery:
-    """Keep an index current: new versions of a file replace that file's rows.
-
-    Rows live in partitions (repository_id, file_bucket); a batch rewrites only the buckets of
-    its files, keeping the rows of other files in them. Writing a batch twice gives the same
-    rows, so a replay after failure is harmless.
+    Every file keeps rows of its own, also if another has the same content: which copy arrives
+    first would otherwise decide what is found.
+    """
+    decisions = plan.filters.metadata_decision(latest_versions(files), limits)
+    texts = cut_lineage(plan.read_files(decisions, one_per_blob=False))
+    chunks = cut_lineage(plan.chunking.chunk_files(texts, limits))
+    postings = cut_lineage(lexical.build_postings(chunks))
+    vectors = plan.chunk_embeddings(chunks, postings, previous)
+    return {
+        "files": plan.filters.prepare_files(texts),
+        "chunks": chunks,
+        "postings": postings,
+        "embeddings": vectors.join(chunks.select("chunk_id", "path"), "chunk_id"),
+    }
+
+
+def live_index(spark, index_path: str) -> dict[str, DataFrame]:
+    """The tables of a streamed index, each file in its newest version."""
+    runs = spark.read.parquet(f"{index_path}/runs")
+    read = lambda name: spark.read.parquet(f"{index_path}/{name}")
+    tables = {name: sinks.current_rows(read(name), runs, FILE_KEYS) for name in ("files", "chunks", "embeddings")}
+    current = read("chunks").join(sinks.current_runs(runs, FILE_KEYS), [*FILE_KEYS, "run"], "left_semi")
+    known = current.select("repository_id", "chunk_id", "run")
+    tables["postings"] = read("postings").join(known, ["repository_id", "chunk_id", "run"], "left_semi").drop("run")
+    return tables
+
+
+def index_stream(files_stream: DataFrame, index_path: str, checkpoint: str, limits: IndexLimits = INDEX) -> StreamingQuery:
+    """Keep an index current: the newest version of a file replaces that file's rows.
+
+    A batch adds the rows of its files as one run and then names itself the current run of each
+    of them, with the file's version. Nothing is rewritten, so a large repository costs no more
+    than its changed files; a file that no longer yields a chunk has no current rows; an older
+    version that arrives late stays unseen; and a replay writes the same run again.
     """
-
-    def bucketed(df: DataFrame) -> DataFrame:
-        return df.withColumn("file_bucket", F.pmod(F.xxhash64("path"), F.lit(file_buckets)))
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        current = {}
-        for name in ("chunks", "embeddings"):
-            target = f"{index_path}/{name}"
-            exists = _has_rows(spark, target)
-            current[name] = spark.read.parquet(target) if exists else None
-        touched = bucketed(batch.select(*FILE_KEYS).distinct())
-        buckets = touched.select("repository_id", "file_bucket").distinct()
-        tables = index_batch(batch, current["embeddings"], limits)
-        for name, fresh in tables.items():
-            rows = bucketed(fresh)
-            if current[name] is not None:
-                kept = (
-                    current[name]
-                    .join(buckets, ["repository_id", "file_bucket"], "left_semi")
-                    .join(touched.select(*FILE_KEYS), FILE_KEYS, "left_anti")
-                )
-                rows = rows.unionByName(kept.select(*rows.columns))
-            staging = f"{index_path}/_staging/{name}"
-            partitions = ["repository_id", "file_bucket"]
-            # One task per bucket, so a bucket is a few files; a large repository has many buckets.
-            gathered = rows.repartition(*partitions)
-            gathered.write.mode("overwrite").partitionBy(*partitions).parquet(staging)
-            (
-                spark.read.schema(rows.schema).parquet(staging)
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy(*partitions)
-                .parquet(f"{index_path}/{name}")
-            )
+        run = f"batch-{batch_id:012d}"
+        known = live_index(batch.sparkSession, index_path) if _has_rows(batch.sparkSession, f"{index_path}/runs") else None
+        for name, rows in index_batch(batch, None if known is None else known["embeddings"], limits).items():
+            sinks.write_run(rows, f"{index_path}/{name}", run)
+        sinks.publish_run(batch, f"{index_path}/runs", run, FILE_KEYS, F.col("version"))
 
     return (
         files_stream.writeStream.foreachBatch(apply)
