@@ -126,6 +126,8 @@ def test_secrets(spark):
         ('```json\n{"summary": "s", "outcome": "x"}\n```', "s"),
         ('first\n```json\n{"a": 1}\n```\nthen\n```json\n{"summary": "two"}\n```\n', "two"),
         ('bare {"summary": "b {x}"} end', "b {x}"),
+        ('first {"summary": "one"} then {"summary": "two", "root_cause": "{"} and {"other": 1}', "two"),
+        ('```json\n{"summary": "s"}\nthat was it\n```', "s"),
         ('```json\n{"summary": "code ```x``` inside"}\n```', "code ```x``` inside"),
         ('{"summary": ', None),
         ("nothing", None),
