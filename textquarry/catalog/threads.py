@@ -161,9 +161,9 @@ WORKFLOW_SQL = """tallies AS (
 nexts AS (
   SELECT *, CASE WHEN indexing_status <> 'indexed' THEN 'repository' WHEN ready_to_ship > 0 THEN 'ship' WHEN proposed > 0 THEN 'review'
       WHEN conversations = 0 THEN 'ask' WHEN changes = 0 THEN 'investigate' ELSE 'ask' END AS next_stage,
-    CASE indexing_status WHEN 'failed' THEN 'Retry indexing' WHEN 'indexing' THEN 'View indexing' WHEN 'not_indexed' THEN 'Index repository' ELSE
-      CASE WHEN ready_to_ship > 0 THEN 'Create branch & PR' WHEN proposed > 0 THEN 'Review proposed change' WHEN conversations = 0 THEN 'Ask about this repository'
-           WHEN changes = 0 THEN 'Investigate a change' ELSE 'Ask another question' END END AS next_action FROM tallies),
+    CASE indexing_status WHEN 'failed' THEN 'retry_index' WHEN 'indexing' THEN 'watch_index' WHEN 'not_indexed' THEN 'build_index' ELSE
+      CASE WHEN ready_to_ship > 0 THEN 'open_change' WHEN proposed > 0 THEN 'review_change' WHEN conversations = 0 THEN 'first_question'
+           WHEN changes = 0 THEN 'first_change' ELSE 'next_question' END END AS next_action FROM tallies),
 workflow AS (
   SELECT *, CASE WHEN next_stage = 'repository' THEN 'current' WHEN indexing_status = 'indexed' THEN 'done' ELSE 'available' END AS repository_state,
     CASE WHEN next_stage = 'ask' THEN 'current' WHEN conversations > 0 THEN 'done' WHEN indexing_status <> 'indexed' THEN 'locked' ELSE 'available' END AS ask_state,

@@ -55,14 +55,12 @@ def text_terms(text: Column) -> Column:
     return F.coalesce(F.flatten(F.transform(words, identifier_terms)), _no_terms())
 
 
+# A joiner, an inner capital, a dot between letters, or letters together with digits.
+CODE_SHAPE = r"[_/]|[a-z][A-Z]|[A-Za-z]\.[A-Za-z]|[A-Za-z].*[0-9]|[0-9].*[A-Za-z]"
+
+
 def looks_like_code(token: Column) -> Column:
-    return (
-        token.contains("_")
-        | token.contains("/")
-        | token.rlike("[a-z][A-Z]")
-        | token.rlike(r"[A-Za-z]\.[A-Za-z]")
-        | (token.rlike("[A-Za-z]") & token.rlike("[0-9]"))
-    )
+    return token.rlike(CODE_SHAPE)
 
 
 def question_tokens(question: Column) -> Column:
