@@ -10,8 +10,8 @@ candidate only if it shares prefix tokens under every order. The shingle sets of
 then compared in full.
 
 Links are wanted for their components, so they are searched in two rounds. First each prefix token
-links its nodes to one of them, the one with the largest share of tokens that others have, which
-joins groups of near copies to their original without pairing them all. Then all pairs that share
+links its nodes to one of them, the one that has the fewest rarer tokens for its size, which joins
+groups of near copies to their original without pairing them all. Then all pairs that share
 a token and are not yet in one component are candidates: in each token's list the nodes outside
 its largest component meet the rest of the list.
 
@@ -178,11 +178,15 @@ def _emit(n: int, order: int, percent: int, blocks: int, shared, hold: int = 1_0
 
 
 EMITTED = "block int, tokens binary, owners binary, places binary, nodes binary, sizes binary"
-LISTED = "token bigint, node bigint, size bigint, most bigint"
+LISTED = "token bigint, node bigint, size bigint, most bigint, hub bigint"
 
 
 def _shared(percent: int):
-    """The tokens of a block that fit two or more nodes, with those nodes and the largest partner they serve."""
+    """The tokens of a block that fit two or more nodes: the nodes, the largest partner they serve, their hub.
+
+    The hub of a list is the node whose token serves the largest partner for its size; it is null
+    for the hub itself and for nodes it doesn't fit.
+    """
 
     def run(block: pa.Table) -> pa.Table:
         columns = [[], [], [], []]
@@ -209,22 +213,31 @@ def _shared(percent: int):
             changed = not keep.all()
             if not keep.any():
                 token, node, size, most = token[:0], node[:0], size[:0], most[:0]
-        return pa.table({"token": token.view(np.int64), "node": node, "size": size, "most": most})
+        best = np.lexsort((node, -most / np.maximum(size, 1), token))  # the hub comes first in each list
+        heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+        hub = np.repeat(best[heads], np.diff(np.append(heads, len(token))))
+        alone = (node[hub] == node) | (most < size[hub]) | (most[hub] < size)
+        hubs = pa.array(node[hub], mask=alone)
+        return pa.table({"token": token.view(np.int64), "node": node, "size": size, "most": most, "hub": hubs})
 
     return run
 
 
 def prefix_lists(documents: DataFrame, n: int, order: int, percent: int, blocks: int, classes) -> DataFrame:
-    """(token, node, size, most) of the prefix tokens that several nodes share under one order."""
+    """(token, node, size, most, hub) of the prefix tokens that several nodes share under one order."""
     rows = documents.select("text").mapInArrow(_emit(n, order, percent, blocks, classes), EMITTED)
     return cut_lineage(rows.groupBy("block").applyInArrow(_shared(percent), LISTED))
 
 
-def documents_of(documents: DataFrame, nodes: DataFrame, described: DataFrame, most: int = 1_000_000) -> DataFrame:
+def small(table: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table, broadcast in joins if it was counted to hold at most `most` rows of a few numbers."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def documents_of(documents: DataFrame, nodes: DataFrame, described: DataFrame) -> DataFrame:
     """The texts of one document for each of the nodes."""
     wanted = cut_lineage(described.join(nodes.distinct(), "node", "left_semi").select(F.col("rep").alias("wanted")).distinct())
-    few = wanted.count() <= most  # a broadcast of at most 16 MB, else a shuffled join
-    return documents.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    return documents.join(small(wanted), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
 
 
 def _sets(n: int):
@@ -260,28 +273,21 @@ def _pair(x: str, y: str) -> list:
     return [F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b")]
 
 
-def _weights(lists: DataFrame, percent: int) -> DataFrame:
-    """(node, weight): the share of a node's prefix that other nodes have too."""
-    length = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
-    counted = lists.groupBy("node").agg(F.count("*").alias("shared"), F.first("size").alias("size"))
-    return counted.select("node", (F.col("shared") / length).alias("weight"))
-
-
-def _stars(lists: DataFrame, weights: DataFrame) -> DataFrame:
-    """Pairs of each node with the weightiest node of each of its tokens."""
-    known = cut_lineage(lists.join(weights, "node"))
-    best = known.groupBy("token").agg(F.max(F.struct("weight", "node", "size", "most")).alias("best")).select("token", "best.node", "best.size", "best.most")
-    met = known.alias("x").join(best.alias("y"), "token").filter((F.col("x.node") != F.col("y.node")) & _fit("x", "y"))
-    return met.select(*_pair("x", "y")).distinct()
+def _stars(lists: DataFrame) -> DataFrame:
+    """Pairs of each node with the hubs of its tokens."""
+    met = lists.filter("hub IS NOT NULL")
+    return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def _crossing(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs that share a token and are not in one component, each once."""
-    known = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    counted = known.groupBy("token", "component").agg(F.count("*").alias("members"))
-    largest = counted.groupBy("token").agg(F.count("*").alias("groups"), F.max(F.struct("members", "component")).alias("largest"))
-    largest = largest.filter("groups > 1").select("token", F.col("largest.component").alias("largest"))
-    mixed_lists = cut_lineage(known.join(largest, "token"))
+    """Pairs that share a token and are not in one component, each once; `labels` is a written table."""
+    known = lists.drop("hub").join(small(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ends = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    several = cut_lineage(ends.filter("low < high").select("token"))
+    mixed_lists = cut_lineage(known.join(small(several), "token", "left_semi"))
+    counted = mixed_lists.groupBy("token", "component").agg(F.count("*").alias("members"))
+    largest = counted.groupBy("token").agg(F.max(F.struct("members", "component")).alias("largest"))
+    mixed_lists = cut_lineage(mixed_lists.join(largest.select("token", F.col("largest.component").alias("largest")), "token"))
     minor = mixed_lists.filter("component <> largest")
     apart = (F.col("x.component") != F.col("y.component")) & (
         (F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
@@ -313,8 +319,7 @@ def join_components(documents: DataFrame, n: int = 5, percent: int = 75, orders:
     def candidates(pairs_of) -> DataFrame:
         return cut_lineage(reduce(lambda x, y: x.join(y, ["a", "b"]), (pairs_of(one) for one in lists)))
 
-    weights = cut_lineage(_weights(lists[0], percent))
-    stars = candidates(lambda one: _stars(one, weights))
+    stars = candidates(_stars)
     links = similar(stars, documents, nodes, n, percent)
     labels = components(links)
     rest = candidates(lambda one: _crossing(one, labels))
