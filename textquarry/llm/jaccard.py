@@ -129,7 +129,7 @@ def prefix(tokens: np.ndarray, classes: np.ndarray, order: int, percent: int) ->
     return tokens, np.searchsorted(np.sort(rank), rank)
 
 
-def _emit(n: int, order: int, percent: int, blocks: int, shared, hold: int = 1_000_000):
+def _emit(n: int, order: int, percent: int, blocks: int, shared, hold: int = 300_000):
     """Rows of (block, prefix tokens, their sets by number, positions, nodes, sizes); a node once per task."""
 
     def rows(tokens: list[np.ndarray], places: list[np.ndarray], nodes: list[int], sizes: list[int]) -> pa.RecordBatch:
@@ -296,7 +296,7 @@ def _crossing(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return met.select(*_pair("x", "y")).distinct()
 
 
-def join_components(documents: DataFrame, n: int = 5, percent: int = 75, orders: int = 2, bits: int = 22, block_tokens: int = 1_000_000) -> DataFrame:
+def join_components(documents: DataFrame, n: int = 5, percent: int = 75, orders: int = 2, bits: int = 22, block_tokens: int = 300_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document (doc_id, text)."""
     spark: SparkSession = documents.sparkSession
     documents = documents.select("doc_id", "text")
