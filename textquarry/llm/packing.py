@@ -28,7 +28,7 @@ from textquarry.session import cut_lineage
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def _pieces(path: str, capacity: int, end_id: int, most: int = 4 << 20):
+def _pieces(path: str, capacity: int, end_id: int, most: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for batch in batches:

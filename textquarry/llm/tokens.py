@@ -30,7 +30,7 @@ def _byte_alphabet() -> dict[str, int]:
 class Encoder:
     """Ids of many texts at once. One per Python worker; it remembers at most `most` cuts."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.load(open(path, encoding="utf-8"))
         alphabet = _byte_alphabet()
