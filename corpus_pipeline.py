@@ -27,31 +27,27 @@ LANGUAGES = ("de", "en", "es", "fr")
 BLOCK_WORDS = 512
 
 
-def _without(docs: DataFrame, gone: DataFrame, keys: tuple[str, ...], most: int = 1_000_000) -> DataFrame:
-    """The documents whose keys are not in `gone`."""
-    gone = cut_lineage(gone.select(*(F.col(k).alias(f"gone_{k}") for k in keys)).distinct())
-    if gone.count() <= most:  # at most 32 MB
+def _without(docs: DataFrame, gone: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+    """The documents whose key is not in `gone`; a null key never is."""
+    gone = cut_lineage(gone.select(F.col(key).alias("gone_key")).distinct())
+    if gone.count() <= most:  # at most 16 MB
         gone = F.broadcast(gone)
-    same = None
-    for k in keys:
-        one = F.col(k).eqNullSafe(F.col(f"gone_{k}"))
-        same = one if same is None else same & one
-    return docs.join(gone, same, "left_anti")
+    return docs.join(gone, F.col(key) == F.col("gone_key"), "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     model = langid.train(docs, LANGUAGES)
-    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    evidence = hashed.select("doc_id", "text_hash", "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
-    found = langid.identify(evidence, model, LANGUAGES, keys=("doc_id", "text_hash"))
-    return _without(hashed, found.filter(~F.coalesce("accepted", F.lit(False))), ("doc_id", "text_hash")).select(*COLUMNS)
+    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    evidence = keyed.select("row_key", "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+    found = langid.identify(evidence, model, LANGUAGES, keys=("row_key",))
+    return _without(keyed, found.filter(~F.coalesce("accepted", F.lit(False))), "row_key").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     found = cut_lineage(jaccard.join_components(docs))
-    kept = _without(docs, found.filter(F.col("doc_id") != F.col("component_id")), ("doc_id",))
+    kept = _without(docs, found.filter(F.col("doc_id") != F.col("component_id")), "doc_id")
     known = found.filter("doc_id IS NOT NULL")
     if known.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         kept = kept.filter("doc_id IS NULL").unionByName(kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]))
