@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions import vectors
-from textquarry.operators.chunking import let
 
 MAX_BATCH_ITEMS = 64
 MAX_BATCH_CHARS = 240_000
