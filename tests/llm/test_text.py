@@ -53,6 +53,35 @@ def test_jaccard_components(spark, orders):
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(d, sizes[d], c) for d, c in expected.items()}
 
 
+@pytest.mark.parametrize("compare_tokens", [100, 100_000])
+def test_jaccard_links_within_one_component_are_all_counted(spark, compare_tokens):
+    base = [f"w{i}" for i in range(60)]
+    near = [(2000 + i, " ".join([*base[:i], "edit", *base[i + 1 :]])) for i in range(0, 60, 2)]
+    chain = [(3000 + i, " ".join(f"c{j}" for j in range(4 * i, 4 * i + 50))) for i in range(12)]
+    rows = [*ROWS, *near, (2100, near[3][1]), *chain, (None, chain[5][1])]
+    sets = [common.shingles(t) for _, t in rows]
+    linked = lambda s, t: bool(s and t) and 100 * len(s & t) >= 75 * len(s | t)
+    degrees = [sum(linked(s, t) for j, t in enumerate(sets) if j != i) for i, s in enumerate(sets)]
+    found = jaccard.join_links(common.documents(spark, rows), bits=12, block_tokens=500, compare_tokens=compare_tokens)
+    got = Counter((r["doc_id"], r["n_shingles"], r["n_links"]) for r in found.collect())
+    assert got == Counter((d, len(s), k) for (d, _), s, k in zip(rows, sets, degrees))
+    assert max(degrees) >= 20
+
+    nodes, least = {s: 0 for s in sets if s}, {}
+    for (d, _), s in zip(rows, sets):
+        if s:
+            nodes[s] += 1
+            least[s] = d if least.get(s) is None else min(least[s], d if d is not None else least[s])
+    distinct = list(nodes)
+    expected = {
+        (frozenset([least[s], least[t]]), frozenset([(least[s], nodes[s]), (least[t], nodes[t])]))
+        for i, s in enumerate(distinct) for t in distinct[:i] if linked(s, t)
+    }
+    pairs = jaccard.linked_pairs(common.documents(spark, rows), bits=12, block_tokens=500, compare_tokens=compare_tokens).collect()
+    assert len(pairs) == len(expected)
+    assert {(frozenset([r["a"], r["b"]]), frozenset([(r["a"], r["a_rows"]), (r["b"], r["b_rows"])])) for r in pairs} == expected
+
+
 def test_jaccard_without_ids_or_rows(spark):
     rows = [(None, "a b c d e f"), (None, "q"), (3, "a b c d e f"), (4, None)]
     got = {tuple(r) for r in jaccard.join_components(common.documents(spark, rows)).collect()}

@@ -15,6 +15,11 @@ groups of near copies to their original without pairing them all. Then all pairs
 a token and are not yet in one component are candidates: in each token's list the nodes outside
 its largest component meet the rest of the list.
 
+A link never leaves its component, so `join_links` and `linked_pairs` find all links by comparing
+the sets of each component with one another: its nodes are dealt to blocks by size class and hash,
+each two blocks whose sizes can be similar meet in one group, and their sets are compared in full.
+Every pair of different sets is counted once, with the rows at both of its nodes.
+
 Defined results: a text without words, or null, has the empty set and links with nothing; fewer
 words than a shingle make one shingle; repeated rows and texts are one node; a null doc_id stays
 null and is never a component's id unless all its ids are null; an empty table gives an empty
@@ -23,6 +28,7 @@ result; extra columns are ignored. Sets are compared by 64-bit hashes of their s
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -241,13 +247,19 @@ def documents_of(documents: DataFrame, nodes: DataFrame, described: DataFrame) -
 
 
 def _sets(n: int):
+    """The sets of the texts by node; a node once per task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             for _, sets in shingle_sets(batch.column("text"), n):
-                sets = [s for s in sets if len(s)]
+                fresh = {node_of(s): s for s in sets if len(s)}
+                fresh = {node: s for node, s in fresh.items() if node not in seen}
+                seen.update(fresh)
+                sets = list(fresh.values())
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 tokens = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                nodes = pa.array([node_of(s) for s in sets], pa.int64())
+                nodes = pa.array(list(fresh), pa.int64())
                 yield pa.RecordBatch.from_arrays([nodes, pa.ListArray.from_arrays(offsets, pa.array(tokens))], names=["node", "tokens"])
 
     return run
@@ -296,17 +308,16 @@ def _crossing(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return met.select(*_pair("x", "y")).distinct()
 
 
-def join_components(documents: DataFrame, n: int = 5, percent: int = 75, orders: int = 2, bits: int = 22, block_tokens: int = 300_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document (doc_id, text)."""
+def _search(documents: DataFrame, n: int, percent: int, orders: int, bits: int, block_tokens: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (doc_id, n_shingles, node), the nodes (node, rep, n, weight) and the labels of linked nodes."""
     spark: SparkSession = documents.sparkSession
-    documents = documents.select("doc_id", "text")
     described = cut_lineage(
         documents.mapInArrow(_describe(n, bits), "doc_id bigint, n_shingles bigint, node bigint, slice int, counts binary")
     )
     classes = spark.sparkContext.broadcast(frequency_classes(described, bits))
     described = described.filter("slice IS NULL").select("doc_id", "n_shingles", "node")
     nodes = cut_lineage(
-        described.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
+        described.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count("*").alias("weight"))
     )
     tokens = nodes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
     blocks = max(16, -(-int(tokens) // block_tokens))
@@ -324,9 +335,132 @@ def join_components(documents: DataFrame, n: int = 5, percent: int = 75, orders:
     labels = components(links)
     rest = candidates(lambda one: _crossing(one, labels))
     links = links.unionByName(similar(rest, documents, nodes, n, percent))
-    labels = components(links)
+    return described, nodes, components(links)
+
 
+def _named(described: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, doc_id, n_shingles, component_id) of every row."""
     least = labels.join(nodes, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
     named = cut_lineage(labels.join(least, "component").select("node", "component_id"))
     named = cut_lineage(nodes.join(named, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id")))
-    return described.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows = described.join(named, "node", "left")
+    return rows.select("node", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def join_components(documents: DataFrame, n: int = 5, percent: int = 75, orders: int = 2, bits: int = 22, block_tokens: int = 300_000) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document (doc_id, text)."""
+    found = _search(documents.select("doc_id", "text"), n, percent, orders, bits, block_tokens)
+    return _named(*found).drop("node")
+
+
+def _compare(percent: int, pairs: bool):
+    """The links between the two sides of a group, or within its only side.
+
+    Either the pairs of nodes, or of each node the rows at the nodes it is linked with.
+    """
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        _, c, x, d, y = (k.as_py() for k in key)
+        diagonal = (c, x) == (d, y)
+        group = group.combine_chunks()
+        second = group.column("second").to_numpy().astype(bool)
+        node = group.column("node").to_numpy()
+        keep = np.sort(np.unique(node, return_index=True)[1])  # a node's set may come from several tasks
+        group, second, node = group.take(pa.array(keep)), second[keep], node[keep]
+        weight = group.column("weight").to_numpy()
+        lists = group.column("tokens").combine_chunks()
+        size = lists.value_lengths().to_numpy().astype(np.int64)
+        token = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+        ends = np.cumsum(size)
+        left, right = np.flatnonzero(~second), np.flatnonzero(~second if diagonal else second)
+        place = np.full(len(node), -1)
+        place[right] = np.arange(len(right))
+        owner = np.repeat(place, size)
+        by = np.argsort(token, kind="stable")
+        by = by[owner[by] >= 0]
+        owner, counts = owner[by], np.bincount(token[by], minlength=token.max() + 1)
+        starts = np.cumsum(counts) - counts
+        totals, found = np.zeros(len(node), np.int64), [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        for i in left if len(right) else ():
+            own = token[ends[i] - size[i] : ends[i]]
+            runs = counts[own]
+            at = np.repeat(starts[own] - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
+            both = np.bincount(owner[at], minlength=len(right))
+            hits = right[100 * both >= percent * (size[i] + size[right] - both)]
+            if diagonal:
+                hits = hits[hits > i]
+            totals[i] += weight[hits].sum()
+            totals[hits] += weight[i]
+            if pairs:
+                found[0].append(np.minimum(node[hits], node[i]))
+                found[1].append(np.maximum(node[hits], node[i]))
+        if pairs:
+            return pa.table({"a": np.concatenate(found[0]), "b": np.concatenate(found[1])})
+        return pa.table({"node": node, "links": totals})
+
+    return run
+
+
+def _met(documents: DataFrame, nodes: DataFrame, labels: DataFrame, n: int, percent: int, compare_tokens: int):
+    """(components of two nodes, whose link is known; the sets of all others, grouped as they meet)."""
+    members = cut_lineage(labels.join(nodes, "node").select("node", "component", "weight", "rep", "n"))
+    held = cut_lineage(members.groupBy("component").agg(F.count("*").alias("n_nodes"), F.min("node").alias("a"), F.max("node").alias("b")))
+    twos, more = held.filter("n_nodes = 2"), held.filter("n_nodes > 2").select("component")
+    # Sizes of linked sets differ by one class at most; the base is a little larger than their ratio.
+    step = math.log(100 / percent * 1.001)
+    members = members.join(small(more), "component").withColumn("class", F.floor(F.log("n") / step))
+    members = cut_lineage(members)
+    blocks = cut_lineage(
+        members.groupBy("component", "class").agg(F.ceil(F.sum("n") / compare_tokens).cast("bigint").alias("blocks"))
+    )
+    above = blocks.select("component", (F.col("class") - 1).alias("class"), F.col("blocks").alias("above"))
+    below = blocks.select("component", (F.col("class") + 1).alias("class"), F.col("blocks").alias("below"))
+    by = ["component", "class"]
+    blocks = cut_lineage(blocks.join(above, by, "left").join(below, by, "left").fillna(0))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
+    dealt = cut_lineage(members.join(small(blocks), by).select("node", "weight", *by, block, "blocks", "above", "below"))
+
+    def meet(count: str, group) -> F.Column:
+        numbers = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col(count)), lambda b: b < F.col(count))
+        return F.transform(numbers, lambda b: F.struct(*(c.alias(k) for k, c in zip(("c", "x", "d", "y", "second"), group(b)))))
+
+    own, at = F.col("class"), F.col("block")
+    meetings = F.concat(
+        meet("blocks", lambda b: (own, F.least(at, b), own, F.greatest(at, b), at > b)),
+        meet("above", lambda b: (own, at, own + 1, b, F.lit(False))),
+        meet("below", lambda b: (own - 1, b, own, at, F.lit(True))),
+    )
+    texts = documents_of(documents, members.select("node"), nodes)
+    sets = cut_lineage(texts.select("text").mapInArrow(_sets(n), "node bigint, tokens array<bigint>"))
+    sent = sets.join(small(dealt), "node").withColumn("meeting", F.explode(meetings))
+    sent = sent.select("node", "tokens", "weight", "component", "meeting.*")
+    return twos, sent.groupBy("component", "c", "x", "d", "y")
+
+
+def join_links(
+    documents: DataFrame, n: int = 5, percent: int = 75, orders: int = 2, bits: int = 22, block_tokens: int = 300_000, compare_tokens: int = 100_000
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every document; its links are the other rows that are similar enough."""
+    documents = documents.select("doc_id", "text")
+    described, nodes, labels = _search(documents, n, percent, orders, bits, block_tokens)
+    twos, met = _met(documents, nodes, labels, n, percent, compare_tokens)
+    counted = met.applyInArrow(_compare(percent, False), "node bigint, links bigint")
+    ends = twos.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("o")), F.struct(F.col("b").alias("node"), F.col("a").alias("o")))).alias("e"))
+    known = ends.select("e.*").join(nodes.select(F.col("node").alias("o"), F.col("weight").alias("links")), "o").select("node", "links")
+    links = cut_lineage(counted.unionByName(known).groupBy("node").agg(F.sum("links").alias("links")))
+    links = cut_lineage(nodes.join(links, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
+    rows = _named(described, nodes, labels).join(links, "node", "left")
+    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
+def linked_pairs(
+    documents: DataFrame, n: int = 5, percent: int = 75, orders: int = 2, bits: int = 22, block_tokens: int = 300_000, compare_tokens: int = 100_000
+) -> DataFrame:
+    """All links of different sets: the least ids at both nodes (a, b), and the rows there (a_rows, b_rows)."""
+    documents = documents.select("doc_id", "text")
+    _, nodes, labels = _search(documents, n, percent, orders, bits, block_tokens)
+    twos, met = _met(documents, nodes, labels, n, percent, compare_tokens)
+    pairs = met.applyInArrow(_compare(percent, True), "a bigint, b bigint").unionByName(twos.select("a", "b"))
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("rep").alias(f"{k}_rep"), F.col("weight").alias(f"{k}_rows"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
+    return pairs.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"), "a_rows", "b_rows")

@@ -29,6 +29,22 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents"))
 
 
+# The same links, counted for each document.
+OP1_LINKS_SQL = (
+    OP1_SQL[: OP1_SQL.index("\nSELECT r.a")]
+    + """,
+degrees AS (SELECT x, count(*) AS k FROM both_ways GROUP BY x)
+SELECT r.a AS doc_id, coalesce(any_value(s.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id, coalesce(any_value(g.k), 0)::BIGINT AS n_links
+FROM reach r LEFT JOIN sized s ON s.doc_id = r.a LEFT JOIN degrees g ON g.x = r.a GROUP BY r.a"""
+)
+
+
+@query("op1_jaccard_links", OP1_LINKS_SQL)
+def op1_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near copies of every document and the number of its links, all of them verified."""
+    return jaccard.join_links(table(spark, sf_dir, "documents"))
+
+
 @query("op2_best_fit_packing")
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, packed into sequences of 2048 tokens."""
