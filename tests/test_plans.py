@@ -47,3 +47,17 @@ def test_labels_are_numbered_across_blocks(spark):
     )
     got = {(r.investigation_id, r.path): r.label for r in lookup.register_evidence(spans, block=8).collect()}
     assert got == {**{("i", f"f{n}"): f"S{n + 1}" for n in range(40)}, ("j", "f"): "S1"}
+
+
+def test_a_file_that_cannot_be_read_keeps_its_row(spark, tmp_path):
+    root = tmp_path / "a b%20c"
+    for name in ("good", "bad"):
+        spark.createDataFrame([(f"{name} text",)], "value string").coalesce(1).write.text(str(root / name))
+    broken = next((root / "bad").glob("part-*.txt"))  # its checksum no longer fits
+    broken.write_bytes(b"BAD TEXT\n")
+    manifest = files.scan_files(spark, str(root), "r", "*.txt").withColumn("pos", F.monotonically_increasing_id())
+    got = {r["path"]: (r["content"] and bytes(r["content"]), r["size"], r["skip_reason"]) for r in manifest.collect()}
+    good = next((root / "good").glob("part-*.txt"))
+    assert got == {f"good/{good.name}": (b"good text\n", 10, None), f"bad/{broken.name}": (None, 9, "unreadable")}
+    decided = {r["path"]: r["skip_reason"] for r in plan.select_files(manifest).collect()}
+    assert decided == {f"good/{good.name}": None, f"bad/{broken.name}": "unreadable"}

@@ -43,7 +43,11 @@ def metadata_reason(max_file_bytes: int | None) -> Column:
 
 
 def metadata_decision(manifest: DataFrame, limits: IndexLimits = INDEX) -> DataFrame:
-    return detect_language(manifest).withColumn("skip_reason", metadata_reason(limits.max_file_bytes))
+    """A reason that the manifest brings (a file that can't be read) comes first."""
+    reason = metadata_reason(limits.max_file_bytes)
+    if "skip_reason" in manifest.columns:
+        reason = F.coalesce("skip_reason", reason)
+    return detect_language(manifest).withColumn("skip_reason", reason)
 
 
 def _bounds(limits: IndexLimits) -> tuple[int, int]:

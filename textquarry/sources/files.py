@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry.session import cut_lineage
+
 MAX_TREE_DEPTH = 300
 
 
 def scan_files(
     spark: SparkSession, root: str, repository_id: str, glob: str | None = None
 ) -> DataFrame:
-    """Manifest and raw bytes below a folder; an unreadable item is left out, not fatal."""
+    """Manifest and raw bytes below a folder; an item that can't be read is a row without content.
+
+    Every listed file has one row. What the reader skips (a failed or vanished file) comes back with
+    skip_reason 'unreadable' and, if it is still there, its size. Contents are read once, into the
+    shared folder.
+    """
     reader = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -25,13 +34,22 @@ def scan_files(
     system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     base = system.makeQualified(folder).toString().rstrip("/") + "/"
     path = F.col("path")
-    return reader.load(root).select(
+    found = reader.load(root)
+    listed = [(unquote(name).replace(":///", ":/", 1),) for name in found.inputFiles()]
+    read = cut_lineage(found.select("path", "length", "content"))
+    lost = spark.createDataFrame(listed, "path string").join(read.select("path"), "path", "left_anti")
+    lost = lost.join(found.select("path", "length"), "path", "left")
+    rows = read.withColumn("skip_reason", F.lit(None).cast("string")).unionByName(
+        lost.select("path", "length", F.lit(None).cast("binary").alias("content"), F.lit("unreadable").alias("skip_reason"))
+    )
+    return rows.select(
         F.lit(repository_id).alias("repository_id"),
         F.when(F.startswith(path, F.lit(base)), F.substr(path, F.lit(len(base) + 1))).otherwise(path).alias("path"),
         F.sha1("content").alias("sha"),
         F.lit("blob").alias("type"),
         F.col("length").alias("size"),
         "content",
+        "skip_reason",
     )
 
 
@@ -41,8 +59,6 @@ def rebuild_paths(tree_nodes: DataFrame, max_depth: int = MAX_TREE_DEPTH) -> Dat
     A level-by-level join: the number of jobs follows the depth of the trees, not their size.
     Submodules are dropped. A tree deeper than the limit raises rather than being cut.
     """
-    from textquarry.session import cut_lineage
-
     nodes = tree_nodes.where(F.col("type") != "commit")
     columns = ["repository_id", "path", "sha", "type"]
     level = nodes.where(F.col("parent_sha").isNull()).select(
