@@ -46,3 +46,11 @@ def test_question_terms(spark, question, expected, identifiers):
 def test_long_identifier_stays_whole(spark):
     row = spark.createDataFrame([("a" * 100,)], "q string").select(terms.text_terms(F.col("q")).alias("t")).first()
     assert row.t == ["a" * 100]
+
+
+def test_identifier_terms_cover_every_word(spark, sf_dir):
+    from textquarry import catalog
+
+    found = catalog.QUERIES["identifier_terms_whole"](spark, sf_dir).where("form = 5")
+    text = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("sum(size(regexp_extract_all(text, '[A-Za-z]+', 0)))")
+    assert found.selectExpr("sum(words)").first()[0] == text.first()[0]

@@ -62,6 +62,44 @@ def identifier_terms(spark, sf_dir):
     )
 
 
+# The same styles for every word of a text and the word after it.
+STYLED_WHOLE_SQL = """words AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM documents),
+neighbours AS (SELECT doc_id, nth, ws[nth] AS w1, coalesce(ws[nth + 1], '') AS w2 FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS nth FROM words)),
+styled AS (
+  SELECT doc_id, nth, unnest([w1 || '_' || w2, w1 || upper(w2[1:1]) || w2[2:], upper(w1) || upper(w2[1:1]) || lower(w2[2:]),
+                             '$' || w1 || doc_id || w2, w1]) AS word, unnest([1, 2, 3, 4, 5]) AS form FROM neighbours)"""
+
+
+@query(
+    "identifier_terms_whole",
+    with_ctes(
+        STYLED_WHOLE_SQL,
+        select=f"""SELECT doc_id, form, count(*) AS words, md5(string_agg(array_to_string({sql.terms_of('word')}, ' '), '|' ORDER BY nth)) AS terms_md5
+                   FROM styled GROUP BY doc_id, form""",
+    ),
+)
+def identifier_terms_whole(spark, sf_dir):
+    """The terms of all neighbouring words of every text, in the five styles, as a digest."""
+    found = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    rows = table(spark, sf_dir, "documents").select("doc_id", found.alias("ws")).where(F.size("ws") > 0)
+    after = F.concat(F.slice("ws", F.lit(2), F.size("ws")), F.array(F.lit("")))
+    head, tail = lambda w: F.upper(F.substring(w, 1, 1)), lambda w: F.substr(w, F.lit(2))
+    number = F.col("doc_id").cast("string")
+    styles = (
+        lambda a, b: F.concat(a, F.lit("_"), b),
+        lambda a, b: F.concat(a, head(b), tail(b)),
+        lambda a, b: F.concat(F.upper(a), head(b), F.lower(tail(b))),
+        lambda a, b: F.concat(F.lit("$"), a, number, b),
+        lambda a, b: a,
+    )
+    digests = [
+        F.md5(F.array_join(F.transform(F.zip_with("ws", after, style), lambda w: F.array_join(terms.identifier_terms(w), " ")), "|"))
+        for style in styles
+    ]
+    rows = rows.select("doc_id", F.size("ws").cast("bigint").alias("words"), F.posexplode(F.array(*digests)).alias("_n", "terms_md5"))
+    return rows.select("doc_id", (F.col("_n") + 1).alias("form"), "words", "terms_md5")
+
+
 @query(
     "text_terms",
     with_ctes(

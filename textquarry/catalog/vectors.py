@@ -161,6 +161,52 @@ def l2_normalise(spark, sf_dir):
     )
 
 
+# Digests of whole vectors, value by value as whole numbers of the last digit kept.
+@query(
+    "embed_whole",
+    with_ctes(
+        CORPUS_FILES_SQL, CHUNKS_SQL,
+        select="""SELECT chunk_id, md5(array_to_string(list_transform(string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' '),
+                         lambda a: round((length(s) - length(replace(s, a, '')))::DOUBLE / greatest(length(s), 1) * 1000000)::BIGINT), ' ')) AS vector_md5
+                  FROM (SELECT chunk_id, regexp_replace(lower(content), '[^a-z]', '', 'g') AS s FROM chunks)""",
+    ),
+)
+def embed_whole(spark, sf_dir):
+    chunks = document_chunks(spark, sf_dir).select("chunk_id", "content")
+    out = vectors.embed(chunks, letter_embedder, "document", 26, text_col="content")
+    return out.select("chunk_id", vector_digest(F.col("embedding"), 1_000_000))
+
+
+def vector_digest(vector, scale: int):
+    values = F.transform(vector, lambda v: F.round(v.cast("double") * scale).cast("bigint").cast("string"))
+    return F.md5(F.array_join(values, " ")).alias("vector_md5")
+
+
+@query(
+    "hashed_embeddings_whole",
+    with_ctes(
+        *CORPUS_SQL, sql.CHUNK_SLOTS_SQL,
+        f"""filled AS (SELECT s.chunk_id, slot, v / size AS v FROM c_slots s JOIN c_norms n USING (chunk_id) WHERE size > 0),
+slots AS (SELECT chunk_id, unnest(range({plan.DIMENSIONS})) AS slot FROM (SELECT DISTINCT chunk_id FROM filled))""",
+        select="""SELECT chunk_id, md5(string_agg(round(coalesce(v, 0) * 100000)::BIGINT, ' ' ORDER BY slot)) AS vector_md5
+                  FROM slots LEFT JOIN filled USING (chunk_id, slot) GROUP BY chunk_id""",
+    ),
+)
+def hashed_embeddings_whole(spark, sf_dir):
+    made = plan.chunk_vectors(lexical.build_postings(document_chunks(spark, sf_dir)))
+    return made.select("chunk_id", vector_digest(F.col("embedding"), 100_000))
+
+
+@query(
+    "l2_normalise_whole",
+    """SELECT vec_id, md5(array_to_string(list_transform(embedding, lambda v: round(v::DOUBLE / size * 1000000)::BIGINT), ' ')) AS vector_md5
+       FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE))) AS size FROM embeddings)""",
+)
+def l2_normalise_whole(spark, sf_dir):
+    unit = vectors.l2_normalise(table(spark, sf_dir, "embeddings"))
+    return unit.select("vec_id", vector_digest(F.col("embedding"), 1_000_000))
+
+
 @query(
     "validate_vectors",
     """SELECT vec_id, CASE WHEN label = 3 THEN 'wrong_width' ELSE 'other_model' END AS reason
