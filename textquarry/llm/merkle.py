@@ -319,7 +319,6 @@ def save(manifest: Manifest, path: str) -> None:
 
 def load(spark: SparkSession, path: str, height: int = HEIGHT, shards: int = 256) -> Manifest:
     """A saved manifest that holds at least one leaf; `height` as it was built."""
-    blocks = spark.read.parquet(f"{path}/blocks")
-    count = blocks.agg(F.max("layer")).first()[0] + 1
-    layers = [blocks.where(F.col("layer") == i).drop("layer") for i in range(count)]
+    count = spark.read.parquet(f"{path}/blocks").agg(F.max("layer")).first()[0] + 1
+    layers = [spark.read.parquet(f"{path}/blocks").where(F.col("layer") == i).drop("layer") for i in range(count)]
     return _crowned(Forest(spark.read.parquet(f"{path}/leaves"), layers, height, shards))

@@ -1,11 +1,12 @@
-"""Registered queries of language-model scores and substring deduplication."""
+"""Registered queries of language-model scores, substring deduplication and token alignment."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import lm, substring
+from textquarry.llm import alignment, lm, substring
 from textquarry.llm.registry import query, table
 
 
@@ -33,3 +34,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words whose window starts earlier in the corpus."""
     kept = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alignment of two tokenizers over all documents."""
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align_documents(table(spark, sf_dir, "documents"), *paths)
