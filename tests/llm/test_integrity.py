@@ -144,9 +144,9 @@ def plain_alignment(rows):
             a_ids, b_ids = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)
             ends: list[dict] = [{}, {}]
             joined = [b"", b""]
-            for side, ids in enumerate((a_ids, b_ids)):
+            for side, ids in enumerate((a_ids, b_ids)):  # bytes of each token, and the offsets where they end
                 for i in ids:
-                    piece = b.id_to_piece(i)
+                    piece = b.id_to_piece(i) if side else ""
                     raw = a_bytes[i] if side == 0 else bytes([int(piece[3:-1], 16)]) if b.is_byte(i) else piece.replace("▁", " ").encode()
                     joined[side] += raw
                     ends[side][len(joined[side])] = i
@@ -199,7 +199,7 @@ def test_alignment_of_nothing(spark):
 def test_a_text_of_some_megabytes_and_a_bounded_memory(spark):
     rng = random.Random(2)
     text = common.prose(rng, 200_000)
-    aligner = alignment.Aligner(A, B, most_bytes=100_000)
+    aligner = alignment.Aligner(A, B, most_bytes=200_000)
     small = [common.prose(rng, 50) for _ in range(30)]
     first = [b";".join(aligner.groups[p] for p in at) for at in aligner.align(small)]
     assert len(aligner.align([text])[0]) > 0 and aligner.held > aligner.most_bytes

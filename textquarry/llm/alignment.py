@@ -248,11 +248,11 @@ def align_documents(
     documents = documents.select("doc_id", "text")
     aligned = align_texts(documents, a_path, b_path, keep_groups, run_chars)
     totals = pair_totals(aligned).select("pair", "total", "best")
-    asked = aligned.where("pairs IS NOT NULL").select("run", F.posexplode("pairs").alias("at", "pair"))
-    answers = asked.join(totals, "pair").select("run", "at", "total", "best")
+    asked = aligned.where("pairs IS NOT NULL").select(F.col("run").alias("of"), F.posexplode("pairs").alias("at", "pair"))
+    answers = asked.join(totals, "pair").select("of", "at", "total", "best")
     texts = aligned.where("key IS NOT NULL")
     sums = (
-        texts.select("run", "key", "links").groupBy("run").cogroup(answers.groupBy("run"))
+        texts.select("run", "key", "links").groupBy("run").cogroup(answers.groupBy("of"))
         .applyInArrow(_measured, "key binary, n_links bigint, n_best bigint, count_sum bigint")
     )
     groups = ["groups_sha256", *(["groups"] if keep_groups else [])]
