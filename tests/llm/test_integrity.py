@@ -199,7 +199,7 @@ def test_alignment_of_nothing(spark):
 def test_a_text_of_some_megabytes_and_a_bounded_memory(spark):
     rng = random.Random(2)
     text = common.prose(rng, 200_000)
-    aligner = alignment.Aligner(A, B, most_bytes=200_000)
+    aligner = alignment.Aligner(A, B, most_bytes=1_000_000)
     small = [common.prose(rng, 50) for _ in range(30)]
     first = [b";".join(aligner.groups[p] for p in at) for at in aligner.align(small)]
     assert len(aligner.align([text])[0]) > 0 and aligner.held > aligner.most_bytes

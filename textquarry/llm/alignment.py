@@ -29,10 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from textquarry.llm.tokens import PATTERN, PLAIN
 from textquarry.llm.tokens import _byte_alphabet as byte_alphabet
 from textquarry.session import cut_lineage
 
@@ -50,7 +52,7 @@ def _digit_table(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Aligner:
     """Aligned tokens of many texts. One per Python worker; what it remembers is bounded in bytes."""
 
-    def __init__(self, a_path: str, b_path: str, most_bytes: int = 48 << 20):
+    def __init__(self, a_path: str, b_path: str, most_bytes: int = 128 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
@@ -60,63 +62,96 @@ class Aligner:
         for piece, i in vocabulary.items():
             if all(c in alphabet for c in piece):
                 self.a_bytes[i] = bytes(alphabet[c] for c in piece)
+        special = {t.content for t in self.a.get_added_tokens_decoder().values()}
+        ranks = {self.a_bytes[i]: i for piece, i in vocabulary.items() if piece not in special}
+        self.plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [
             bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(pieces)
         ]
         self.breaks = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces)
-        self.a_lengths = np.array([len(t) for t in self.a_bytes], np.int64)
-        self.b_lengths = np.array([len(t) for t in self.b_bytes], np.int64)
         self.digits, self.digit_counts = _digit_table(max(len(self.a_bytes), len(self.b_bytes)))
         self.most_bytes = most_bytes
         self.forget()
 
     def forget(self) -> None:
         self.cuts: dict[str, int] = {}
-        self.pairs: dict[int, int] = {}  # the pairs met since, numbered as they came
         self.groups: list[bytes] = []
-        self.counts: list[tuple[int, int, int]] = []
-        self.links: list[np.ndarray] = []
+        self.tokens: list[tuple[int, int]] = []  # of A and B; BAD where the bytes differ
+        self.links = np.zeros(1 << 16, np.int64)  # linked pairs, one remembered text after another
+        self.bounds = [0]
         self.held = 0
 
-    def _remember(self, texts: list[str]) -> int:
+    def _encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of A, by tiktoken over the same vocabulary for short Latin texts, and of B."""
+        a: list = [self.plain.encode_ordinary(" " + t) if len(t) < 200 and PLAIN.fullmatch(t) else None for t in texts]
+        other = [i for i, ids in enumerate(a) if ids is None]
+        for i, found in zip(other, self.a.encode_batch([" " + texts[i] for i in other], add_special_tokens=False)):
+            a[i] = found.ids
+        return a, self.b.encode(texts, num_threads=1)
+
+    def _remember(self, texts: list[str], most: int = 1 << 20) -> int:
         """Align some texts whole; their places begin at the result."""
-        first = len(self.groups)
-        for n_a, n_b, groups, links in self._aligned(texts):
-            numbers = [self.pairs.setdefault(pair, len(self.pairs)) for pair in links.tolist()]
-            self.counts.append((n_a, n_b, len(numbers)))
-            self.groups.append(groups)
-            self.links.append(np.array(numbers, np.int64))
-            self.held += len(groups) + 8 * len(numbers) + 400
+        first, some, size = len(self.groups), [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size >= most:
+                self._align_whole(some)
+                some, size = [], 0
+        if some:
+            self._align_whole(some)
         return first
 
-    def _aligned(self, texts: list[str]) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
-        """(A tokens, B tokens, groups as text, linked pairs) of each text; BAD tokens where bytes differ."""
-        a_ids = [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
-        b_ids = self.b.encode(texts, num_threads=1)
-        for text, a, b in zip(texts, a_ids, b_ids):
-            whole = (" " + text).encode()
-            if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
-                yield BAD, BAD, b"", np.zeros(0, np.int64)
-                continue
-            yield len(a), len(b), *self._grouped(np.array(a, np.int64), np.array(b, np.int64))
-
-    def _grouped(self, a: np.ndarray, b: np.ndarray) -> tuple[bytes, np.ndarray]:
-        a_ends, b_ends = np.cumsum(self.a_lengths[a]), np.cumsum(self.b_lengths[b])
+    def _align_whole(self, texts: list[str]) -> None:
+        a_ids, b_ids = self._encode(texts)
+        sides = []
+        wholes = [(" " + t).encode() for t in texts]
+        sizes = np.array([len(w) for w in wholes], np.int64)
+        expected = np.frombuffer(b"".join(wholes), np.uint8)
+        good = np.ones(len(texts), bool)
+        for ids, known in ((a_ids, self.a_bytes), (b_ids, self.b_bytes)):
+            flat = [i for some in ids for i in some]
+            of = np.repeat(np.arange(len(ids)), [len(some) for some in ids])
+            pieces = [known[i] for i in flat]
+            lengths = np.array([len(p) for p in pieces], np.int64)
+            joined = np.frombuffer(b"".join(pieces), np.uint8)
+            sides.append((np.array(flat, np.int64), of, lengths))
+            good &= np.bincount(of, lengths, len(texts)).astype(np.int64) == sizes
+            kept, wanted = joined[np.repeat(good[of], lengths)], expected[np.repeat(good, sizes)]
+            if not np.array_equal(kept, wanted):
+                good[np.repeat(np.flatnonzero(good), sizes[good])[kept != wanted]] = False
+        (a, a_of, a_lengths), (b, b_of, b_lengths) = ((x[good[of]], of[good[of]], n[good[of]]) for x, of, n in sides)
+        text, text_bounds, links, link_bounds = self._grouped(a, a_lengths, b, b_lengths, np.cumsum(np.where(good, sizes, 0)))
+        n_a, n_b = np.bincount(a_of, minlength=len(texts)).tolist(), np.bincount(b_of, minlength=len(texts)).tolist()
+        token_bounds = np.concatenate([[0], np.cumsum(np.array(n_a) + np.array(n_b))])
+        cuts = text_bounds[token_bounds].tolist()
+        self.groups += [text[x : y - 1] if y > x else b"" for x, y in zip(cuts[:-1], cuts[1:])]
+        self.tokens += [(x, y) if fits else (BAD, BAD) for x, y, fits in zip(n_a, n_b, good.tolist())]
+        used = self.bounds[-1]
+        if used + len(links) > len(self.links):
+            self.links = np.concatenate([self.links, np.zeros(max(len(self.links), len(links)), np.int64)])
+        self.links[used : used + len(links)] = links
+        self.bounds += (used + link_bounds).tolist()
+        self.held += len(text) + 8 * len(links) + 350 * len(texts) + int(sizes.sum())
+
+    def _grouped(self, a: np.ndarray, a_lengths: np.ndarray, b: np.ndarray, b_lengths: np.ndarray, ends: np.ndarray):
+        """All groups as text with the bounds of its tokens, and the linked pairs with their bounds by text."""
+        a_ends, b_ends = np.cumsum(a_lengths), np.cumsum(b_lengths)
         common = np.intersect1d(a_ends, b_ends, assume_unique=True)
         a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
         order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
-        ids, n_a = np.concatenate([a, b])[order], len(a)
-        last = np.concatenate([np.append(a_group[1:] != a_group[:-1], True), np.append(b_group[1:] != b_group[:-1], True)])[order]
-        after = np.where(last, np.where(order < n_a, ord("|"), ord(";")), ord(",")).astype(np.uint8)
+        ids = np.concatenate([a, b])[order]
+        last = np.concatenate([common[a_group] == a_ends, common[b_group] == b_ends])[order] if len(ids) else np.zeros(0, bool)
+        after = np.where(last, np.where(order < len(a), ord("|"), ord(";")), ord(",")).astype(np.uint8)
         shown = np.zeros((len(ids), DIGITS + 1), np.uint8)
         shown[:, :DIGITS] = self.digits[ids]
         counts = self.digit_counts[ids]
         shown[np.arange(len(ids)), counts] = after
         text = shown[np.arange(DIGITS + 1) <= counts[:, None]].tobytes()
-        a_last, b_last = a[np.searchsorted(a_ends, common)], b[np.searchsorted(b_ends, common)]
-        return text[:-1], (a_last << 32) | b_last
+        links = (a[np.searchsorted(a_ends, common)] << 32) | b[np.searchsorted(b_ends, common)]
+        return text, np.concatenate([[0], np.cumsum(counts + 1)]), links, np.searchsorted(common, ends, "right")
 
     def _cut(self, text: str) -> list[str] | None:
         """The parts of a text between single spaces, if they can be aligned apart."""
@@ -133,15 +168,25 @@ class Aligner:
             self.forget()
         parts = [self._cut(t) for t in texts]
         fresh = list(dict.fromkeys(p for found in parts if found for p in found if p not in self.cuts))
-        first = self._remember(fresh) if fresh else 0
+        first = self._remember(fresh)
         self.cuts.update(zip(fresh, range(first, first + len(fresh))))
         places: list[list[int]] = [list(map(self.cuts.__getitem__, found)) if found else [] for found in parts]
-        whole = [i for i, at in enumerate(places) if not at or any(self.counts[p][0] == BAD for p in at)]
-        first = self._remember([texts[i] for i in whole]) if whole else 0
+        whole = [i for i, at in enumerate(places) if not at or any(self.tokens[p][0] == BAD for p in at)]
+        first = self._remember([texts[i] for i in whole])
         for k, i in enumerate(whole):
-            places[i] = [first + k] if self.counts[first + k][0] != BAD else []
+            places[i] = [first + k] if self.tokens[first + k][0] != BAD else []
         return places
 
+    def linked(self, places: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """The linked pairs of texts, one after another, and their bounds."""
+        flat = np.array([p for at in places for p in at], np.int64)
+        bounds = np.array(self.bounds, np.int64)
+        starts, counts = bounds[flat], bounds[flat + 1] - bounds[flat]
+        ends = np.cumsum(counts)
+        pairs = self.links[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)]
+        of_texts = np.cumsum([0, *(len(at) for at in places)])
+        return pairs, np.concatenate([[0], ends])[of_texts]
+
 
 ALIGNED = (
     "key binary, run bigint, copies bigint, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, groups string, "
@@ -160,22 +205,18 @@ def _run_rows(aligner: Aligner, keys: list[bytes], copies: list[int], texts: lis
     """A row for each text of a run, and one for the run's distinct pairs with their weights."""
     run = int.from_bytes(hashlib.sha256(b"".join(keys)).digest()[:8], "little", signed=True)
     found, rows = aligner.align(texts), []
-    numbers = [np.concatenate([aligner.links[p] for p in at]) if at else np.zeros(0, np.int64) for at in found]
-    links = np.concatenate([np.zeros(0, np.int64), *numbers])
-    met = np.zeros(len(aligner.pairs), bool)
-    met[links] = True
-    used = np.flatnonzero(met)
-    where = (np.cumsum(met) - 1)[links]
-    weights = np.bincount(where, np.repeat(np.array(copies, np.float64), [len(n) for n in numbers]), len(used))
-    known = np.fromiter(aligner.pairs, np.int64, len(aligner.pairs))
-    edges = np.concatenate([[0], np.cumsum([len(n) for n in numbers])]).tolist()
+    links, edges = aligner.linked(found)
+    pairs, where = np.unique(links, return_inverse=True)
+    weights = np.bincount(where, np.repeat(np.array(copies, np.float64), np.diff(edges)), len(pairs))
+    where = where.astype("<u4")
     for i, at in enumerate(found):
-        n_a, n_b, n_groups = (sum(c) for c in zip(*(aligner.counts[p] for p in at))) if at else (0, 0, 0)
+        n_a, n_b = map(sum, zip(*(aligner.tokens[p] for p in at))) if at else (0, 0)
         groups = b";".join([aligner.groups[p] for p in at])
         digest = hashlib.sha256(groups).hexdigest() if at else ""
         shown = groups.decode() if keep_groups else None
-        rows.append((keys[i], run, copies[i], n_a, n_b, n_groups, digest, shown, where[edges[i] : edges[i + 1]].astype("<u4").tobytes(), None, None))
-    rows.append((None, run, None, None, None, None, None, None, None, known[used], weights.astype(np.int64)))
+        blob = where[edges[i] : edges[i + 1]].tobytes()
+        rows.append((keys[i], run, copies[i], n_a, n_b, int(edges[i + 1] - edges[i]), digest, shown, blob, None, None))
+    rows.append((None, run, None, None, None, None, None, None, None, pairs, weights.astype(np.int64)))
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows), _KINDS)], names=[n for n, _ in _KINDS])
 
 
