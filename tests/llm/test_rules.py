@@ -223,7 +223,7 @@ def test_encoder_gives_the_tokenizers_ids():
     ]
     texts = odd + [t or "" for _, t in ROWS]
     tokenizer = Tokenizer.from_file(PATH)
-    encoder = Encoder(PATH, most=50)
+    encoder = Encoder(PATH, most_bytes=10_000)
     for _ in range(2):
         ids, bounds = encoder.encode(texts)
         for i, text in enumerate(texts):

@@ -22,15 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.tokens import Encoder
+from textquarry.llm.tokens import encoder
+from textquarry.llm.words import give_back
 from textquarry.session import cut_lineage
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def _pieces(path: str, capacity: int, end_id: int, most: int = 1 << 20):
+def _pieces(path: str, capacity: int, end_id: int, most: int = 1 << 19):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        known = encoder(path)
         for batch in batches:
             texts, row = batch.column("text"), 0
             while row < len(texts):
@@ -39,8 +40,9 @@ def _pieces(path: str, capacity: int, end_id: int, most: int = 1 << 20):
                     some.append(texts[row].as_py() or "")
                     size += len(some[-1])
                     row += 1
-                ids, bounds = encoder.encode(some)
+                ids, bounds = known.encode(some)
                 yield _cut(batch.column("doc_id").slice(first, row - first), ids, bounds, capacity, end_id)
+        give_back()
 
     return run
 

@@ -28,9 +28,9 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of many texts at once. One per Python worker; it remembers at most `most` cuts."""
+    """Ids of many texts at once. One per Python worker; what it remembers is bounded in bytes, about."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most_bytes: int = 64 << 20):
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.load(open(path, encoding="utf-8"))
         alphabet = _byte_alphabet()
@@ -39,13 +39,13 @@ class Encoder:
             bytes(alphabet[c] for c in piece): rank for piece, rank in spec["model"]["vocab"].items() if piece not in self.special
         }
         self.plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.most = most
+        self.most_bytes = most_bytes
         self._forget()
 
     def _forget(self) -> None:
         self.known: tuple[dict, dict] = ({}, {})  # cuts at the start of a text, and after a space
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts, self.used = [0], 0
+        self.starts, self.used, self.held = [0], 0, 0
 
     def _encode(self, text: str) -> list[int]:
         if PLAIN.fullmatch(text):
@@ -58,6 +58,7 @@ class Encoder:
         self.ids[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
         self.starts.append(self.used)
+        self.held += 4 * len(ids) + 200  # the ids, the cut and its entry
         return len(self.starts) - 2
 
     def _regular(self, text: str) -> bool:
@@ -66,7 +67,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the bounds of the texts in them."""
-        if len(self.starts) > self.most:
+        if self.held > self.most_bytes:
             self._forget()
         heads, tails = self.known
         cuts: list[int] = []
@@ -102,3 +103,13 @@ class Encoder:
         if head is None:
             head = heads[first] = self._store(self._encode(first))
         return [head, *found]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this worker process for a vocabulary."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]

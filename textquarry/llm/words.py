@@ -6,6 +6,7 @@ other code points. Null texts have no words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,15 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 FACTOR = 0xD6E8FEB86659FD93  # odd
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker kept for later tasks doesn't hold on to it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library frees by itself
+        pass
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (the splitmix64 finaliser)."""
     x = x + STEP
