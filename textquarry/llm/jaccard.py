@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from textquarry.llm import exchange
 from textquarry.llm.components import components
-from textquarry.llm.words import mixed, parts, sequences
+from textquarry.llm.words import give_back, mixed, parts, sequences
 from textquarry.session import cut_lineage
 
 SLICES = 64
@@ -98,6 +98,7 @@ def _describe(n: int, bits: int):
             blobs = [zlib.compress(part.tobytes(), 1) for part in np.split(counts, SLICES)]
             nulls = [pa.nulls(SLICES, pa.int64())] * 3
             yield pa.RecordBatch.from_arrays([*nulls, pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], names=names)
+        give_back()
 
     return run
 
@@ -179,6 +180,8 @@ def _emit(n: int, order: int, percent: int, blocks: int, shared, hold: int = 300
                     tokens, places, nodes, sizes, held = [], [], [], [], 0
         if held:
             yield rows(tokens, places, nodes, sizes)
+        del tokens, places, nodes, sizes, seen
+        give_back()
 
     return run
 
@@ -261,19 +264,56 @@ def _sets(n: int):
                 tokens = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 nodes = pa.array(list(fresh), pa.int64())
                 yield pa.RecordBatch.from_arrays([nodes, pa.ListArray.from_arrays(offsets, pa.array(tokens))], names=["node", "tokens"])
+        give_back()
 
     return run
 
 
-def similar(pairs: DataFrame, documents: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are similar enough."""
-    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    sets = cut_lineage(documents_of(documents, used, nodes).select("text").mapInArrow(_sets(n), "node bigint, tokens array<bigint>"))
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    enough = 100 * both >= percent * (F.size("ta") + F.size("tb") - both)
-    return cut_lineage(pairs.join(left, "a").join(right, "b").filter(enough).select("a", "b").distinct())
+def _verified(percent: int, most: int = 1 << 21):
+    """The pairs of a group whose sets are similar enough; the smaller set of a pair is looked up in the other."""
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        names, first = np.unique(sets["node"].to_numpy(), return_index=True)  # a set may come from several tasks
+        lists = sets["tokens"].combine_chunks().take(pa.array(first))
+        size = lists.value_lengths().to_numpy().astype(np.int64)
+        starts = np.cumsum(size) - size
+        token = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+        width = int(token.max(initial=0)) + 1
+        held = np.sort(np.repeat(np.arange(len(names)), size) * width + token)
+        a, b = (np.searchsorted(names, pairs[c].to_numpy()) for c in ("a", "b"))
+        low, high = np.where(size[a] <= size[b], a, b), np.where(size[a] <= size[b], b, a)
+        both, ends, at = np.zeros(len(a), np.int64), np.cumsum(size[low]), 0
+        while at < len(a):
+            until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            span = size[low[at:until]]
+            pair = np.repeat(np.arange(at, until), span)
+            within = np.arange(len(pair)) - np.repeat(np.cumsum(span) - span, span)
+            wanted = high[pair] * width + token[starts[low[pair]] + within]
+            place = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+            both[at:until] = np.bincount(pair[held[place] == wanted] - at, minlength=until - at)
+            at = until
+        return pairs.select(["a", "b"]).filter(pa.array(100 * both >= percent * (size[a] + size[b] - both)))
+
+    return run
+
+
+def similar(pairs: DataFrame, documents: DataFrame, nodes: DataFrame, n: int, percent: int, group_tokens: int = 2_000_000) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets are similar enough.
+
+    A pair is verified in the group of its nodes' blocks, and a set goes once to each group that has
+    a pair of it: that of a hub to as many as there are blocks, whatever the number of its partners.
+    """
+    both = F.explode(F.array(F.struct(F.col("a").alias("node"), "x", "y"), F.struct(F.col("b").alias("node"), "x", "y"))).alias("at")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    tokens = used.join(nodes, "node").agg(F.sum("n")).first()[0] or 0
+    blocks = max(16, math.ceil(math.sqrt(tokens / group_tokens)))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    pairs = pairs.withColumn("x", block("a")).withColumn("y", block("b"))
+    needed = cut_lineage(pairs.select(both).select("at.*").distinct())
+    sets = documents_of(documents, used, nodes).select("text").mapInArrow(_sets(n), "node bigint, tokens array<bigint>")
+    sent = sets.join(small(needed), "node").select("node", "tokens", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    met = pairs.groupBy("x", "y").cogroup(sent.groupBy("sx", "sy"))
+    return cut_lineage(met.applyInArrow(_verified(percent), "a bigint, b bigint").distinct())
 
 
 def _fit(x: str, y: str):
