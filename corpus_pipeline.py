@@ -1,16 +1,17 @@
 """A corpus pipeline: five stages over `documents`, each written as Parquet and read by the next.
 
 1. language_id: documents without a sure language go.
-2. near_duplicates: of each component of near copies the document with the smallest id stays.
+2. near_duplicates: of each component of near copies one row stays, that with the smallest id.
 3. substring_dedup: words of spans that start earlier in the corpus are cut out; documents of
    which nothing is left go.
 4. source_mix: every document is repeated, cut or left out as the mix takes its blocks. The nth
    copy of a document holds the blocks that are taken n times or more.
 5. packing: the token pieces of all documents, placed in sequences.
 
-All but the last return the columns of documents. Rows without a doc_id are kept by stage 2 and
-come last in stage 3; rows that repeat a doc_id and a text count once in stage 2. An empty table
-passes through all stages.
+All but the last return the columns of documents. Stage 2 decides by row, so a doc_id that stands
+for two texts loses only the one that is a near copy; rows without a doc_id come after those with
+one, there and in stage 3; rows that repeat a doc_id and a text count once in stage 2. An empty
+table passes through all stages.
 """
 
 from __future__ import annotations
@@ -40,18 +41,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs, LANGUAGES)
     keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
     evidence = keyed.select("row_key", "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
-    found = langid.identify(evidence, model, LANGUAGES, keys=("row_key",))
+    # Written first: a filter on the verdict would be pushed into the expressions of the votes.
+    found = cut_lineage(langid.identify(evidence, model, LANGUAGES, keys=("row_key",)))
     return _without(keyed, found.filter(~F.coalesce("accepted", F.lit(False))), "row_key").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    found = cut_lineage(jaccard.join_components(docs))
-    kept = _without(docs, found.filter(F.col("doc_id") != F.col("component_id")), "doc_id")
-    known = found.filter("doc_id IS NOT NULL")
-    if known.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        kept = kept.filter("doc_id IS NULL").unionByName(kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]))
-    return kept
+    keyed = docs.select(*COLUMNS).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    found = jaccard.join_components(keyed.select(F.col("row_key").alias("doc_id"), "text"))
+    found = cut_lineage(found.groupBy(F.col("doc_id").alias("row_key"), "component_id").agg(F.count("*").alias("rows")))
+    ids = keyed.select(F.col("row_key").alias("k"), "doc_id").distinct()
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    best = found.join(ids, F.col("row_key") == F.col("k")).groupBy("component_id").agg(F.min_by("row_key", first).alias("best"))
+    gone = found.join(best, "component_id").filter(F.col("row_key") != F.col("best"))
+    kept = _without(keyed, gone, "row_key")
+    twice = found.filter("rows > 1")
+    repeated = cut_lineage(kept.join(twice.select("row_key"), "row_key", "left_semi").dropDuplicates(["row_key"]))
+    return _without(kept, twice, "row_key").select(*COLUMNS).unionByName(repeated.select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
