@@ -67,3 +67,13 @@ def test_empty_table_passes_through(spark):
 def test_mix_stage_stays_in_the_engine(spark):
     plan = dict(corpus_pipeline.STAGES)["source_mix"](spark, cut_lineage(corpus(spark)), "")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_near_copies_go_by_row_and_not_by_id(spark):
+    rng = common.random.Random(8)
+    base, own = common.prose(rng, 60), common.prose(rng, 60)
+    near = base + " more"
+    rows = [(1, base), (2, near), (2, own), (3, near + " x"), (None, base + " y"), (4, own + " z"), (5, "few words"), (5, "few words"), (6, None), (6, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, cut_lineage(docs.repartition(3)), "")
+    assert Counter(pairs(kept)) == Counter([(1, base), (2, own), (5, "few words"), (6, None)])
