@@ -2,6 +2,6 @@
 
 from textquarry.catalog.base import ORACLE, QUERIES
 
-from textquarry.catalog import files, chunks, terms, vectors, search, context, lookups, changes, threads, streams  # noqa: E402,F401,I001
+from textquarry.catalog import files, chunks, terms, vectors, search, duplicates, context, lookups, changes, threads, streams  # noqa: E402,F401,I001
 
 __all__ = ["ORACLE", "QUERIES"]

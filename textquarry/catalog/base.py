@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.operators import chunking, filters, lexical
+from textquarry.operators import chunking, filters, lexical, lexical_index
 from textquarry.plans import index as plan
 from textquarry.session import checkpoint_dir
 from textquarry.settings import IndexLimits
@@ -68,13 +68,28 @@ def corpus_index(spark: SparkSession, sf_dir: str) -> plan.CorpusIndex:
         files = spark.read.parquet(f"{path}/files")
         chunking.chunk_by_lines(files, CHUNK_LIMITS).write.parquet(f"{path}/chunks")
         chunks = spark.read.parquet(f"{path}/chunks")
-        lexical.build_postings(chunks).write.parquet(f"{path}/postings")
+        lexical.build_postings(lexical_index.numbered(chunks), ["segment", "slot"]).write.parquet(f"{path}/postings")
         plan.chunk_vectors(spark.read.parquet(f"{path}/postings")).write.parquet(f"{path}/embeddings")
         files.select("repository_id", "path", "size").write.parquet(f"{path}/decisions")
         _PUBLISHED[key] = path
     return plan.open_tables(spark, _PUBLISHED[key])
 
 
+_BLOCKS: dict[tuple[str, str], str] = {}
+
+
+def corpus_blocks(spark: SparkSession, sf_dir: str) -> lexical_index.LexicalIndex:
+    """The block index of the documents, written on first use beside the index."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    index = corpus_index(spark, sf_dir)
+    if key not in _BLOCKS:
+        path = f"{_PUBLISHED[key]}/lexical"
+        plan.write_lexical(path, "first", index.chunks, index.postings)
+        _BLOCKS[key] = path
+    read = lambda name: spark.read.parquet(f"{_BLOCKS[key]}/{name}").drop("run")
+    return lexical_index.LexicalIndex(*map(read, plan.LEXICAL_TABLES))
+
+
 def with_ctes(*ctes: str, select: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + select
 

@@ -368,17 +368,23 @@ def ground_results(spark, sf_dir):
     with_ctes(
         FILES_SQL, EDITS_SQL, DIFF_COUNTS_SQL, REPLIES_SQL, GROUNDED_SQL,
         select="""SELECT g.investigation_id, g.outcome, coalesce(u.n, 0) AS anchors, CASE WHEN d.change_id IS NULL THEN 0 ELSE 1 END AS files,
-                         coalesce(d.added, 0) AS added, d.change_id IS NOT NULL AS diff_verified
+                         coalesce(d.added, 0) AS added, d.change_id IS NOT NULL AND d.change_id % 5 <> 0 AS diff_verified
                   FROM grounded g LEFT JOIN (SELECT proposal_id, count(*) AS n FROM placed WHERE anchor_status = 'unique' GROUP BY 1) u ON u.proposal_id = g.investigation_id
                   LEFT JOIN diff_counts d ON d.change_id = g.investigation_id""",
     ),
 )
 def change_report(spark, sf_dir):
-    """Replies grounded above, with the edits of the document that has the same number."""
+    """Replies grounded above, with the edits of the document that has the same number.
+
+    The text of every fifth change goes on behind what its diff says.
+    """
     anchors, files = located(spark, sf_dir)
     applied = edits.apply_edits(anchors, files).withColumn("change_id", F.col("proposal_id"))
-    stats = diffs.diff_stats(diffs.diff_lines(diffs.unified_diff(applied.select("change_id", "path", "original", "updated"))))
-    report = results.change_report(grounded(spark, sf_dir), anchors, stats, applied)
+    pairs = diffs.unified_diff(applied.select("change_id", "path", "original", "updated"))
+    stats = diffs.diff_stats(diffs.diff_lines(pairs))
+    altered = F.when(F.col("change_id") % 5 == 0, F.concat("updated", F.lit("more"))).otherwise(F.col("updated"))
+    verdicts = diffs.verify_diff(pairs.withColumn("updated", altered))
+    report = results.change_report(grounded(spark, sf_dir), anchors, stats, applied, verdicts)
     files_of = F.coalesce(F.col("report.files"), F.array())
     return report.select(
         "investigation_id", F.col("report.outcome").alias("outcome"),

@@ -13,7 +13,7 @@ from textquarry.catalog.base import (
     table,
     with_ctes,
 )
-from textquarry.functions import text
+from textquarry.functions import scan, text
 from textquarry.operators import chunking, filters
 from textquarry.settings import IndexLimits
 from textquarry.sources import files as source_files
@@ -232,3 +232,26 @@ def spans_by_pattern(spark, sf_dir):
     scripts = filters.detect_language(pages).withColumn("content", broken).withColumn("language", F.lit("javascript"))
     found = chunking.spans_by_pattern(scripts)
     return found.select("path", F.size("spans").alias("declarations"))
+
+
+@query(
+    "page_sections",
+    """WITH found AS (
+  SELECT page_id, regexp_extract_all(html, '(?is)<p\\b[^>]*>.*?</p\\s*>') AS paragraphs,
+    """
+    + " + ".join(f"len(regexp_extract_all(html, '(?is)<h{n}\\\\b[^>]*>.*?</h{n}\\\\s*>'))".replace("\\\\", "\\") for n in range(1, 7))
+    + """ AS headings,
+    trim(regexp_replace(regexp_extract(html, '(?is)<h[1-6]\\b[^>]*>(.*?)</h[1-6]\\s*>', 1), '<[^>]*>', '', 'g')) AS first_heading FROM pages)
+SELECT 'pages/' || page_id || '.html' AS path, headings, len(paragraphs) AS paragraphs, md5(array_to_string(paragraphs, '')) AS paragraphs_md5, first_heading FROM found""",
+)
+def page_sections(spark, sf_dir):
+    """Headings and paragraphs of all pages by the rules for HTML."""
+    pages = source_files.pages_as_files(table(spark, sf_dir, "pages")).withColumn("language", F.lit("html"))
+    found = chunking.spans_by_pattern(pages, {"html": scan.HTML})
+    of = lambda node: F.filter("spans", lambda s: s["node_type"] == node)
+    data = F.encode("content", "UTF-8")
+    whole = F.array_join(F.transform(of("paragraph"), lambda s: F.decode(F.substring(data, s["start"] + 1, s["end"] - s["start"]), "UTF-8")), "")
+    return found.select(
+        "path", F.size(of("heading")).cast("bigint").alias("headings"), F.size(of("paragraph")).cast("bigint").alias("paragraphs"),
+        F.md5(whole).alias("paragraphs_md5"), F.coalesce(F.get(of("heading"), 0)["name"], F.lit("")).alias("first_heading"),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from textquarry.catalog.base import (
@@ -18,7 +20,10 @@ from textquarry.catalog.base import (
 )
 from textquarry.catalog.files import LANGUAGE_SQL
 from textquarry.functions import secrets
-from textquarry.operators import filters, lookup, secret_scan
+from textquarry.operators import filters, lookup, paging, secret_scan, symbol_index
+from textquarry.operators.paging import Order
+from textquarry.plans import index as plan
+from textquarry.session import checkpoint_dir
 
 # Parts as symbols: the name joined like an identifier, the brand as its class.
 SYMBOLS_SQL = """symbols AS (
@@ -69,6 +74,32 @@ def find_symbol(spark, sf_dir):
     return lookup.find_symbol(names, symbols(spark, sf_dir)).select("request_id", "chunk_id", "match_rank")
 
 
+@query(
+    "find_symbol_stored",
+    with_ctes(
+        SYMBOLS_SQL,
+        select="""SELECT request_id, chunk_id, row_number() OVER (PARTITION BY request_id
+                    ORDER BY (lower(symbol) = word) DESC, length(symbol), path, start_line, chunk_id) AS match_rank,
+                    count(*) OVER (PARTITION BY request_id) AS matches
+                  FROM wanted JOIN symbols USING (repository_id)
+                  WHERE contains(lower(symbol), word) OR contains(lower(parent_symbol), word)
+                  QUALIFY match_rank <= 5""",
+    ),
+)
+def find_symbol_stored(spark, sf_dir):
+    """The same names, looked up in a written dictionary under their rarest pieces."""
+    words = F.concat(
+        F.split("p_name", " "),
+        F.array(F.substring("p_brand", 1, 2), F.upper(F.replace("p_name", F.lit(" "), F.lit("_")))),
+    )
+    parts = table(spark, sf_dir, "part").select(F.col("p_type").alias("repository_id"), F.explode(words).alias("name")).distinct()
+    names = parts.withColumn("request_id", F.concat_ws(":", "repository_id", "name"))
+    path = f"{checkpoint_dir(spark)}/symbols-{uuid.uuid4().hex}"
+    plan.write_symbols(path, "first", symbols(spark, sf_dir))
+    index = symbol_index.SymbolIndex(*(spark.read.parquet(f"{path}/{name}").drop("run") for name in plan.SYMBOL_TABLES))
+    return symbol_index.find_symbol(names, index, symbols(spark, sf_dir)).select("request_id", "chunk_id", "match_rank", "matches")
+
+
 # Reads of every document: from a line depending on its id, some open-ended, some of missing files.
 REQUESTS_SQL = """requests AS (
   SELECT doc_id AS request_id, source AS repository_id,
@@ -229,6 +260,36 @@ def page(spark, sf_dir):
     return lookup.page(orders, [F.desc("o_orderdate"), F.asc("o_orderkey")], limit=50, offset=100)
 
 
+NEWEST = (Order("o_orderdate", descending=True), Order("o_orderkey"))
+
+
+@query(
+    "directory_page",
+    """SELECT o_orderkey, o_orderdate, (SELECT count(*) FROM orders) AS total_rows FROM orders
+       ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET (SELECT count(*) // 2 FROM orders)""",
+)
+def directory_page(spark, sf_dir):
+    """Fifty orders from the middle of all, found by the ranks of stored ranges."""
+    path = f"{checkpoint_dir(spark)}/orders-{uuid.uuid4().hex}"
+    paging.write_directory(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), NEWEST, path)
+    directory = paging.Directory(spark, path, NEWEST)
+    return directory.page(50, directory.total() // 2)
+
+
+@query(
+    "directory_after",
+    """SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey
+       LIMIT 50 OFFSET (SELECT count(*) // 2 + 50 FROM orders)""",
+)
+def directory_after(spark, sf_dir):
+    """The page behind that one, continued from its last row."""
+    path = f"{checkpoint_dir(spark)}/orders-{uuid.uuid4().hex}"
+    paging.write_directory(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), NEWEST, path)
+    directory = paging.Directory(spark, path, NEWEST)
+    last = directory.page(50, directory.total() // 2).collect()[-1]
+    return directory.after((last["o_orderdate"], last["o_orderkey"]), 50)
+
+
 @query(
     "match_full_name",
     """SELECT s_suppkey, s_name FROM supplier WHERE lower(s_name) IN (SELECT lower(upper(replace(c_name, 'Customer', 'Supplier'))) FROM customer

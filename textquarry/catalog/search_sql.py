@@ -123,7 +123,7 @@ fused_ranks AS (
 
 EXACT_KEEP_SQL = """one_copy AS (
   SELECT *, list_distinct(regexp_extract_all(content, '[A-Za-z0-9_]+')) AS toks FROM fused_ranks
-  QUALIFY row_number() OVER (PARTITION BY query_id, trim(regexp_replace(content, '\\s+', ' ', 'g')) ORDER BY fused_rank) = 1)"""
+  QUALIFY row_number() OVER (PARTITION BY query_id, trim(regexp_replace(content, '[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+', ' ', 'g')) ORDER BY fused_rank) = 1)"""
 
 NEAR_KEEP_SQL = f"""in_turn AS (
   SELECT query_id, chunk_id, fused_rank, toks, row_number() OVER (PARTITION BY query_id ORDER BY fused_rank) AS n FROM one_copy),

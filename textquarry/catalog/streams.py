@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from textquarry.catalog import lexical_sql
 from textquarry.catalog.base import CHUNK_LIMITS, CHUNKS_SQL, FILES_SQL, document_files, query, table, with_ctes
 from textquarry.plans import index as plan
 from textquarry.session import checkpoint_dir
@@ -100,16 +101,15 @@ def append_events(spark, sf_dir):
     )
 
 
-@query(
-    "index_stream",
-    with_ctes(
-        FILES_SQL, CHUNKS_SQL,
-        select="SELECT chunk_id, path, start_byte, end_byte, 64 AS width, true AS has_terms FROM chunks WHERE regexp_extract(path, '[0-9]+')::BIGINT % 7 <> 0",
-    ),
-)
-def index_stream(spark, sf_dir):
-    """Three deliveries: an older version of all documents, the current one, and at last every
-    seventh document emptied while an outdated version of others comes late."""
+_STREAMED: dict[tuple[str, str], str] = {}
+
+
+def streamed(spark, sf_dir) -> str:
+    """The folder of a streamed index, after three deliveries: an older version of all documents, the
+    current one, and at last every seventh document emptied while an outdated version of others comes late."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _STREAMED:
+        return _STREAMED[key]
     source, target = fresh(spark, "incoming"), fresh(spark, "live-index")
     now = document_files(spark, sf_dir).select("repository_id", "path", "sha", "type", "size", "content", "pos")
     older = now.withColumn("content", F.concat(F.lit("old "), "content", F.lit("\nold end")))
@@ -120,6 +120,18 @@ def index_stream(spark, sf_dir):
         rows.write.mode("append").parquet(source)
         stream = spark.readStream.schema(rows.schema).parquet(source)
         jobs.index_stream(stream, target, f"{target}-progress", CHUNK_LIMITS).awaitTermination()
+    _STREAMED[key] = target
+    return target
+
+
+LIVE_CHUNKS = "regexp_extract(path, '[0-9]+')::BIGINT % 7 <> 0"
+LIVE_SQL = with_ctes(
+    FILES_SQL, CHUNKS_SQL,
+    select=f"SELECT chunk_id, path, start_byte, end_byte, 64 AS width, true AS has_terms FROM chunks WHERE {LIVE_CHUNKS}",
+)
+
+
+def live_rows(spark, target: str):
     live = jobs.live_index(spark, target)
     vectors = live["embeddings"].select("chunk_id", F.size("embedding").alias("width"))
     terms = live["postings"].groupBy("chunk_id").agg((F.count("*") > 0).alias("has_terms"))
@@ -127,6 +139,38 @@ def index_stream(spark, sf_dir):
     return found.select("chunk_id", "path", "start_byte", "end_byte", "width", F.coalesce("has_terms", F.lit(False)).alias("has_terms"))
 
 
+@query("index_stream", LIVE_SQL)
+def index_stream(spark, sf_dir):
+    """The live rows after all deliveries."""
+    return live_rows(spark, streamed(spark, sf_dir))
+
+
+@query(
+    "streamed_counts",
+    with_ctes(
+        FILES_SQL, CHUNKS_SQL, lexical_sql.POSTINGS_SQL,
+        select=f"""SELECT p.repository_id, term, count(*) AS df, any_value(t.total_chunks) AS total_chunks
+                   FROM postings p JOIN (SELECT chunk_id FROM chunks WHERE {LIVE_CHUNKS}) c USING (chunk_id)
+                   JOIN (SELECT repository_id, count(*) AS total_chunks FROM chunks WHERE {LIVE_CHUNKS} GROUP BY ALL) t ON t.repository_id = p.repository_id
+                   GROUP BY p.repository_id, term""",
+    ),
+)
+def streamed_counts(spark, sf_dir):
+    """What the batches added to and took from the counts of terms, in sum."""
+    live = jobs.live_index(spark, streamed(spark, sf_dir))
+    terms = live["term_counts"].groupBy("repository_id", "term").agg(F.sum("df").alias("df")).where("df <> 0")
+    totals = live["repository_counts"].groupBy("repository_id").agg(F.sum("chunks").alias("total_chunks"))
+    return terms.join(totals, "repository_id").select("repository_id", "term", "df", "total_chunks")
+
+
+@query("merge_runs", LIVE_SQL)
+def merge_runs(spark, sf_dir):
+    """The live rows after all runs were merged into one."""
+    target = streamed(spark, sf_dir)
+    jobs.merge_runs(spark, target)
+    return live_rows(spark, target)
+
+
 def answer_deltas(spark, sf_dir):
     """Assistant turns cut into words; some never finish, some fail."""
     rows = table(spark, sf_dir, "conversations").where("role = 'assistant'")
@@ -143,35 +187,52 @@ def answer_deltas(spark, sf_dir):
     return said.unionByName(ends)
 
 
-def run_stream(spark, rows, build, name: str):
-    """Write rows to a folder, stream them through ``build`` to a Parquet sink and read it."""
-    source, target = fresh(spark, f"{name}-in"), fresh(spark, name)
-    rows.write.parquet(source)
-    stream = build(spark.readStream.schema(rows.schema).parquet(source))
-    (
-        stream.writeStream.format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", f"{target}-progress")
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
+def disordered(deltas):
+    """Three deliveries of the deltas: the end of each message first, every third delta twice, an
+    error a moment after some finished, and at last a tick that lets event time pass."""
+    late = deltas.where("kind = 'done' AND seq % 4 = 0").select(
+        "message_id", "seq", F.lit("error").alias("kind"), "text", (F.col("ts") + F.expr("INTERVAL 1 SECOND")).alias("ts")
     )
+    tick = deltas.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).select(
+        F.lit("tick").alias("message_id"), F.lit(None).cast("int").alias("seq"), F.lit("tick").alias("kind"), F.lit(None).cast("string").alias("text"), "ts"
+    )
+    ends = deltas.where("kind <> 'text' OR seq % 2 = 1")
+    rest = deltas.where("kind = 'text' AND seq % 3 = 0").unionByName(deltas.where("kind = 'text' AND seq % 2 = 0")).unionByName(late)
+    return ends, rest, tick
+
+
+def run_stream(spark, deliveries, build, name: str):
+    """Write deliveries to a folder one after another, stream each through ``build`` to a Parquet sink and read it."""
+    source, target = fresh(spark, f"{name}-in"), fresh(spark, name)
+    for rows in deliveries:
+        rows.write.mode("append").parquet(source)
+        stream = build(spark.readStream.schema(rows.schema).parquet(source))
+        (
+            stream.writeStream.format("parquet")
+            .option("path", target)
+            .option("checkpointLocation", f"{target}-progress")
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
     return spark.read.schema(stream.schema).parquet(target)
 
 
 ANSWERS_SQL = """SELECT conv_id || '-' || turn AS message_id, len(string_split(text, ' ')) AS deltas, md5(text || ' ') AS answer_md5
-  FROM conversations WHERE role = 'assistant' AND length(text) % 5 > 1"""
+  FROM conversations WHERE role = 'assistant' AND length(text) % 5 > 1 AND len(string_split(text, ' ')) % 4 <> 0"""
 
 
 @query("assemble_answers", ANSWERS_SQL)
 def assemble_answers(spark, sf_dir):
-    out = run_stream(spark, answer_deltas(spark, sf_dir), jobs.assemble_answers, "answers")
+    jobs.use_rocksdb(spark)
+    out = run_stream(spark, disordered(answer_deltas(spark, sf_dir)), jobs.assemble_answers, "answers")
     return out.select("message_id", "deltas", F.md5("answer").alias("answer_md5"))
 
 
 @query("assemble_answers_batch", ANSWERS_SQL)
 def assemble_answers_batch(spark, sf_dir):
-    out = jobs.assemble_answers_batch(answer_deltas(spark, sf_dir))
+    first, second, tick = disordered(answer_deltas(spark, sf_dir))
+    out = jobs.assemble_answers_batch(first.unionByName(second).unionByName(tick))
     return out.select("message_id", "deltas", F.md5("answer").alias("answer_md5"))
 
 
@@ -190,7 +251,7 @@ def run_events(spark, sf_dir):
 
 @query("stuck_runs", RUNS_SQL)
 def stuck_runs(spark, sf_dir):
-    out = run_stream(spark, run_events(spark, sf_dir), jobs.stuck_runs, "stuck")
+    out = run_stream(spark, [run_events(spark, sf_dir)], jobs.stuck_runs, "stuck")
     return out.select("run_id", F.unix_micros("started_at").alias("started_us"), "status")
 
 

@@ -9,6 +9,7 @@ from textquarry.catalog.base import (
     CHUNKS_SQL,
     CORPUS,
     CORPUS_FILES_SQL,
+    corpus_blocks,
     corpus_index,
     document_chunks,
     query,
@@ -16,7 +17,7 @@ from textquarry.catalog.base import (
     with_ctes,
 )
 from textquarry.functions import terms
-from textquarry.operators import lexical
+from textquarry.operators import lexical, lexical_index
 
 # Every benchmark passage is a question; it also names one document, as a question about a
 # known file would.
@@ -36,33 +37,7 @@ CORPUS_SQL = (CORPUS_FILES_SQL, CHUNKS_SQL, sql.POSTINGS_SQL)
 ASKED_SQL = (*CORPUS_SQL, QUERIES_SQL, sql.QUERY_TERMS_SQL, sql.STATS_SQL)
 SEARCHED_SQL = (*ASKED_SQL, sql.LEXICAL_SQL)
 
-# Identifier-like words: part names and document words joined in the usual program styles.
-STYLED_SQL = """styled AS (
-  SELECT doc_id, unnest([w1 || '_' || w2, w1 || upper(w2[1:1]) || w2[2:], upper(w1) || upper(w2[1:1]) || lower(w2[2:]),
-                         '$' || w1 || doc_id || w2, w1]) AS word, unnest([1, 2, 3, 4, 5]) AS form
-  FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+')[1] AS w1, coalesce(regexp_extract_all(text, '[A-Za-z]+')[2], '') AS w2 FROM documents))"""
-
-
-@query(
-    "identifier_terms",
-    with_ctes(STYLED_SQL, select=f"SELECT doc_id, form, array_to_string({sql.terms_of('word')}, ' ') AS terms FROM styled"),
-)
-def identifier_terms(spark, sf_dir):
-    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
-    w1 = F.try_element_at(words, F.lit(1))
-    w2 = F.coalesce(F.try_element_at(words, F.lit(2)), F.lit(""))
-    head, tail = F.upper(F.substring(w2, 1, 1)), F.substr(w2, F.lit(2))
-    styles = F.array(
-        F.concat(w1, F.lit("_"), w2), F.concat(w1, head, tail), F.concat(F.upper(w1), head, F.lower(tail)),
-        F.concat(F.lit("$"), w1, F.col("doc_id").cast("string"), w2), w1,
-    )
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(styles).alias("_n", "word"))
-    return rows.select(
-        "doc_id", (F.col("_n") + 1).alias("form"), F.array_join(terms.identifier_terms(F.col("word")), " ").alias("terms")
-    )
-
-
-# The same styles for every word of a text and the word after it.
+# Identifier-like words: every word of a text and the word after it, joined in the usual program styles.
 STYLED_WHOLE_SQL = """words AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM documents),
 neighbours AS (SELECT doc_id, nth, ws[nth] AS w1, coalesce(ws[nth + 1], '') AS w2 FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS nth FROM words)),
 styled AS (
@@ -70,15 +45,16 @@ styled AS (
                              '$' || w1 || doc_id || w2, w1]) AS word, unnest([1, 2, 3, 4, 5]) AS form FROM neighbours)"""
 
 
-@query(
-    "identifier_terms_whole",
-    with_ctes(
-        STYLED_WHOLE_SQL,
-        select=f"""SELECT doc_id, form, count(*) AS words, md5(string_agg(array_to_string({sql.terms_of('word')}, ' '), '|' ORDER BY nth)) AS terms_md5
+IDENTIFIER_TERMS_SQL = with_ctes(
+    STYLED_WHOLE_SQL,
+    select=f"""SELECT doc_id, form, count(*) AS words, md5(string_agg(array_to_string({sql.terms_of('word')}, ' '), '|' ORDER BY nth)) AS terms_md5
                    FROM styled GROUP BY doc_id, form""",
-    ),
 )
-def identifier_terms_whole(spark, sf_dir):
+
+
+@query("identifier_terms", IDENTIFIER_TERMS_SQL)
+@query("identifier_terms_whole", IDENTIFIER_TERMS_SQL)
+def identifier_terms(spark, sf_dir):
     """The terms of all neighbouring words of every text, in the five styles, as a digest."""
     found = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
     rows = table(spark, sf_dir, "documents").select("doc_id", found.alias("ws")).where(F.size("ws") > 0)
@@ -208,3 +184,48 @@ def coverage(spark, sf_dir):
     postings, rows, stats = asked(spark, sf_dir)
     hits = lexical.lexical_search(postings, stats, rows, sql.LEXICAL_LIMIT)
     return lexical.coverage(hits, stats, rows).select("query_id", "chunk_id", F.col("coverage"))
+
+
+def block_asked(spark, sf_dir):
+    index = corpus_blocks(spark, sf_dir)
+    rows = lexical.query_terms(benchmark_queries(spark, sf_dir))
+    return index, rows, lexical_index.stored_statistics(index, rows)
+
+
+@query(
+    "stored_statistics",
+    with_ctes(*ASKED_SQL, select="SELECT term, total_chunks, df, round(idf, 6) AS idf, informative FROM stats"),
+)
+def stored_statistics(spark, sf_dir):
+    return block_asked(spark, sf_dir)[2].select("term", "total_chunks", "df", F.round("idf", 6).alias("idf"), "informative")
+
+
+@query(
+    "block_search",
+    with_ctes(
+        *SEARCHED_SQL,
+        select="SELECT query_id, chunk_id, text_rank, text_position, matched_terms FROM lexical_hits",
+    ),
+)
+def block_search(spark, sf_dir):
+    index, rows, stats = block_asked(spark, sf_dir)
+    return lexical_index.block_search(index, stats, rows, sql.LEXICAL_LIMIT).select(
+        "query_id", "chunk_id", "text_rank", "text_position", F.array_join("matched_terms", " ").alias("matched_terms")
+    )
+
+
+@query(
+    "segment_bounds",
+    with_ctes(
+        *SEARCHED_SQL,
+        select="""SELECT query_id, count(*) AS chunks, max(text_rank) AS best FROM matches GROUP BY query_id""",
+    ),
+)
+def segment_bounds(spark, sf_dir):
+    """What the bounds of all segments promise: none lies below a rank in it, so no chunk is lost."""
+    index, rows, stats = block_asked(spark, sf_dir)
+    searchable = lexical.searchable_terms(stats, rows).withColumn("bucket", lexical_index.term_bucket(F.col("term")))
+    bounds = lexical_index.segment_bounds(index.blocks, searchable)
+    ranked = lexical_index.scored(index.blocks, searchable, bounds)
+    held = ranked.join(bounds.select("query_id", "segment", "bound"), ["query_id", "segment"]).where(F.col("text_rank") <= F.col("bound") + lexical_index.ROOM)
+    return held.groupBy("query_id").agg(F.count("*").alias("chunks"), F.max("text_rank").alias("best"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textquarry.catalog.base import manifest, query, table, with_ctes
 from textquarry.catalog.files import JUDGED as JUDGED_FILES
-from textquarry.operators import filters, lifecycle, threads
+from textquarry.operators import filters, lifecycle, quantiles, threads
 from textquarry.settings import IndexLimits
 from textquarry.sources.files import conversations_as_messages
 
@@ -107,6 +107,35 @@ def answer_metrics(spark, sf_dir):
     return threads.answer_metrics(answers)
 
 
+LATENCY = ("o_orderpriority", "o_orderstatus")
+
+
+@query(
+    "exact_median",
+    """SELECT o_orderpriority, o_orderstatus, count(*) AS n, median(round(o_totalprice * 100)::BIGINT) AS median FROM orders GROUP BY ALL""",
+)
+def exact_median(spark, sf_dir):
+    """Prices in cents, halved by narrowing histograms."""
+    rows = table(spark, sf_dir, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("bigint"))
+    return quantiles.exact_median(rows, LATENCY, "cents")
+
+
+@query(
+    "merged_quantile",
+    """SELECT o_orderpriority, o_orderstatus, count(*) AS n, true AS close FROM orders GROUP BY ALL""",
+)
+def merged_quantile(spark, sf_dir):
+    """Daily sketches of prices, merged: the estimate's own rank lies within two percent of the middle."""
+    rows = table(spark, sf_dir, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("bigint"))
+    days = quantiles.daily_sketches(rows.withColumn("day", F.to_date("o_orderdate")), LATENCY, "day", "cents")
+    merged = quantiles.merged_quantile(days, LATENCY)
+    below = rows.join(merged, list(LATENCY)).groupBy(*LATENCY, "n").agg(
+        F.count_if(F.col("cents") < F.col("quantile")).alias("less"), F.count_if(F.col("cents") <= F.col("quantile")).alias("not_more")
+    )
+    close = (F.col("less") <= 0.52 * F.col("n")) & (F.col("not_more") >= 0.48 * F.col("n"))
+    return below.select(*LATENCY, "n", close.alias("close"))
+
+
 # ---- lifecycle: suppliers as repositories, orders as changes, customers as threads ------------
 
 STATUSES = ("proposed", "approved", "rejected", "stale", "failed", "executing", "committed", "pr_created")

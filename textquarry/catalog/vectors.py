@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,10 @@ from textquarry.catalog import search_sql as sql
 from textquarry.catalog.base import CHUNKS_SQL, CORPUS_FILES_SQL, corpus_index, document_chunks, query, table, with_ctes
 from textquarry.catalog.terms import CORPUS_SQL, SEARCHED_SQL, benchmark_queries
 from textquarry.functions import vectors as vector_functions
-from textquarry.operators import lexical, vectors
+from textquarry.operators import lexical, vector_index, vectors
 from textquarry.plans import index as plan
+from textquarry.plans import search
+from textquarry.session import checkpoint_dir
 
 WIDTH = 64
 TOP = 10
@@ -115,63 +118,18 @@ def letter_embedder(texts: pd.Series, kind: str) -> np.ndarray:
     return np.array([[word.count(a) / max(len(word), 1) for a in alphabet] for word in letters])
 
 
-@query(
-    "embed",
-    with_ctes(
-        CORPUS_FILES_SQL, CHUNKS_SQL,
-        select="""SELECT chunk_id, round((length(s) - length(replace(s, 'e', '')))::DOUBLE / greatest(length(s), 1), 6) AS share_of_e
-                  FROM (SELECT chunk_id, regexp_replace(lower(content), '[^a-z]', '', 'g') AS s FROM chunks)""",
-    ),
-)
-def embed(spark, sf_dir):
-    chunks = document_chunks(spark, sf_dir).select("chunk_id", "content")
-    out = vectors.embed(chunks, letter_embedder, "document", 26, text_col="content")
-    return out.select("chunk_id", F.round(F.element_at("embedding", 5), 6).alias("share_of_e"))
-
-
-@query(
-    "hashed_embeddings",
-    with_ctes(
-        *CORPUS_SQL, sql.CHUNK_SLOTS_SQL,
-        select="""SELECT s.chunk_id, round(max(v) / any_value(size), 5) AS largest, round(min(least(v, 0)) / any_value(size), 5) AS smallest,
-                         count(*) FILTER (WHERE v <> 0) AS filled
-                  FROM c_slots s JOIN c_norms n USING (chunk_id) WHERE size > 0 GROUP BY s.chunk_id""",
-    ),
-)
-def hashed_embeddings(spark, sf_dir):
-    made = plan.chunk_vectors(lexical.build_postings(document_chunks(spark, sf_dir)))
-    return made.select(
-        "chunk_id",
-        F.round(F.array_max("embedding"), 5).alias("largest"),
-        F.round(F.least(F.array_min("embedding"), F.lit(0.0)), 5).alias("smallest"),
-        F.size(F.filter("embedding", lambda v: v != 0)).alias("filled"),
-    )
-
-
-@query(
-    "l2_normalise",
-    """SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE))), 6) AS first,
-              round(embedding[64]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE))), 6) AS last
-       FROM embeddings""",
-)
-def l2_normalise(spark, sf_dir):
-    unit = vectors.l2_normalise(table(spark, sf_dir, "embeddings"))
-    return unit.select(
-        "vec_id", F.round(F.element_at("embedding", 1), 6).alias("first"), F.round(F.element_at("embedding", -1), 6).alias("last")
-    )
-
-
 # Digests of whole vectors, value by value as whole numbers of the last digit kept.
-@query(
-    "embed_whole",
-    with_ctes(
+EMBED_SQL = with_ctes(
         CORPUS_FILES_SQL, CHUNKS_SQL,
         select="""SELECT chunk_id, md5(array_to_string(list_transform(string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' '),
                          lambda a: round((length(s) - length(replace(s, a, '')))::DOUBLE / greatest(length(s), 1) * 1000000)::BIGINT), ' ')) AS vector_md5
                   FROM (SELECT chunk_id, regexp_replace(lower(content), '[^a-z]', '', 'g') AS s FROM chunks)""",
-    ),
-)
-def embed_whole(spark, sf_dir):
+    )
+
+
+@query("embed", EMBED_SQL)
+@query("embed_whole", EMBED_SQL)
+def embed(spark, sf_dir):
     chunks = document_chunks(spark, sf_dir).select("chunk_id", "content")
     out = vectors.embed(chunks, letter_embedder, "document", 26, text_col="content")
     return out.select("chunk_id", vector_digest(F.col("embedding"), 1_000_000))
@@ -182,27 +140,29 @@ def vector_digest(vector, scale: int):
     return F.md5(F.array_join(values, " ")).alias("vector_md5")
 
 
-@query(
-    "hashed_embeddings_whole",
-    with_ctes(
+HASHED_EMBEDDINGS_SQL = with_ctes(
         *CORPUS_SQL, sql.CHUNK_SLOTS_SQL,
         f"""filled AS (SELECT s.chunk_id, slot, v / size AS v FROM c_slots s JOIN c_norms n USING (chunk_id) WHERE size > 0),
 slots AS (SELECT chunk_id, unnest(range({plan.DIMENSIONS})) AS slot FROM (SELECT DISTINCT chunk_id FROM filled))""",
         select="""SELECT chunk_id, md5(string_agg(round(coalesce(v, 0) * 100000)::BIGINT, ' ' ORDER BY slot)) AS vector_md5
                   FROM slots LEFT JOIN filled USING (chunk_id, slot) GROUP BY chunk_id""",
-    ),
-)
-def hashed_embeddings_whole(spark, sf_dir):
+    )
+
+
+@query("hashed_embeddings", HASHED_EMBEDDINGS_SQL)
+@query("hashed_embeddings_whole", HASHED_EMBEDDINGS_SQL)
+def hashed_embeddings(spark, sf_dir):
     made = plan.chunk_vectors(lexical.build_postings(document_chunks(spark, sf_dir)))
     return made.select("chunk_id", vector_digest(F.col("embedding"), 100_000))
 
 
-@query(
-    "l2_normalise_whole",
-    """SELECT vec_id, md5(array_to_string(list_transform(embedding, lambda v: round(v::DOUBLE / size * 1000000)::BIGINT), ' ')) AS vector_md5
-       FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE))) AS size FROM embeddings)""",
-)
-def l2_normalise_whole(spark, sf_dir):
+L2_NORMALISE_SQL = """SELECT vec_id, md5(array_to_string(list_transform(embedding, lambda v: round(v::DOUBLE / size * 1000000)::BIGINT), ' ')) AS vector_md5
+       FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE))) AS size FROM embeddings)"""
+
+
+@query("l2_normalise", L2_NORMALISE_SQL)
+@query("l2_normalise_whole", L2_NORMALISE_SQL)
+def l2_normalise(spark, sf_dir):
     unit = vectors.l2_normalise(table(spark, sf_dir, "embeddings"))
     return unit.select("vec_id", vector_digest(F.col("embedding"), 1_000_000))
 
@@ -321,3 +281,33 @@ def embedding_counts(spark, sf_dir):
         F.concat(F.lit("m"), (F.col("vec_id") % 2).cast("string")).alias("model"), "embedding",
     )
     return vectors.embedding_counts(rows)
+
+
+@query("ivf_top_k")
+def ivf_top_k(spark, sf_dir):
+    """Recall of the inverted file against the exact search, for every hundredth vector, and the share of codes read."""
+    rows = table(spark, sf_dir, "embeddings")
+    corpus = rows.select(F.lit("vectors").alias("repository_id"), F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
+    asked = corpus.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id")
+    path = f"{checkpoint_dir(spark)}/cells-{uuid.uuid4().hex}"
+    plan.write_cells(path, "first", corpus, WIDTH)
+    index = vector_index.VectorIndex(spark.read.parquet(f"{path}/cells").drop("run"), spark.read.parquet(f"{path}/cell_model"))
+    found = vectors.recall(vector_index.ivf_top_k(asked, index, corpus, TOP), vectors.cosine_top_k(asked, corpus, TOP))
+    return found.join(vector_index.read_share(asked, index), "query_id")
+
+
+@query(
+    "refused_queries",
+    """SELECT 'q' || label AS query_id, 'label' || label AS repository_id, CASE WHEN label = 99 THEN 'no_embeddings' ELSE 'other_model' END AS reason
+       FROM (SELECT label FROM embeddings WHERE label % 2 = 1 OR label = 4 UNION SELECT 99) WHERE label % 2 = 1 OR label = 4""",
+)
+def refused_queries(spark, sf_dir):
+    """Repositories of odd labels were embedded with another model, one with another width, one not at all."""
+    label = F.col("label")
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("label"), label.cast("string")).alias("repository_id"), F.lit("hosted").alias("provider"),
+        F.concat(F.lit("m"), (label % 2).cast("string")).alias("model"), F.when(label == 4, 32).otherwise(WIDTH).alias("dimensions"), "embedding", "label",
+    )
+    asked = rows.select("label").distinct().unionByName(spark.range(99, 100).select(F.col("id").cast("int").alias("label")))
+    queries = asked.select(F.concat(F.lit("q"), label.cast("string")).alias("query_id"), F.concat(F.lit("label"), label.cast("string")).alias("repository_id"))
+    return search.refused_queries(queries, rows, "hosted", "m0", WIDTH)

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.functions import text
+from textquarry.functions import scan, text
 from textquarry.settings import INDEX, IndexLimits
 
 SPAN = "struct<start:int,end:int,kind:string,node_type:string,name:string,parent:string>"
@@ -20,10 +21,6 @@ ITEM = (
     "struct<start:int,end:int,chunk_type:string,node_type:string,symbol:string,"
     "parent_symbol:string,part_index:int,part_count:int,gap:boolean>"
 )
-HEADERS = (
-    "array<struct<start:int,end:int,indent:int,kind:string,node_type:string,name:string,"
-    "parent:string>>"
-)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -76,151 +73,31 @@ def line_windows(data: Column, start: Column, end: Column, limits: IndexLimits)
 
 # ---- spans -------------------------------------------------------------------
 
-# Patterns of declaration headers: indentation, keyword, name.
-PYTHON_HEADER = r"^([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+([A-Za-z_][A-Za-z0-9_]*)"
-SCRIPT_HEADER = (
-    r"^([ \t]*)(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:abstract[ \t]+)?(?:async[ \t]+)?(?:const[ \t]+(?=enum\b))?"
-    r"(function|class|const|let|var|interface|enum|type)\b[ \t*]+([A-Za-z_$][A-Za-z0-9_$]*)"
-)
-SCRIPT_ARROW = r"(=>|=[ \t]*(async[ \t]+)?function|=[ \t]*(async[ \t]*)?\([^)]*$)"
-TYPE_ALIAS = r"^[^=]*="
-# A method: modifiers, a name that is no statement keyword, and a parameter list that opens a body.
-METHOD_HEADER = (
-    r"^[ \t]+(?:(?:public|private|protected|static|abstract|override|readonly|async|get|set)[ \t]+)*[*]?"
-    r"(?!(?:if|for|while|switch|catch|return|function|do|else|new|throw|await|typeof|super)\b)"
-    r"([A-Za-z_$#][A-Za-z0-9_$]*)[ \t]*(?:<[^>]*>)?\((?:[^;]*\{|[^;)]*)[ \t]*$"
-)
-STRING_LITERAL = r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'"
-TRIPLE_QUOTE = r"\"\"\"|'''"
-
-
-def _header(line: Column, language: Column, group: int) -> Column:
-    """Part of a declaration header, empty when the line declares nothing."""
-    found = F.regexp_extract(line, SCRIPT_HEADER, 2)
-    script = F.when(
-        (found.isin("const", "let", "var") & ~line.rlike(SCRIPT_ARROW)) | ((found == "type") & ~line.rlike(TYPE_ALIAS)),
-        F.lit(""),
-    ).otherwise(F.regexp_extract(line, SCRIPT_HEADER, group))
-    return F.when(language == "python", F.regexp_extract(line, PYTHON_HEADER, group)).otherwise(
-        script
-    )
+def spans_by_pattern(files: DataFrame, rules: dict[str, tuple[scan.SpanRule, ...]] | None = None) -> DataFrame:
+    """Adds ``spans``: declarations found by one pass over the tokens of each file.
 
-
-def spans_by_pattern(files: DataFrame) -> DataFrame:
-    """Adds ``spans``: declarations found by header line and indentation.
-
-    Covers Python and the JavaScript family; other languages get an empty array. Decorators
-    belong to the declaration below them, a function directly inside a class is a method. A line
-    within open brackets or a triple-quoted string, or one that begins with a closing bracket,
-    neither ends nor begins a declaration. Any other producer may supply the same column instead.
+    Covers Python and the JavaScript family; languages named in ``rules`` get the blocks of their
+    rules (``scan.MARKDOWN``, ``scan.HTML``), others an empty array. Decorators, `export` and a
+    binding that holds one declarator belong to their declaration, and a function directly inside a
+    class is a method. Functions and classes that have no name are not isolated, unless exported.
+    Text in strings, comments, template literals and JSX declares nothing. Any other producer may
+    supply the same column instead.
     """
-    language = F.col("language")
-    begin = F.struct(
-        F.array().cast(HEADERS).alias("found"),
-        F.lit(0).alias("cursor"),
-        F.lit(0).alias("last_end"),
-        F.lit(-1).alias("decorated"),
-        F.lit(0).alias("depth"),
-        F.lit(False).alias("quoted"),
-    )
-    python = language == "python"
-
-    def step(acc: Column, line: Column) -> Column:
-        body = F.regexp_replace(line, r"\s+$", "")
-        turns = F.regexp_count(body, F.lit(TRIPLE_QUOTE)) % 2 == 1
-        quoted = F.when(python & turns, ~acc["quoted"]).otherwise(acc["quoted"])
-        bare = F.regexp_replace(F.regexp_replace(body, STRING_LITERAL, ""), F.when(python, r"#.*$").otherwise(r"//.*$"), "")
-        # Braces hold bodies in scripts, values in Python.
-        opened = F.regexp_count(bare, F.when(python, r"[(\[{]").otherwise(r"[(\[]"))
-        closed = F.regexp_count(bare, F.when(python, r"[)\]}]").otherwise(r"[)\]]"))
-        depth = F.when(acc["quoted"] | quoted, acc["depth"]).otherwise(F.greatest(acc["depth"] + opened - closed, F.lit(0)))
-        inside = (acc["depth"] > 0) | acc["quoted"] | F.trim(body).rlike(r"^[)\]]")
-        indent = F.length(F.regexp_extract(line, r"^([ \t]*)", 1))
-        at = acc["cursor"] + indent
-        kind = text.line_kind(line, language)
-        inert = kind.isin("blank", "comment")
-        closing = F.trim(body).startswith("}") & ~inside
-        keyword = F.when(inside, "").otherwise(_header(line, language, 2))
-        name = _header(line, language, 3)
-        method = F.when(inside | python | (keyword != ""), "").otherwise(F.regexp_extract(body, METHOD_HEADER, 1))
-        decorator = F.trim(body).startswith("@") & ~inside
-
-        def close(span: Column) -> Column:
-            ends = ~inert & ~inside & (span["end"] < 0) & (indent <= span["indent"])
-            stop = F.when(closing, at + 1).otherwise(acc["last_end"])
-            return F.struct(
-                span["start"].alias("start"),
-                F.when(ends, stop).otherwise(span["end"]).alias("end"),
-                span["indent"].alias("indent"),
-                span["kind"].alias("kind"),
-                span["node_type"].alias("node_type"),
-                span["name"].alias("name"),
-                span["parent"].alias("parent"),
-            )
-
-        def extend(found: Column) -> Column:
-            around = F.try_element_at(F.filter(found, lambda span: span["end"] < 0), F.lit(-1))
-            in_class = around["kind"] == "class"
-            label = (
-                F.when(keyword.isin("class", "interface", "enum"), "class")
-                .when(in_class & (keyword != "type"), "method")
-                .otherwise("function")
-            )
-            node_type = (
-                F.when(python, F.when(keyword == "class", "class_definition").otherwise("function_definition"))
-                .when(keyword == "class", F.when(line.rlike(r"\babstract[ \t]+class\b"), "abstract_class_declaration").otherwise("class_declaration"))
-                .when(keyword == "interface", "interface_declaration")
-                .when(keyword == "enum", "enum_declaration")
-                .when(keyword == "type", "type_alias_declaration")
-                .when(keyword == "function", "function_declaration")
-                .when(keyword == "", "method_definition")
-                .otherwise("arrow_function")
-            )
-            is_method = (method != "") & F.coalesce(in_class, F.lit(False))
-            added = F.struct(
-                F.when(acc["decorated"] >= 0, acc["decorated"]).otherwise(at).alias("start"),
-                F.lit(-1).alias("end"),
-                indent.alias("indent"),
-                label.alias("kind"),
-                node_type.alias("node_type"),
-                F.when(keyword == "", method).otherwise(name).alias("name"),
-                around["name"].alias("parent"),
-            )
-            return F.when((keyword != "") | is_method, F.array_append(found, added)).otherwise(found)
-
-        return F.struct(
-            let(F.transform(acc["found"], close), extend).alias("found"),
-            (acc["cursor"] + F.octet_length(line)).alias("cursor"),
-            F.when(inert, acc["last_end"])
-            .when(closing, F.greatest(at + 1, acc["last_end"]))
-            .otherwise(acc["cursor"] + F.octet_length(body))
-            .alias("last_end"),
-            F.when(decorator & (acc["decorated"] < 0), at)
-            .when(decorator | inert | inside, acc["decorated"])
-            .otherwise(-1)
-            .alias("decorated"),
-            depth.alias("depth"),
-            quoted.alias("quoted"),
-        )
-
-    def finish(acc: Column) -> Column:
-        return F.transform(
-            acc["found"],
-            lambda span: F.struct(
-                span["start"].alias("start"),
-                F.when(span["end"] < 0, acc["last_end"]).otherwise(span["end"]).alias("end"),
-                span["kind"].alias("kind"),
-                span["node_type"].alias("node_type"),
-                span["name"].alias("name"),
-                span["parent"].alias("parent"),
-            ),
-        )
-
-    found = F.aggregate(text.split_lines_keep_ends(F.col("content")), begin, step, finish)
-    structured = language.isin(*text.COMMENT_PREFIXES)
-    return files.withColumn(
-        "spans", F.when(structured, found).otherwise(F.array().cast(f"array<{SPAN}>"))
-    )
+    known = rules or {}
+
+    @F.arrow_udf(f"array<{SPAN}>")
+    def find(content: pa.Array, language: pa.Array) -> pa.Array:
+        rows = [
+            [(s.start, s.end, s.kind, s.node_type, s.name, s.parent) for s in scan.find_spans(text, name, known)]
+            for text, name in zip(content.to_pylist(), language.to_pylist())
+        ]
+        fields = ("start", "end", "kind", "node_type", "name", "parent")
+        kinds = (pa.int32(), pa.int32(), *[pa.string()] * 4)
+        named = [[dict(zip(fields, span)) for span in spans] for spans in rows]
+        return pa.array(named, pa.list_(pa.struct(list(zip(fields, kinds)))))
+
+    structured = F.col("language").isin(*text.COMMENT_PREFIXES, *known)
+    return files.withColumn("spans", F.when(structured, find(F.when(structured, F.col("content")), F.col("language"))).otherwise(F.array().cast(f"array<{SPAN}>")))
 
 
 def collect_spans(files: DataFrame, spans: DataFrame) -> DataFrame:

@@ -171,7 +171,8 @@ def semantic_excess(pool: DataFrame, settings: SearchSettings = SEARCH) -> DataF
 
 
 def fingerprint(content: Column) -> Column:
-    return F.trim(F.regexp_replace(content, r"\s+", " "))
+    """The text with every run of blanks, also those outside ASCII, as one space."""
+    return F.trim(F.regexp_replace(content, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def dedupe_exact(ranked: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,14 +43,15 @@ def _run_lengths(ordered: Column) -> Column:
     )
 
 
-def build_postings(chunks: DataFrame) -> DataFrame:
+def build_postings(chunks: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Inverted index: one row per repository, chunk and term with its field frequencies.
 
     The terms of a chunk are counted inside its own row, so nothing is shuffled and the rows of
-    a chunk stay together. A search can then sum up a chunk in the task that reads it.
+    a chunk stay together. A search can then sum up a chunk in the task that reads it. Columns of
+    chunks to ``carry`` follow.
     """
     fields = lexical_fields(chunks).select(
-        "repository_id", "chunk_id", "names",
+        "repository_id", "chunk_id", "names", *carry,
         F.array_sort("body").alias("body"),
         (F.size("names") + F.size("body")).alias("chunk_terms"),
     )
@@ -64,8 +67,8 @@ def build_postings(chunks: DataFrame) -> DataFrame:
     )
     only_named = F.transform(F.array_except("names", "body"), lambda term: row(term, F.lit(0)))
     return fields.select(
-        "repository_id", "chunk_id", "chunk_terms", F.inline(F.concat(in_body, only_named))
-    ).select("repository_id", "term", "chunk_id", "tf_names", "tf_body", "chunk_terms")
+        "repository_id", "chunk_id", "chunk_terms", *carry, F.inline(F.concat(in_body, only_named))
+    ).select("repository_id", "term", "chunk_id", "tf_names", "tf_body", "chunk_terms", *carry)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

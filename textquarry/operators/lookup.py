@@ -13,7 +13,12 @@ EXCERPT_CHARS = 700
 GRAM = 3
 
 
-def _grams(name: Column) -> Column:
+def symbol_label() -> Column:
+    """Symbol and parent of a chunk in one text, empty without them."""
+    return F.concat_ws("\x00", F.lower("symbol"), F.lower("parent_symbol"))
+
+
+def symbol_pieces(name: Column) -> Column:
     """Every piece of a name of one to three letters, each once."""
 
     def pieces(size: int) -> Column:
@@ -35,10 +40,9 @@ def find_symbol(names: DataFrame, chunks: DataFrame, limit: int = 5) -> DataFram
     wanted = names.select(
         "request_id", "repository_id", F.lower(F.trim("name")).alias("_name")
     ).where("_name <> ''")
-    label = F.concat_ws("\x00", F.lower("symbol"), F.lower("parent_symbol"))
-    keyed = chunks.withColumn("_label", label).where("_label <> ''")
+    keyed = chunks.withColumn("_label", symbol_label()).where("_label <> ''")
     labels = keyed.select("repository_id", "_label").distinct()
-    filed = labels.select("repository_id", "_label", F.explode(_grams(F.col("_label"))).alias("_gram"))
+    filed = labels.select("repository_id", "_label", F.explode(symbol_pieces(F.col("_label"))).alias("_gram"))
     hits = (
         filed.join(
             wanted.withColumn("_gram", F.substring("_name", 1, GRAM)), ["repository_id", "_gram"]

@@ -126,34 +126,28 @@ def term_sign(term: Column) -> Column:
 def hashed_embeddings(term_rows: DataFrame, keys: list[str], dimensions: int) -> DataFrame:
     """Default embedder: each term adds its signed frequency to a hashed position, then unit length.
 
-    ``term_rows`` carries the keys, ``term`` and ``tf``. Sums combine map-side; the second
-    aggregate meets at most ``dimensions`` rows per vector.
+    ``term_rows`` carries the keys, ``term`` and ``tf``. A vector is one row of sums, which combine
+    before the only shuffle; frequencies are whole numbers, so their order does not matter.
     """
-    slots = (
-        term_rows.groupBy(*keys, term_bucket(F.col("term"), dimensions).alias("slot"))
-        .agg(F.sum(F.col("tf") * term_sign(F.col("term"))).alias("value"))
-        .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("_slots"))
-    )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dimensions - 1)),
-        lambda i: F.coalesce(F.try_element_at(F.col("_slots"), i), F.lit(0.0)),
-    )
-    return slots.withColumn("_dense", dense).select(
-        *keys, vectors.unit(F.col("_dense")).alias("embedding")
-    )
+    value = F.col("tf") * term_sign(F.col("term"))
+    placed = term_rows.select(*keys, term_bucket(F.col("term"), dimensions).alias("_slot"), value.alias("_value"))
+    sums = [F.coalesce(F.sum(F.when(F.col("_slot") == i, F.col("_value"))), F.lit(0.0)) for i in range(dimensions)]
+    return placed.groupBy(*keys).agg(F.array(*sums).alias("_dense")).select(*keys, vectors.unit(F.col("_dense")).alias("embedding"))
 
 
 def l2_normalise(df: DataFrame, column: str = "embedding") -> DataFrame:
     return df.withColumn(column, vectors.unit(F.col(column)))
 
 
+def vector_reason(dimensions: int, model: str | None = None) -> Column:
+    """Why a row may not be ranked, null if it may."""
+    reason = F.when(F.size("embedding") != dimensions, "wrong_width")
+    return reason if model is None else reason.when(~F.col("model").eqNullSafe(F.lit(model)), "other_model")
+
+
 def validate_vectors(embeddings: DataFrame, dimensions: int, model: str | None = None) -> DataFrame:
     """Rows that may not be ranked, with the reason."""
-    reason = F.when(F.size("embedding") != dimensions, "wrong_width")
-    if model is not None:
-        reason = reason.when(~F.col("model").eqNullSafe(F.lit(model)), "other_model")
-    return embeddings.withColumn("reason", reason).where(F.col("reason").isNotNull())
+    return embeddings.withColumn("reason", vector_reason(dimensions, model)).where(F.col("reason").isNotNull())
 
 
 # ---- exact search ------------------------------------------------------------

@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.functions import terms
-from textquarry.operators import chunking, filters, lexical, vectors
+from textquarry.operators import chunking, filters, lexical, lexical_index, symbol_index, vector_index, vectors
+from textquarry.operators.lexical_index import LexicalIndex
+from textquarry.operators.symbol_index import SymbolIndex
+from textquarry.operators.vector_index import VectorIndex
 from textquarry.session import cut_lineage
 from textquarry.settings import INDEX, IndexLimits
 from textquarry.sources import sinks
@@ -21,11 +24,16 @@ DIMENSIONS = 64
 
 @dataclass(frozen=True)
 class CorpusIndex:
+    """The tables of an index; ``lexical``, ``cells`` and ``symbols`` come with a published one."""
+
     decisions: DataFrame
     files: DataFrame
     chunks: DataFrame
     postings: DataFrame
     embeddings: DataFrame
+    lexical: LexicalIndex | None = None
+    cells: VectorIndex | None = None
+    symbols: SymbolIndex | None = None
 
 
 def select_files(manifest: DataFrame, limits: IndexLimits = INDEX) -> DataFrame:
@@ -88,12 +96,17 @@ def build_index(manifest: DataFrame, limits: IndexLimits = INDEX, dimensions: in
 TABLES = ("decisions", "files", "chunks", "postings", "embeddings")
 
 
+def hashed_chunks(chunks: DataFrame) -> DataFrame:
+    """Every chunk with the hash of the text that is embedded."""
+    return vectors.content_hash(vectors.embedding_text(chunks)).select("repository_id", "chunk_id", "content_hash")
+
+
 def chunk_embeddings(chunks: DataFrame, postings: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     """A vector for every chunk, copied from ``previous`` where its text was embedded before.
 
     Only the chunks that are left are embedded.
     """
-    hashed = vectors.content_hash(vectors.embedding_text(chunks)).select("repository_id", "chunk_id", "content_hash")
+    hashed = hashed_chunks(chunks)
     if previous is None:
         none = hashed.withColumn("embedding", F.lit(None).cast("array<double>")).withColumn("reused", F.lit(False))
         known = none.select("*", F.lit(PROVIDER).alias("provider"), F.lit(MODEL).alias("model"), F.lit(DIMENSIONS).alias("dimensions"))
@@ -114,23 +127,69 @@ def publish_index(
 
     ``replaced`` names the repositories, also those that have become empty; by default the ones
     in the index. Chunks are written first and the later tables are derived from what was
-    written, so the corpus is cut and tokenised once. Readers see either the old run of all five
-    tables or the new one.
+    written, so the corpus is cut and tokenised once. Readers see either the old run of all tables
+    or the new one.
     """
     run = uuid.uuid4().hex
     write = lambda df, name: sinks.write_run(df, f"{path}/{name}", run)
     decisions = write(index.decisions, "decisions")
     write(index.files, "files")
     chunks = write(index.chunks, "chunks")
-    postings = write(lexical.build_postings(chunks), "postings")
-    write(chunk_embeddings(chunks, postings, None if previous is None else previous.embeddings), "embeddings")
+    postings = write(lexical.build_postings(lexical_index.numbered(chunks), ["segment", "slot"]), "postings")
+    write_lexical(path, run, chunks, postings)
+    write_symbols(path, run, chunks)
+    embeddings = write(chunk_embeddings(chunks, postings, None if previous is None else previous.embeddings), "embeddings")
+    write_cells(path, run, embeddings, DIMENSIONS)
     sinks.publish_run(decisions if replaced is None else replaced, f"{path}/runs", run)
 
 
+LEXICAL_TABLES = ("blocks", "places", "term_counts", "repository_counts")
+
+
+def write_lexical(path: str, run: str, chunks: DataFrame, postings: DataFrame) -> None:
+    """The blocks and counts of one run; ``postings`` carry segment and slot."""
+    blocks = lexical_index.by_term(lexical_index.build_blocks(postings))
+    sinks.write_run(blocks, f"{path}/blocks", run, ["bucket"])
+    sinks.write_run(lexical_index.places(postings), f"{path}/places", run)
+    sinks.write_run(lexical_index.term_counts(postings), f"{path}/term_counts", run)
+    sinks.write_run(lexical_index.repository_counts(chunks, postings), f"{path}/repository_counts", run)
+
+
+SYMBOL_TABLES = ("symbol_pieces", "symbol_counts", "symbol_holders")
+
+
+def write_symbols(path: str, run: str, chunks: DataFrame) -> None:
+    """The symbol dictionary of one run."""
+    made = symbol_index.build_symbols(chunks)
+    for name, rows in zip(SYMBOL_TABLES, (made.pieces, made.counts, made.holders)):
+        folders = ["bucket"] if "bucket" in rows.columns else []
+        sinks.write_run(rows.repartition(*folders) if folders else rows, f"{path}/{name}", run, folders)
+
+
+def write_cells(path: str, run: str, embeddings: DataFrame, dimensions: int) -> None:
+    """The inverted file over the vectors of one run.
+
+    The first run fits the model, on a sample of its vectors; later ones assign their vectors to the
+    same cells, so all runs can be probed alike.
+    """
+    spark = embeddings.sparkSession
+    if not sinks.exists(spark, f"{path}/cell_model") or spark.read.parquet(f"{path}/cell_model").isEmpty():
+        vector_index.train(embeddings, dimensions).write.mode("overwrite").parquet(f"{path}/cell_model")
+    model = spark.read.parquet(f"{path}/cell_model")
+    blocks = vector_index.build(embeddings, model)
+    sinks.write_run(blocks.repartition("folder"), f"{path}/cells", run, ["folder"])
+
+
 def load_index(spark, path: str) -> CorpusIndex:
     """The current rows of a published index."""
     runs = spark.read.parquet(f"{path}/runs")
-    return CorpusIndex(*(sinks.current_rows(spark.read.parquet(f"{path}/{name}"), runs) for name in TABLES))
+    read = lambda name: sinks.current_rows(spark.read.parquet(f"{path}/{name}"), runs)
+    return CorpusIndex(
+        *map(read, TABLES),
+        lexical=LexicalIndex(*map(read, LEXICAL_TABLES)),
+        cells=VectorIndex(read("cells"), spark.read.parquet(f"{path}/cell_model")),
+        symbols=SymbolIndex(*map(read, SYMBOL_TABLES)),
+    )
 
 
 def open_tables(spark, path: str) -> CorpusIndex:

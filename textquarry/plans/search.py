@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.operators import fusion, lexical, vectors
+from textquarry.operators import fusion, lexical, lexical_index, vector_index, vectors
+from textquarry.operators.lexical_index import LexicalIndex
+from textquarry.operators.vector_index import VectorIndex
 from textquarry.plans.index import query_vectors
 from textquarry.session import cut_lineage
 from textquarry.settings import CONTEXT, SEARCH, ContextSettings, SearchSettings
@@ -29,6 +31,27 @@ class SearchResult:
         return ranked.where(F.col("rank") <= top_k)
 
 
+def refused_queries(queries: DataFrame, embeddings: DataFrame, provider: str, model: str, dimensions: int) -> DataFrame:
+    """query_id, repository_id, reason of queries that may not be ranked.
+
+    A repository is searched with the model that made its vectors: without vectors it can't be
+    searched (no_embeddings), nor with only those of another model or width (other_model).
+    """
+    fits = F.col("provider").eqNullSafe(F.lit(provider)) & F.col("model").eqNullSafe(F.lit(model)) & F.col("dimensions").eqNullSafe(F.lit(dimensions))
+    usable = F.col("embedding").isNotNull() & fits & (F.size("embedding") == dimensions)
+    held = embeddings.groupBy("repository_id").agg(F.count_if(F.col("embedding").isNotNull()).alias("_any"), F.count_if(usable).alias("_usable"))
+    reason = F.when(F.coalesce("_any", F.lit(0)) == 0, "no_embeddings").when(F.col("_usable") == 0, "other_model")
+    judged = queries.select("query_id", "repository_id").join(held, "repository_id", "left").withColumn("reason", reason)
+    return judged.where(F.col("reason").isNotNull()).select("query_id", "repository_id", "reason")
+
+
+def usable_vectors(embeddings: DataFrame, provider: str, model: str, dimensions: int) -> DataFrame:
+    """The vectors of one provider, model and width; others are never compared with a question."""
+    named = embeddings.where(F.col("provider").eqNullSafe(F.lit(provider)) & F.col("dimensions").eqNullSafe(F.lit(dimensions)))
+    wrong = vectors.vector_reason(dimensions, model)
+    return named.where(F.col("embedding").isNotNull() & wrong.isNull())
+
+
 def retrieve_pool(
     queries: DataFrame,
     chunks: DataFrame,
@@ -36,19 +59,29 @@ def retrieve_pool(
     embeddings: DataFrame,
     query_embeddings: DataFrame,
     settings: SearchSettings = SEARCH,
+    blocks: LexicalIndex | None = None,
+    cells: VectorIndex | None = None,
 ) -> DataFrame:
     """Candidate pool with details: at most semantic + lexical candidates per query.
 
     The pool of hits is materialised once, since its ids drive three lookups; content is joined
-    only to pooled ids. Duplicate-free ids make both lookups plain joins with a small side.
+    only to pooled ids. Duplicate-free ids make both lookups plain joins with a small side. With
+    ``blocks``, statistics and full-text hits come from the block index instead of ``postings``; with
+    ``cells``, semantic hits come from the probed cells, approximately.
     """
     asked = lexical.query_terms(queries)
     # One row per asked term, read three times below.
-    stats = cut_lineage(lexical.term_statistics(postings, chunks, asked))
-    lexical_hits = lexical.coverage(
-        lexical.lexical_search(postings, stats, asked, settings.lexical_candidates), stats, asked
-    ).select("query_id", "chunk_id", "text_rank", "coverage", "matched_terms")
-    semantic_hits = vectors.cosine_top_k(query_embeddings, embeddings, settings.semantic_candidates)
+    if blocks is None:
+        stats = cut_lineage(lexical.term_statistics(postings, chunks, asked))
+        found = lexical.lexical_search(postings, stats, asked, settings.lexical_candidates)
+    else:
+        stats = cut_lineage(lexical_index.stored_statistics(blocks, asked))
+        found = lexical_index.block_search(blocks, stats, asked, settings.lexical_candidates)
+    lexical_hits = lexical.coverage(found, stats, asked).select("query_id", "chunk_id", "text_rank", "coverage", "matched_terms")
+    if cells is None:
+        semantic_hits = vectors.cosine_top_k(query_embeddings, embeddings, settings.semantic_candidates)
+    else:
+        semantic_hits = vector_index.ivf_top_k(query_embeddings, cells, embeddings, settings.semantic_candidates)
     hits = cut_lineage(
         semantic_hits.withColumnRenamed("score", "semantic_score").join(
             lexical_hits.withColumn("query_id", F.col("query_id").cast("string")),
@@ -93,11 +126,23 @@ def hybrid_search(
     embeddings: DataFrame,
     settings: SearchSettings = SEARCH,
     query_embeddings: DataFrame | None = None,
+    blocks: LexicalIndex | None = None,
+    cells: VectorIndex | None = None,
+    model: tuple[str, str, int] | None = None,
 ) -> SearchResult:
-    """``queries`` has query_id, repository_id and text."""
+    """``queries`` has query_id, repository_id and text.
+
+    With ``model`` (provider, name, width of the query vectors) only vectors of that model are
+    ranked, and queries of repositories without any are left out (``refused_queries`` names them).
+    """
     if query_embeddings is None:
         query_embeddings = query_vectors(queries)
-    pool = retrieve_pool(queries, chunks, postings, embeddings, query_embeddings, settings)
+    if model is not None:
+        refused = cut_lineage(refused_queries(queries, embeddings, *model).select("query_id"))
+        queries = queries.join(refused, "query_id", "left_anti")
+        query_embeddings = query_embeddings.join(refused, "query_id", "left_anti")
+        embeddings = usable_vectors(embeddings, *model)
+    pool = retrieve_pool(queries, chunks, postings, embeddings, query_embeddings, settings, blocks, cells)
     return rank_candidates(pool, settings)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,17 +14,33 @@ def _keys(key: str | list[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def write_run(df: DataFrame, path: str, run: str) -> DataFrame:
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def write_run(df: DataFrame, path: str, run: str, folders: Sequence[str] = ()) -> DataFrame:
     """Write the rows of one run to a table; they stay unseen until the run is published.
 
-    Writing a run again replaces its rows, so a repeated attempt is harmless.
+    Writing a run again replaces its rows, so a repeated attempt is harmless. The rows of a run lie
+    in ``folders`` by these columns, so that a search reads only those it asks for.
     """
     rows = df.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    rows.partitionBy("run").parquet(path)
+    rows.partitionBy("run", *folders).parquet(path)
     written = df.sparkSession.read.schema(df.schema.add("run", "string")).parquet(path)
     return written.where(F.col("run") == run).drop("run")
 
 
+def in_folders(table: DataFrame, folder: str, asked: DataFrame) -> DataFrame:
+    """The rows of the folders that ``asked`` names; others are not listed for reading.
+
+    A small table without a filter prunes no partitions by itself, so the folder numbers, of which
+    there are as many as folders at most, are named in the plan.
+    """
+    names = [r[0] for r in asked.select(folder).distinct().collect()]
+    return table.where(F.col(folder).isin(names) if names else F.lit(False))
+
+
 def publish_run(
     keys: DataFrame, path: str, run: str, key: str | list[str] = "repository_id", order: Column | None = None
 ) -> None:
@@ -33,11 +50,30 @@ def publish_run(
     """
     at = F.lit(time.time_ns()) if order is None else order
     rows = keys.select(*_keys(key), at.cast("bigint").alias("at")).groupBy(*_keys(key)).agg(F.max("at").alias("at"))
-    rows.withColumn("run", F.lit(run)).write.mode("append").parquet(path)
+    rows.withColumn("run", F.lit(run)).withColumn("covers", F.lit(None).cast("array<string>")).write.mode("append").parquet(path)
+
+
+def publish_merge(runs: DataFrame, path: str, run: str, key: str | list[str] = "repository_id") -> None:
+    """Make ``run`` current wherever one of the merged ``runs`` is, and name those it covers, in one append.
+
+    A key keeps its order, so a version that comes late stays unseen; among equals the merged run
+    is current, since its name is greater. Only the names of runs are gathered.
+    """
+    rows = runs.where(F.col(_keys(key)[0]).isNotNull()).groupBy(*_keys(key)).agg(F.max("at").alias("at"))
+    names = runs.where("run IS NOT NULL").agg(F.collect_set("run").alias("covers")).withColumn("run", F.lit(run))
+    rows = rows.withColumn("run", F.lit(run)).withColumn("covers", F.lit(None).cast("array<string>"))
+    rows.unionByName(names, allowMissingColumns=True).write.mode("append").parquet(path)
+
+
+def live_runs(runs: DataFrame) -> DataFrame:
+    """The published runs that no merged run covers: those whose additive rows count."""
+    covered = runs.where("covers IS NOT NULL").select(F.explode("covers").alias("run"))
+    return runs.select("run").distinct().join(covered, "run", "left_anti")
 
 
 def current_runs(runs: DataFrame, key: str | list[str] = "repository_id") -> DataFrame:
-    return runs.groupBy(*_keys(key)).agg(F.max_by("run", F.struct("at", "run")).alias("run"))
+    named = runs.where(F.col(_keys(key)[0]).isNotNull())
+    return named.groupBy(*_keys(key)).agg(F.max_by("run", F.struct("at", "run")).alias("run"))
 
 
 def current_rows(table: DataFrame, runs: DataFrame, key: str | list[str] = "repository_id") -> DataFrame:
