@@ -13,6 +13,7 @@ from textquarry.plans import index as plan
 from textquarry.session import checkpoint_dir
 from textquarry.settings import IndexLimits
 from textquarry.sources import files as source_files
+from textquarry.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -86,7 +87,7 @@ def corpus_blocks(spark: SparkSession, sf_dir: str) -> lexical_index.LexicalInde
         path = f"{_PUBLISHED[key]}/lexical"
         plan.write_lexical(path, "first", index.chunks, index.postings)
         _BLOCKS[key] = path
-    read = lambda name: spark.read.parquet(f"{_BLOCKS[key]}/{name}").drop("run")
+    read = lambda name: sinks.read_table(spark, f"{_BLOCKS[key]}/{name}").drop("run")
     return lexical_index.LexicalIndex(*map(read, plan.LEXICAL_TABLES))
 
 

@@ -10,10 +10,10 @@ LINKS_SQL = """token_sets AS (
   SELECT chunk_id, list_distinct(regexp_extract_all(content, '[A-Za-z0-9_]+')) AS toks FROM chunks),
 sized AS (SELECT chunk_id, toks, len(toks) AS n FROM token_sets),
 pairs AS (
-  SELECT a.chunk_id AS a, b.chunk_id AS b, a.n + b.n AS together, len(list_intersect(a.toks, b.toks)) AS both FROM sized a JOIN sized b
+  SELECT a.chunk_id AS a, b.chunk_id AS b, a.n + b.n AS together, len(list_intersect(a.toks, b.toks)) AS shared FROM sized a JOIN sized b
     ON a.chunk_id < b.chunk_id AND a.n >= 12 AND b.n >= 12 AND b.n BETWEEN 0.9 * a.n AND a.n / 0.9 + 1),
-similar AS MATERIALIZED (SELECT a, b FROM pairs WHERE both >= 0.9 * (together - both)),
-links AS (SELECT a, b FROM similar UNION ALL SELECT b, a FROM similar),
+alike AS MATERIALIZED (SELECT a, b FROM pairs WHERE shared >= 0.9 * (together - shared)),
+links AS (SELECT a, b FROM alike UNION ALL SELECT b, a FROM alike),
 reached AS (
   SELECT chunk_id AS a, chunk_id AS b FROM sized
   UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),

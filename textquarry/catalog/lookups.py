@@ -24,6 +24,7 @@ from textquarry.operators import filters, lookup, paging, secret_scan, symbol_in
 from textquarry.operators.paging import Order
 from textquarry.plans import index as plan
 from textquarry.session import checkpoint_dir
+from textquarry.sources import sinks
 
 # Parts as symbols: the name joined like an identifier, the brand as its class.
 SYMBOLS_SQL = """symbols AS (
@@ -96,7 +97,7 @@ def find_symbol_stored(spark, sf_dir):
     names = parts.withColumn("request_id", F.concat_ws(":", "repository_id", "name"))
     path = f"{checkpoint_dir(spark)}/symbols-{uuid.uuid4().hex}"
     plan.write_symbols(path, "first", symbols(spark, sf_dir))
-    index = symbol_index.SymbolIndex(*(spark.read.parquet(f"{path}/{name}").drop("run") for name in plan.SYMBOL_TABLES))
+    index = symbol_index.SymbolIndex(*(sinks.read_table(spark, f"{path}/{name}").drop("run") for name in plan.SYMBOL_TABLES))
     return symbol_index.find_symbol(names, index, symbols(spark, sf_dir)).select("request_id", "chunk_id", "match_rank", "matches")
 
 

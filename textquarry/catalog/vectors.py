@@ -17,6 +17,7 @@ from textquarry.operators import lexical, vector_index, vectors
 from textquarry.plans import index as plan
 from textquarry.plans import search
 from textquarry.session import checkpoint_dir
+from textquarry.sources import sinks
 
 WIDTH = 64
 TOP = 10
@@ -291,7 +292,7 @@ def ivf_top_k(spark, sf_dir):
     asked = corpus.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id")
     path = f"{checkpoint_dir(spark)}/cells-{uuid.uuid4().hex}"
     plan.write_cells(path, "first", corpus, WIDTH)
-    index = vector_index.VectorIndex(spark.read.parquet(f"{path}/cells").drop("run"), spark.read.parquet(f"{path}/cell_model"))
+    index = vector_index.VectorIndex(sinks.read_table(spark, f"{path}/cells").drop("run"), spark.read.parquet(f"{path}/cell_model"))
     found = vectors.recall(vector_index.ivf_top_k(asked, index, corpus, TOP), vectors.cosine_top_k(asked, corpus, TOP))
     return found.join(vector_index.read_share(asked, index), "query_id")
 

@@ -183,7 +183,7 @@ def write_cells(path: str, run: str, embeddings: DataFrame, dimensions: int) ->
 def load_index(spark, path: str) -> CorpusIndex:
     """The current rows of a published index."""
     runs = spark.read.parquet(f"{path}/runs")
-    read = lambda name: sinks.current_rows(spark.read.parquet(f"{path}/{name}"), runs)
+    read = lambda name: sinks.current_rows(sinks.read_table(spark, f"{path}/{name}"), runs)
     return CorpusIndex(
         *map(read, TABLES),
         lexical=LexicalIndex(*map(read, LEXICAL_TABLES)),

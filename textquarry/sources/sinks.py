@@ -27,10 +27,16 @@ def write_run(df: DataFrame, path: str, run: str, folders: Sequence[str] = ()) -
     """
     rows = df.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     rows.partitionBy("run", *folders).parquet(path)
+    df.withColumn("run", F.lit(run)).limit(0).write.mode("ignore").parquet(f"{path}/_schema")
     written = df.sparkSession.read.schema(df.schema.add("run", "string")).parquet(path)
     return written.where(F.col("run") == run).drop("run")
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a table of runs, with their run; also of one that holds no rows yet."""
+    return spark.read.schema(spark.read.parquet(f"{path}/_schema").schema).parquet(path)
+
+
 def in_folders(table: DataFrame, folder: str, asked: DataFrame) -> DataFrame:
     """The rows of the folders that ``asked`` names; others are not listed for reading.
 

@@ -75,7 +75,7 @@ def _write_index(tables: dict[str, DataFrame], index_path: str, run: str) -> Non
 def live_index(spark, index_path: str) -> dict[str, DataFrame]:
     """The tables of a streamed index, each file in its newest version, and the counts of its terms."""
     runs = spark.read.parquet(f"{index_path}/runs")
-    read = lambda name: spark.read.parquet(f"{index_path}/{name}")
+    read = lambda name: sinks.read_table(spark, f"{index_path}/{name}")
     tables = {name: sinks.current_rows(read(name), runs, FILE_KEYS) for name in ("files", "chunks", "embeddings")}
     tables["postings"] = _postings_of(read("chunks"), read("postings"), sinks.current_runs(runs, FILE_KEYS))
     for name in COUNTS:
@@ -110,7 +110,7 @@ def count_changes(tables: dict[str, DataFrame], batch: DataFrame, run: str, inde
     postings = tables["postings"].join(chunks.select("repository_id", "chunk_id"), ["repository_id", "chunk_id"], "left_semi")
     terms, totals = lexical_index.term_counts(postings), lexical_index.repository_counts(chunks, postings)
     if current is not None:
-        read = lambda name: spark.read.parquet(f"{index_path}/{name}")
+        read = lambda name: sinks.read_table(spark, f"{index_path}/{name}")
         old = read("chunks").join(current, [*FILE_KEYS, "run"], "left_semi").drop("run")
         old_postings = _postings_of(read("chunks"), read("postings"), current)
         terms = terms.unionByName(lexical_index.term_counts(old_postings, -1))
@@ -138,7 +138,7 @@ def index_stream(files_stream: DataFrame, index_path: str, checkpoint: str, limi
         if sinks.exists(spark, f"{index_path}/runs"):
             runs = spark.read.parquet(f"{index_path}/runs").where(F.col("run") != run)
             known = lambda hashed: stored_vectors(
-                spark.read.parquet(f"{index_path}/embeddings").where(F.col("run") != run), hashed
+                sinks.read_table(spark, f"{index_path}/embeddings").where(F.col("run") != run), hashed
             )
         tables = index_batch(batch, known, limits)
         _write_index(tables, index_path, run)
