@@ -42,7 +42,8 @@ CORPUS = "corpus"
 
 
 def document_files(spark: SparkSession, sf_dir: str, one_corpus: bool = False) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    """The documents as files, dealt by id: a table of one row group would be cut up by a single task."""
+    documents = table(spark, sf_dir, "documents").repartition("doc_id")
     repository = F.lit(CORPUS) if one_corpus else None
     return filters.detect_language(source_files.documents_as_files(documents, repository)).withColumn(
         "blob_sha", F.col("sha")
