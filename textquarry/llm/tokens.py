@@ -30,7 +30,7 @@ def _byte_alphabet() -> dict[str, int]:
 class Encoder:
     """Ids of many texts at once. One per Python worker; what it remembers is bounded in bytes, about."""
 
-    def __init__(self, path: str, most_bytes: int = 64 << 20):
+    def __init__(self, path: str, most_bytes: int = 128 << 20):
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.load(open(path, encoding="utf-8"))
         alphabet = _byte_alphabet()
