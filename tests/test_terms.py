@@ -78,3 +78,10 @@ def test_text_terms_with_and_without_breaks(spark):
     got = [r.t for r in rows.orderBy("i").select(terms.text_terms(F.col("t")).alias("t")).collect()]
     assert got == [["the", "plain", "words", "of", "prose"], ["getdb", "get", "db", "of", "sqlite3", "sqlite", "in", "ab"],
                    ["a", "ab", "ab"], [], [], ["ab"], []]
+
+
+def test_preview_line_keeps_digits_at_the_ends(spark):
+    from textquarry.functions import text
+
+    rows = spark.createDataFrame([("0 sum is 100",), ("# no\n1 and 11\n",), ("  \n　 x \n",)], "t string")
+    assert [r.p for r in rows.select(text.preview_line(F.col("t")).alias("p")).collect()] == ["0 sum is 100", "1 and 11", "x"]
