@@ -85,3 +85,23 @@ def test_preview_line_keeps_digits_at_the_ends(spark):
 
     rows = spark.createDataFrame([("0 sum is 100",), ("# no\n1 and 11\n",), ("  \n　 x \n",)], "t string")
     assert [r.p for r in rows.select(text.preview_line(F.col("t")).alias("p")).collect()] == ["0 sum is 100", "1 and 11", "x"]
+
+
+def test_counted_terms_are_those_of_the_text(spark):
+    texts = ["The plain words, the prose", "getDb of sqlite3 in a_b\n_x", "A AB aB", "", None, "99 3ab ü !9", "_ $", "é"] * 3
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = rows.select(terms.text_terms(F.col("t")).alias("t"), terms.counted_terms(F.col("t")).alias("c")).collect()
+    for r in found:
+        assert r.c.total == len(r.t)
+        assert {c.term: c.tf for c in r.c.counts} == {t: r.t.count(t) for t in r.t} and len(r.c.counts) == len(set(r.t))
+
+
+def test_a_query_writes_the_index_tables_it_reads(spark, sf_dir):
+    """All tables were built for a query that reads one of them."""
+    import os
+
+    from textquarry.catalog.base import CorpusTables
+
+    tables = CorpusTables(spark, sf_dir)
+    assert tables.chunks.count() > 0 and os.listdir(tables.path) == ["chunks"]
+    assert tables.term_counts.count() > 0 and sorted(os.listdir(tables.path)) == ["chunks", "postings", "term_counts"]
