@@ -18,6 +18,8 @@ are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -161,21 +163,37 @@ def _linked(threshold: float, most: int = 1 << 18):
     return run
 
 
-def linked_nodes(nodes: DataFrame, threshold: float, block_nodes: int = 512, shard_rows: int = 8_000) -> DataFrame:
-    """node, links (chunks of other nodes it is linked to), neighbour; several rows per node."""
-    rows = _prefixes(nodes, threshold)
-    listed = rows.select("node", F.posexplode(F.slice("tokens", 1, F.col("reach"))).alias("at", "token"))
+def comparison_units(rows: DataFrame, threshold: float, block_nodes: int = 512, shard_rows: int = 8_000) -> DataFrame:
+    """The rows of ``_prefixes`` in every unit (token, low, high) where they are compared, with the shard of the unit.
+
+    A long list is dealt by size class, so that a node is not sent to blocks of sets too large or too small for it.
+    """
+    # Similar sets lie in the same size class or in neighbouring ones.
+    width = max(-math.log(threshold), 1e-3) * (1 + 1e-6)
+    size_class = F.floor(F.ln(F.col("n").cast("double")) / width).cast("int").alias("class")
+    listed = rows.select("node", size_class, F.posexplode(F.slice("tokens", 1, F.col("reach"))).alias("at", "token"))
     listed = cut_lineage(listed)
-    lists = cut_lineage(listed.groupBy("token").agg(F.count("*").alias("length"))).where("length > 1")
-    lists = lists.withColumn("blocks", F.ceil(F.col("length") / block_nodes).cast("int"))
-    met = lists.agg(F.sum(F.col("length") * F.col("blocks"))).first()[0] or 0
+    classes = listed.groupBy("token", "class").agg(F.count("*").alias("held"))
+    lists = cut_lineage(classes.groupBy("token").agg(F.sum("held").alias("length"), F.max("held").alias("largest"))).where("length > 1")
+    plain, per_class = (F.ceil(F.col(c) / block_nodes).cast("int") for c in ("length", "largest"))
+    lists = lists.withColumn("by_class", plain > 3 * per_class).withColumn("blocks", F.when(F.col("by_class"), per_class).otherwise(plain))
+    # A node meets every block of its list, or those of the three classes around its own; each pair of blocks in one unit.
+    meets = F.when(F.col("by_class"), 3 * F.col("blocks")).otherwise(F.col("blocks"))
+    met = lists.agg(F.sum(F.col("length") * meets)).first()[0] or 0
     shards = max(64, -(-met // shard_rows))
-    placed = join_by_share(listed, lists, "token", "length").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    # A node meets every block of its list, each pair of blocks in one unit.
-    units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    first = F.when(F.col("by_class"), F.col("class") * F.col("blocks")).otherwise(0)
+    placed = join_by_share(listed, lists, "token", "length").withColumn("first", first)
+    placed = placed.withColumn("block", (F.col("first") + F.pmod(F.xxhash64("node"), "blocks")).cast("int"))
+    near = F.when(F.col("by_class"), F.sequence(F.greatest(F.col("first") - F.col("blocks"), F.lit(0)), F.col("first") + 2 * F.col("blocks") - 1))
+    units = placed.withColumn("other", F.explode(near.otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
     units = units.select("node", "token", "at", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     units = units.join(rows.select("node", "copies", "n", "tokens"), "node")
-    units = units.withColumn("shard", F.pmod(F.xxhash64("token", "low", "high"), F.lit(shards)).cast("int"))
+    return units.withColumn("shard", F.pmod(F.xxhash64("token", "low", "high"), F.lit(shards)).cast("int"))
+
+
+def linked_nodes(nodes: DataFrame, threshold: float, block_nodes: int = 512, shard_rows: int = 8_000) -> DataFrame:
+    """node, links (chunks of other nodes it is linked to), neighbour; several rows per node."""
+    units = comparison_units(_prefixes(nodes, threshold), threshold, block_nodes, shard_rows)
     return cut_lineage(units.groupBy("shard").applyInArrow(_linked(threshold), LINKED))
 
 
