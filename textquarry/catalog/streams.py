@@ -132,9 +132,9 @@ LIVE_SQL = with_ctes(
 
 
 def live_rows(spark, target: str):
-    live = jobs.live_index(spark, target)
+    live = jobs.live_index(spark, target, packed=True)
     vectors = live["embeddings"].select("chunk_id", F.size("embedding").alias("width"))
-    terms = live["postings"].groupBy("chunk_id").agg((F.count("*") > 0).alias("has_terms"))
+    terms = live["postings"].groupBy("chunk_id").agg((F.max(F.size("terms")) > 0).alias("has_terms"))
     found = live["chunks"].join(vectors, "chunk_id").join(terms, "chunk_id", "left")
     return found.select("chunk_id", "path", "start_byte", "end_byte", "width", F.coalesce("has_terms", F.lit(False)).alias("has_terms"))
 
