@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from textquarry.llm import exchange
-from textquarry.llm.words import Words, parts, sequences, whole_windows
+from textquarry.llm.words import Words, give_back, parts, sequences, whole_windows
 
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id
 
@@ -83,6 +83,24 @@ def _row_table(chunk: int, edges: np.ndarray, **columns: np.ndarray) -> pa.Table
     )
 
 
+def _released(run):
+    """The function of a group or of two, which leaves their memory to others when it ends."""
+
+    def one(rows: pa.Table) -> pa.Table:
+        try:
+            return run(rows)
+        finally:
+            give_back()
+
+    def two(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        try:
+            return run(rows, answers)
+        finally:
+            give_back()
+
+    return two if run.__code__.co_argcount == 2 else one
+
+
 def _ask_minimizers(window: int, blocks: int):
     def run(docs: pa.Table) -> pa.Table:
         w = Windows(docs, window, minimizers=True)
@@ -221,10 +239,10 @@ def remove_repeats(
     documents = documents.select("doc_id", "text", *(c for c in carry if c != "text"))
     docs = exchange.dealt(documents, chunk_bytes, size)
     blocks = max(16, -(-size // block_bytes))
-    asked = docs.groupBy("chunk").applyInArrow(_ask_minimizers(window, blocks), "chunk int, block int, keys binary, twice binary")
-    repeated = asked.groupBy("block").applyInArrow(_repeated_minimizers, "chunk int, block int, repeated binary")
+    asked = docs.groupBy("chunk").applyInArrow(_released(_ask_minimizers(window, blocks)), "chunk int, block int, keys binary, twice binary")
+    repeated = asked.groupBy("block").applyInArrow(_released(_repeated_minimizers), "chunk int, block int, repeated binary")
     placed = "chunk int, block int, keys binary, ids binary, starts binary"
-    windows = docs.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(_ask_windows(window, blocks), placed)
+    windows = docs.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(_released(_ask_windows(window, blocks)), placed)
     schema = ", ".join([PARSED, *(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in carry)])
-    earliest = windows.groupBy("block").applyInArrow(_earliest, placed)
-    return docs.groupBy("chunk").cogroup(earliest.groupBy("chunk")).applyInArrow(_parse(window, carry), schema)
+    earliest = windows.groupBy("block").applyInArrow(_released(_earliest), placed)
+    return docs.groupBy("chunk").cogroup(earliest.groupBy("chunk")).applyInArrow(_released(_parse(window, carry)), schema)
