@@ -82,3 +82,13 @@ def test_vectors_of_packed_postings_are_those_of_their_rows(spark):
     packed = lexical.whole_chunks(lexical.packed_postings(chunks))
     assert made(packed) == made(lexical.build_postings(chunks))
     assert "Exchange" not in plan.chunk_vectors(lexical.packed_postings(chunks))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_diffs_are_rendered_some_files_at_a_time(spark):
+    """All files of a batch were held as Python texts at once."""
+    from textquarry.operators import diffs
+
+    pairs = spark.range(150).selectExpr("id AS change_id", "concat('f', id) AS path", "'a\\nb' AS original", "concat('a\\nc', id) AS updated")
+    made = diffs.unified_diff(pairs)
+    assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString() and diffs.ROWS_AT_ONCE < 150
+    assert {r.path: r["diff"].split("\n")[-1] for r in made.collect()} == {f"f{i}": f"+c{i}" for i in range(150)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,25 +14,25 @@ from textquarry.settings import EDITS, EditLimits
 
 HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 KEYS = ["change_id", "path"]
+ROWS_AT_ONCE = 64  # whole files, of which Python holds no more at a time
 
 
 def unified_diff(pairs: DataFrame, context: int = EDITS.diff_context) -> DataFrame:
     """Adds ``diff`` for rows with path, original and updated; files are diffed independently."""
     schema = pairs.withColumn("diff", F.lit("")).schema
 
-    def render(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            diffs = [
-                "\n".join(
-                    difflib.unified_diff(
-                        old.splitlines(), new.splitlines(), f"a/{path}", f"b/{path}", n=context, lineterm=""
-                    )
-                )
-                for path, old, new in zip(frame["path"], frame["original"], frame["updated"])
-            ]
-            yield frame.assign(diff=diffs)
-
-    return pairs.mapInPandas(render, schema)
+    def diff(path: str, old: str, new: str) -> str:
+        lines = difflib.unified_diff(old.splitlines(), new.splitlines(), f"a/{path}", f"b/{path}", n=context, lineterm="")
+        return "\n".join(lines)
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                rows = batch.slice(at, ROWS_AT_ONCE)
+                texts = (rows.column(c).to_pylist() for c in ("path", "original", "updated"))
+                yield rows.append_column("diff", pa.array([diff(*row) for row in zip(*texts)], pa.string()))
+
+    return pairs.mapInArrow(render, schema)
 
 
 def diff_lines(diffs: DataFrame) -> DataFrame:
