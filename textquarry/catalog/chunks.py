@@ -160,7 +160,8 @@ def span_tree(spark, sf_dir):
 )
 def emit_symbols(spark, sf_dir):
     items = chunking.emit_symbols(document_spans(spark, sf_dir), SPAN_LIMITS)
-    return items.select("path", F.explode("_items.symbol").alias("symbol")).distinct()
+    # A plain explode would compute the items once more, to leave out files without any.
+    return items.select("path", F.explode_outer("_items.symbol").alias("symbol")).where("symbol IS NOT NULL").distinct()
 
 
 @query(
