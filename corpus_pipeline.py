@@ -84,7 +84,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    # Workers outlive the stage; an encoder left in them takes memory from all later ones.
+    pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), remember_bytes=48 << 20, keep=False)
+    return packing.pack(pieces)
 
 
 STAGES = [

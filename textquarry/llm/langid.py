@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm import hashed
+from textquarry.llm.words import give_back
 from textquarry.session import cut_lineage
 
 UNKNOWN = "und"
@@ -66,6 +67,7 @@ def _likelihoods(shared, n: int, bits: int, temper: float):
             names = [c for c in batch.schema.names if c != "text"]
             arrays += [pa.ListArray.from_arrays(offsets, pa.array(flat.ravel())), pa.array(np.concatenate(sizes or [offsets[:0]]).astype(np.int64))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, "text_logs", "n_grams"])
+        give_back()
 
     return run
 

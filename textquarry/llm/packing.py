@@ -22,16 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.tokens import encoder
+from textquarry.llm.tokens import drop_encoders, encoder
 from textquarry.llm.words import give_back
 from textquarry.session import cut_lineage
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def _pieces(path: str, capacity: int, end_id: int, most: int = 1 << 19):
+def _pieces(path: str, capacity: int, end_id: int, remember_bytes: int, keep: bool, most: int = 1 << 19):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(path)
+        known = encoder(path, remember_bytes)
         for batch in batches:
             texts, row = batch.column("text"), 0
             while row < len(texts):
@@ -42,6 +42,9 @@ def _pieces(path: str, capacity: int, end_id: int, most: int = 1 << 19):
                     row += 1
                 ids, bounds = known.encode(some)
                 yield _cut(batch.column("doc_id").slice(first, row - first), ids, bounds, capacity, end_id)
+        if not keep:
+            del known
+            drop_encoders()
         give_back()
 
     return run
@@ -66,9 +69,15 @@ def _cut(doc_ids: pa.Array, ids: np.ndarray, bounds: np.ndarray, capacity: int,
     )
 
 
-def token_pieces(documents: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """The token pieces of every document (doc_id, text)."""
-    return documents.select("doc_id", "text").mapInArrow(_pieces(tokenizer, capacity, end_id), PIECES)
+def token_pieces(
+    documents: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, remember_bytes: int = 128 << 20, keep: bool = True
+) -> DataFrame:
+    """The token pieces of every document (doc_id, text).
+
+    A worker remembers cuts up to `remember_bytes`. Without `keep` it drops its encoder after each
+    task, for jobs whose other steps run in the same workers.
+    """
+    return documents.select("doc_id", "text").mapInArrow(_pieces(tokenizer, capacity, end_id, remember_bytes, keep), PIECES)
 
 
 Bins = list[list[int]]

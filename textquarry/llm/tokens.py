@@ -8,6 +8,7 @@ other characters, and texts with special tokens or irregular spaces, go to the t
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 
@@ -108,8 +109,14 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most_bytes: int = 128 << 20) -> Encoder:
     """The encoder of this worker process for a vocabulary."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, most_bytes)
     return _encoders[path]
+
+
+def drop_encoders() -> None:
+    """Leave the memory of this worker process to the tasks of other steps."""
+    _encoders.clear()
+    gc.collect()
