@@ -20,23 +20,36 @@ def fresh(spark, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: So many texts at most lie in a line file, which is read whole.
+LINES_PER_FILE = 2_000
+
+
 @query(
     "scan_files",
     """SELECT lang, count(*) AS files, sum(strlen(text) + 1)::BIGINT AS bytes, count(DISTINCT text) AS blobs FROM documents GROUP BY lang""",
 )
 def scan_files(spark, sf_dir):
-    """The documents written out as line files per language and read back as raw bytes."""
+    """The documents written out as line files per language and read back as raw bytes.
+
+    A language names its folder in hex, so that any name fits. A line tells a null text from an empty one, and line
+    ends and the backslashes that escape them can be told apart, so every text comes back as it was. A
+    file that can't be read fails the query: its documents would be missing in the counts.
+    """
     path = fresh(spark, "corpus")
-    flat = document_files(spark, sf_dir).select(
-        F.split("path", "/")[0].alias("lang"), F.col("pos"), F.replace("content", F.lit("\n"), F.lit("\u2028")).alias("value")
+    escaped = F.replace(F.replace("text", F.lit("\\"), F.lit("\\s")), F.lit("\n"), F.lit("\\n"))
+    named = F.coalesce(F.concat(F.lit("x"), F.hex(F.encode("lang", "UTF-8"))), F.lit("none"))
+    flat = table(spark, sf_dir, "documents").repartition("doc_id").select(
+        named.alias("lang"), F.coalesce(F.concat(F.lit("+"), escaped), F.lit("-")).alias("value")
     )
-    flat.select("lang", "value").write.partitionBy("lang").text(path)
+    flat.write.partitionBy("lang").option("maxRecordsPerFile", LINES_PER_FILE).text(path)
     found = source_files.scan_files(spark, path, "corpus", "*.txt")
-    lang = F.regexp_extract("path", "^lang=([a-z]+)/", 1)
-    rows = found.select(lang.alias("lang"), F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line"))
-    text = F.replace("line", F.lit("\u2028"), F.lit("\n"))
-    return rows.where("line <> ''").groupBy("lang").agg(
-        F.count("*").alias("files"), F.sum(F.octet_length(text) + 1).alias("bytes"), F.count_distinct("line").alias("blobs")
+    read = F.when(F.col("skip_reason").isNull(), F.col("content").cast("string")).otherwise(F.raise_error(F.concat_ws(": ", "skip_reason", "path")))
+    rows = found.select(F.regexp_extract("path", "^lang=([^/]*)/", 1).alias("named"), F.explode(F.split(read, "\n")).alias("line"))
+    lang = F.when(F.startswith("named", F.lit("x")), F.unhex(F.substr("named", F.lit(2))).cast("string"))
+    whole = F.replace(F.replace(F.substr("line", F.lit(2)), F.lit("\\n"), F.lit("\n")), F.lit("\\s"), F.lit("\\"))
+    text = F.when(F.startswith("line", F.lit("+")), whole)
+    return rows.where("line <> ''").select(lang.alias("lang"), text.alias("text")).groupBy("lang").agg(
+        F.count("*").alias("files"), F.sum(F.octet_length("text") + 1).alias("bytes"), F.count_distinct("text").alias("blobs")
     )
 
 
