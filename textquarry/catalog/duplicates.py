@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textquarry.catalog.base import CHUNKS_SQL, CORPUS_FILES_SQL, corpus_index, query, with_ctes
+from textquarry.catalog.base import CHUNKS_SQL, CORPUS_FILES_SQL, document_chunks, query, with_ctes
 from textquarry.operators import near_duplicates
 
 # Distinct tokens that a chunk needs, and the similarity that makes a link.
@@ -30,4 +30,5 @@ degrees AS (SELECT a AS chunk_id, count(*) AS n_links FROM links GROUP BY a)"""
     ),
 )
 def corpus_near_duplicates(spark, sf_dir):
-    return near_duplicates.corpus_near_duplicates(corpus_index(spark, sf_dir).chunks)
+    """Chunks are cut as their tokens are taken; they are needed once, so none are stored."""
+    return near_duplicates.corpus_near_duplicates(document_chunks(spark, sf_dir))
