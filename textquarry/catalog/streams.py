@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from textquarry.catalog import lexical_sql
 from textquarry.catalog.base import CHUNK_LIMITS, CHUNKS_SQL, FILES_SQL, document_files, query, table, with_ctes
 from textquarry.plans import index as plan
-from textquarry.session import checkpoint_dir
+from textquarry.session import checkpoint_dir, drop_folder, shuffles_dropped
 from textquarry.sources import files as source_files
 from textquarry.sources import sinks
 from textquarry.streaming import jobs
@@ -130,9 +130,11 @@ def streamed(spark, sf_dir) -> str:
     number = F.when(F.col("pos") % 7 == 0, 3).otherwise(0)
     for delivery in (older.withColumn("version", F.lit(1)), now.withColumn("version", F.lit(2)), last.withColumn("version", number)):
         rows = delivery.withColumn("size", F.octet_length("content").cast("bigint")).withColumn("sha", F.sha2("content", 256))
-        rows.write.mode("append").parquet(source)
+        with shuffles_dropped(spark):
+            rows.write.mode("append").option("compression", "zstd").parquet(source)
         stream = spark.readStream.schema(rows.schema).parquet(source)
         jobs.index_stream(stream, target, f"{target}-progress", CHUNK_LIMITS).awaitTermination()
+        drop_folder(spark, source)  # what was taken in is not read again
     _STREAMED[key] = target
     return target
 
@@ -145,9 +147,14 @@ LIVE_SQL = with_ctes(
 
 
 def live_rows(spark, target: str):
-    live = jobs.live_index(spark, target, packed=True)
-    vectors = live["embeddings"].select("chunk_id", F.size("embedding").alias("width"))
-    terms = live["postings"].groupBy("chunk_id").agg((F.max(F.size("terms")) > 0).alias("has_terms"))
+    taken = {
+        "chunks": ["chunk_id", "start_byte", "end_byte"],
+        "embeddings": ["chunk_id", F.size("embedding").alias("width")],
+        "postings": [F.size("terms").alias("n_terms")],
+    }
+    live = jobs.live_index(spark, target, packed=True, columns=taken)
+    vectors = live["embeddings"].select("chunk_id", "width")
+    terms = live["postings"].groupBy("chunk_id").agg((F.max("n_terms") > 0).alias("has_terms"))
     found = live["chunks"].join(vectors, "chunk_id").join(terms, "chunk_id", "left")
     return found.select("chunk_id", "path", "start_byte", "end_byte", "width", F.coalesce("has_terms", F.lit(False)).alias("has_terms"))
 
