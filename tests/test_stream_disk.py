@@ -57,3 +57,16 @@ def test_tables_go_with_their_scope(spark):
         path = kept.inputFiles()[0]
     assert not sinks.exists(spark, path)
     assert sinks.exists(spark, cut_lineage(spark.range(3)).inputFiles()[0])
+
+
+def test_merged_postings_are_the_same_and_move_narrow(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "index")
+    deliver(spark, source, target, [("a.txt", "alpha beta alpha\n", 1), ("b.txt", "gamma\n", 1)])
+    deliver(spark, source, target, [("b.txt", "gamma delta_x deltaY\n", 2), ("c.txt", "1 2\n", 1)])
+    read = lambda: [r for r in jobs.live_index(spark, target, packed=True)["postings"].orderBy("chunk_id").collect()]
+    before, kind = read(), jobs.live_index(spark, target, packed=True)["postings"].schema
+    jobs.merge_runs(spark, target)
+    assert read() == before and jobs.live_index(spark, target, packed=True)["postings"].schema == kind
+    stored = spark.createDataFrame([("r", "c", 1, [("t", 1, 2)]), ("r", "d", 0, [])], "repository_id string, chunk_id string, n int, terms array<struct<term:string,tf_names:bigint,tf_body:bigint>>")
+    there = stored.select("chunk_id", *jobs._narrow(F.col("terms"))).select("chunk_id", jobs._widened().alias("terms"))
+    assert sorted(map(tuple, there.collect())) == sorted(map(tuple, stored.select("chunk_id", "terms").collect()))
